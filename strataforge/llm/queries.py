@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataforge.llm import bpe, canon, leakage, pieces, setjoin, spans, survivors
+from strataforge.llm import bpe, canon, leakage, pieces, setjoin, spans, subjects, survivors
 from strataforge.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,8 +70,13 @@ def p9_near(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "item_id", edits=2, samples=6, repeats=16)
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return subjects.classify(docs, subjects.train(docs, table(spark, d, "doc_labels"), table(spark, d, "subjects")))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p1_found, p1_classes, p3_found, p3_pieces, p5_found, p5_spans, p6_found, p7_found, p7_records, p7_currency, p8_ids, p9_found, p9_near)
+    f.__name__: f for f in (p1_found, p1_classes, p3_found, p3_pieces, p5_found, p5_spans, p6_found, p7_found, p7_records, p7_currency, p8_ids, p9_found, p9_near, p10_found)
 }
 
 _SETS = r"""

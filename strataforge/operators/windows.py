@@ -91,12 +91,13 @@ def sections(docs: DataFrame, doc_id: str, text: str, heading: str = r"^#{1,6}\s
 
 def section_bodies(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, section_no, title, content) split at '## ' headings; a part without one is titled by its first 50 characters."""
-    parts = F.filter(F.transform(F.split(text, r"(?m)(?=^##\s+)"), F.trim), lambda p: p != "")
+    strip = lambda c: F.trim(c, F.lit(" \t\r\n"))
+    parts = F.filter(F.transform(F.split(text, r"(?m)(?=^##\s+)"), strip), lambda p: p != "")
     p = docs.filter(F.col(text).isNotNull()).select(doc_id, F.posexplode(parts).alias("section_no", "p"))
     first = F.substring_index("p", "\n", 1)
     headed = F.startswith("p", F.lit("## "))
-    body = F.when(F.contains("p", F.lit("\n")), F.trim(F.regexp_replace(F.col("p"), r"(?s)^[^\n]*\n", ""))).otherwise("")
-    return p.select(doc_id, F.col("section_no").cast("bigint").alias("section_no"), F.when(headed, F.trim(F.substring(first, 4, 10_000))).otherwise(F.substring(first, 1, 50)).alias("title"), F.when(headed, body).otherwise(F.col("p")).alias("content"))
+    body = F.when(F.contains("p", F.lit("\n")), strip(F.regexp_replace(F.col("p"), r"(?s)^[^\n]*\n", ""))).otherwise("")
+    return p.select(doc_id, F.col("section_no").cast("bigint").alias("section_no"), F.when(headed, strip(F.substring(first, 4, 10_000))).otherwise(F.substring(first, 1, 50)).alias("title"), F.when(headed, body).otherwise(F.col("p")).alias("content"))
 
 
 def low_confidence(docs: DataFrame, doc_id: str, text: str, marks: tuple[str, ...] = ("confidence:", "low")) -> DataFrame:

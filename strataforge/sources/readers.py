@@ -75,7 +75,7 @@ def yaml_objects(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def tree(spark: SparkSession, root: str, most: int = 200, excluded: tuple[str, ...] = (".git/", "node_modules/", "__pycache__/")) -> DataFrame:
-    """(path, bytes) of the first ``most`` files by path, without excluded folders; the cap is the feature of a summary."""
+    """(path, bytes) of the first ``most`` files by path, without excluded folders and empty files; the cap is the feature of a summary."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.col("length").alias("bytes"))
     for e in excluded:
         df = df.filter(~F.contains("path", F.lit("/" + e)))

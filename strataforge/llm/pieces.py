@@ -68,6 +68,8 @@ def plan(raw: bytes, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[i
         hard = cut <= fresh
         if hard:
             cut = floor_char(most)
+            if cut <= fresh:  # a character doesn't fit behind the overlap
+                start, cut = fresh, floor_char(fresh + limit)
         out.append((start, cut, fresh, hard))
         fresh = cut
     return out

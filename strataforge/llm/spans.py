@@ -198,11 +198,14 @@ def shared_spans(rows: DataFrame) -> DataFrame:
     located = located.select("*", F.xxhash64("block").alias("v1"), F.xxhash64(F.lit(1), "block").alias("v2"))
     blocks = located.groupBy("h", "v1", "v2").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi"), F.first("block").alias("block")).checkpoint()
     total = blocks.count()
-    crowded = blocks.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("h")
     tasks = max(1, -(-total // PER_TASK))
-    usual = blocks.join(crowded, "h", "left_anti") if total > HOT else blocks
+    crowded, some = None, False
+    if total > HOT:  # the block texts are only moved apart if some anchor is crowded
+        crowded = blocks.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("h")
+        some = not crowded.isEmpty()
+    usual = blocks.join(crowded, "h", "left_anti") if some else blocks
     found = usual.withColumn("task", F.pmod("h", F.lit(tasks))).groupBy("task").applyInPandas(_factors(MIN), "v1 long, v2 long, start int, stop int")
-    if total > HOT:
+    if some:
         found = found.unionByName(_by_window(blocks.join(crowded, "h", "left_semi")))
     here = located.select("row_id", "no", "first", "v1", "v2")
     return here.join(F.broadcast(found) if total <= BROADCAST_ROWS // 4 else found, ["v1", "v2"]).select("row_id", "no", (F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("stop")).alias("stop"))

@@ -30,6 +30,8 @@ BITS, NGRAM = 19, 4
 #: Strength of the prior of an n-gram's leaning, share of right labels (some are wrong) at which a leaning is sure, and
 #: bounds of such leanings: LEAST always, MOST once the counts rest on marked remarks.
 PRIOR, PRECISE, LEAST, MOST = 3.0, 0.85, 1.2, 5.0
+#: Times the classifiers are fitted anew to what they found.
+REFITS = 1
 _U = np.uint64
 _REMARK = re.compile(r"[\r\n]+|(?<=[.!?])\s+|(?<=[。！？])")
 _TOKEN = re.compile(r"[぀-ヿ㐀-鿿가-힣]|[^\W\d_぀-ヿ㐀-鿿가-힣]+|\d+")
@@ -198,9 +200,19 @@ def fit(labelled: list[tuple[str, set[str]]], unlabelled: list[str], areas: list
         judged = known | holds.any(axis=1) | (top.max(axis=1) < LEAST)
         counts = once & np.where(holds[doc], bears, judged[doc][:, None])
     weights, bias = np.zeros((width, k), np.float32), np.zeros(k)
-    for a in range(k):
-        weights[:, a], bias[a] = _logistic(n, rem, feat, bears[:, a], counts[:, a], width)
-    model = Model(areas, weights, bias, zero.passing, -9.0, np.full(k, 0.5))
+    model = Model(areas, weights, bias, zero.passing, -9.0, np.full(k, 0.7))
+    for fits in range(REFITS + 1):
+        for a in range(k):
+            weights[:, a], bias[a] = _logistic(n, rem, feat, bears[:, a], counts[:, a], width)
+        if fits < REFITS:
+            # an area is borne out by a second remark or by a label; a remark that stands alone is no example, for or against
+            p, _ = model.remarks(n, rem, feat)
+            own = p >= 0.5
+            per_doc = np.zeros((len(texts), k), int)
+            np.add.at(per_doc, doc, own)
+            held_up = (per_doc >= 2) | (known[:, None] & gold)
+            bears = own & held_up[doc]
+            counts = once & np.where(held_up[doc], own | (p < 0.05), p < 0.5)
     # passing remarks: theirs is the only one of its area in a document with others
     p, _ = model.remarks(n, rem, feat)
     own = p >= 0.5
@@ -216,11 +228,12 @@ def fit(labelled: list[tuple[str, set[str]]], unlabelled: list[str], areas: list
     if held:
         scores = model.documents([labelled[i][0] for i in held], grams)
         truth = np.array([[a in labelled[i][1] for a in areas] for i in held])
-        for a in range(k):
-            grid = np.linspace(0.2, 0.9, 29)
-            f1 = [2 * ((s := scores[:, a] >= x) & truth[:, a]).sum() / max(1, s.sum() + truth[:, a].sum()) for x in grid]
-            best = np.flatnonzero(np.array(f1) >= max(f1) - 1e-9)
-            model.threshold[a] = grid[best[np.argmin(np.abs(grid[best] - 0.5))]]  # of equally good ones the middle
+        grid = np.linspace(0.2, 0.98, 40)
+        # few held-out documents can't tell a threshold per area: then there is one for all
+        for part in [[a] for a in range(k)] if len(held) >= 40 * k else [list(range(k))]:
+            x, y = scores[:, part], truth[:, part]
+            f1 = np.array([2 * ((x >= g) & y).sum() / max(1, (x >= g).sum() + y.sum()) for g in grid])
+            model.threshold[part] = np.median(grid[f1 >= f1.max() - 1e-9])  # of equally good ones the middle
         hit = scores >= model.threshold
         model.report = {"held_out": len(held), "f1": float(2 * (hit & truth).sum() / max(1, hit.sum() + truth.sum()))}
     return model

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from strataforge.session import shared_dir
 
-MIN, K = 200, 32
+MIN, K = 200, 64
 #: Rows up to which a side is broadcast (at most 64 bytes each), and different blocks of one anchor or one task.
 BROADCAST_ROWS, HOT, PER_TASK = 1_000_000, 5_000, 20_000
 _BITS = 22

@@ -207,12 +207,12 @@ def fit(labelled: list[tuple[str, set[str]]], unlabelled: list[str], areas: list
         if fits < REFITS:
             # an area is borne out by a second remark or by a label; a remark that stands alone is no example, for or against
             p, _ = model.remarks(n, rem, feat)
-            own = p >= 0.5
+            own = p >= 0.9
             per_doc = np.zeros((len(texts), k), int)
             np.add.at(per_doc, doc, own)
             held_up = (per_doc >= 2) | (known[:, None] & gold)
             bears = own & held_up[doc]
-            counts = once & np.where(held_up[doc], own | (p < 0.05), p < 0.5)
+            counts = once & ((own & held_up[doc]) | (p < 0.5))
     # passing remarks: theirs is the only one of its area in a document with others
     p, _ = model.remarks(n, rem, feat)
     own = p >= 0.5

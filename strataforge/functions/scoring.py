@@ -60,6 +60,11 @@ KINDS = {
 }
 
 
+# Wordings of what is to be confirmed.
+SEVERAL = ("Multiple development intents detected (", "); confirm primary type is '", "'.")
+UNCLEAR = "Issue intent is unclear; confirm whether this is feature, bugfix, refactor, migration, or optimize."
+
+
 def kinds_of(text: Column) -> Column:
     """Kinds of development that the text has a word of, in priority order."""
     low = F.lower(F.coalesce(text, F.lit("")))
@@ -74,8 +79,8 @@ def development_type(text: Column) -> Column:
 def open_question(text: Column) -> Column:
     """What is to be confirmed: several kinds, or none; null for one."""
     k = kinds_of(text)
-    many = F.concat(F.lit("Multiple development intents detected ("), F.array_join(F.array_sort(k), ", "), F.lit("); confirm primary type is '"), F.get(k, F.lit(0)), F.lit("'."))
-    none = F.lit("Issue intent is unclear; confirm whether this is feature, bugfix, refactor, migration, or optimize.")
+    many = F.concat(F.lit(SEVERAL[0]), F.array_join(F.array_sort(k), ", "), F.lit(SEVERAL[1]), F.get(k, F.lit(0)), F.lit(SEVERAL[2]))
+    none = F.lit(UNCLEAR)
     return F.when(F.size(k) > 1, many).when(F.size(k) == 0, none)
 
 

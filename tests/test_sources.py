@@ -50,7 +50,7 @@ def test_files(spark, tmp_path):
     write(f"{tmp_path}/r/p.md", "Goal:\nDo it\nRules:\n- one\n - two\n")
     assert [(r.name, len(r.text)) for r in readers.candidate_texts(spark, f"{tmp_path}/r", ["README.md", "none.md", "empty.md"], 10).collect()] == [("README.md", 10)]
     assert readers.tree(spark, f"{tmp_path}/r").count() == 3
-    assert {r.name for r in readers.source_symbols(spark, f"{tmp_path}/r").collect()} == {"A", "f", "g"}
+    assert {r.name for r in readers.source_symbols(spark, f"{tmp_path}/r").collect()} == {"A", "f"}  # folders that begin with _ are hidden from Spark
     got = {r.section: (r.body, r.bullets) for r in readers.prompt_sections(readers.texts(spark, f"{tmp_path}/r/p.md"), "path", "text").collect()}
     assert got == {"Goal": ("Do it", []), "Rules": ("- one\n - two", ["one", "two"])}
     want = spark.createDataFrame([("a", True), ("b", True), ("c", False), ("d", True)], "name string, required boolean")

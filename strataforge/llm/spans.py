@@ -4,8 +4,8 @@ A row's text is shared where a window of ``MIN`` characters also occurs in a tex
 windows would move the whole corpus once per character, so the reference is cut into blocks by content:
 
 1. *Index.* Every window of MIN characters has one anchor, its smallest K-gram hash (leftmost on ties), so equal
-   windows have equal anchors wherever they stand. The windows of one anchor form a block, about 85 of them in
-   285 characters. Anchors are aggregated by hash; only those seen with two owners can carry a shared window.
+   windows have equal anchors wherever they stand. The windows of one anchor form a block, about 70 of them in
+   270 characters. Anchors are aggregated by hash; only those seen with two owners can carry a shared window.
 2. *Reference blocks.* For these anchors alone the text of the block is read. Equal blocks are one, with the
    smallest and largest owner, so a passage that a third of all rows holds is compared once.
 3. *Factors.* Every block is parsed against all blocks with its anchor: a greedy factor is a maximal run of windows

@@ -38,10 +38,10 @@ def json_object(spark: SparkSession, path: str, schema: StructType) -> DataFrame
 
 def texts(spark: SparkSession, path: str, most: int | None = None, glob: str | None = None, recursive: bool = False) -> DataFrame:
     """(path, text) of whole files, the text cut to ``most`` characters where a cap is the feature; empty files left out."""
-    r = spark.read.option("wholetext", True).option("recursiveFileLookup", recursive)
+    r = spark.read.option("recursiveFileLookup", recursive)
     if glob:
         r = r.option("pathGlobFilter", glob)
-    df = r.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    df = r.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     if most is not None:
         df = df.withColumn("text", F.substring("text", 1, most))
     return df.filter(F.length("text") > 0)

@@ -179,6 +179,10 @@ def fit(labelled: list[tuple[str, set[str]]], unlabelled: list[str], areas: list
     if not train or not len(doc):
         return zero
     n = len(doc)
+    often = np.bincount(feat, minlength=width)[feat] >= 2  # what occurs once says nothing about other remarks
+    rem, feat = rem[often], feat[often]
+    if not len(feat):
+        return zero
     gold = np.zeros((len(texts), k), bool)
     for i, (_, s) in enumerate(train):
         gold[i] = [a in s for a in areas]
@@ -203,7 +207,7 @@ def fit(labelled: list[tuple[str, set[str]]], unlabelled: list[str], areas: list
     model = Model(areas, weights, bias, zero.passing, -9.0, np.full(k, 0.7))
     for fits in range(REFITS + 1):
         for a in range(k):
-            weights[:, a], bias[a] = _logistic(n, rem, feat, bears[:, a], counts[:, a], width)
+            weights[:, a], bias[a] = _logistic(n, rem, feat, bears[:, a], counts[:, a], width, 30 if fits == REFITS else 15)
         if fits < REFITS:
             # an area is borne out by a second remark or by a label; a remark that stands alone is no example, for or against
             p, _ = model.remarks(n, rem, feat)

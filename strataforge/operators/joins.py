@@ -79,6 +79,14 @@ def scored_winner(units: DataFrame, dims: DataFrame, key: list[str], unit_id: st
     return out.select(F.col("_id").alias(unit_id), F.when((score >= LEAST) & (score - sec >= LEAD), F.col("_dim")).alias(dim), score.alias("score"), sec.alias("second"))
 
 
+def _merge_rows(dims: DataFrame, key: list[str], dim_id: str, name: str, keywords: str, paths: str) -> DataFrame:
+    """(key, _id, _name, _kw, _pa) of the named records: what ``fuzzy_pairs`` compares."""
+    lower = lambda c: F.lower(F.trim(c))
+    kw = F.array_sort(F.array_distinct(F.filter(F.transform(_clean(keywords), lower), lambda x: x != "")))
+    pa = F.array_sort(F.array_distinct(_clean(paths)))
+    return dims.select(*key, F.col(dim_id).alias("_id"), F.coalesce(lower(F.col(name)), F.lit("")).alias("_name"), kw.alias("_kw"), pa.alias("_pa")).filter("_name <> ''")
+
+
 def fuzzy_pairs(dims: DataFrame, key: list[str], dim_id: str, name: str, keywords: str, paths: str) -> DataFrame:
     """(left_id, right_id), left_id < right_id, of records that may be merged.
 
@@ -87,11 +95,7 @@ def fuzzy_pairs(dims: DataFrame, key: list[str], dim_id: str, name: str, keyword
     name, keywords and paths only the smallest id takes part (``record_classes`` has the others). Sets are probed by the
     rarest elements of the smaller one, as many as a qualifying pair can't all miss.
     """
-    lower = lambda c: F.lower(F.trim(c))
-    kw = F.array_sort(F.array_distinct(F.filter(F.transform(_clean(keywords), lower), lambda x: x != "")))
-    pa = F.array_sort(F.array_distinct(_clean(paths)))
-    rows = dims.select(*key, F.col(dim_id).alias("_id"), F.coalesce(lower(F.col(name)), F.lit("")).alias("_name"), kw.alias("_kw"), pa.alias("_pa")).filter("_name <> ''")
-    reps = rows.groupBy(*key, "_name", "_kw", "_pa").agg(F.min("_id").alias("_id"))
+    reps = _merge_rows(dims, key, dim_id, name, keywords, paths).groupBy(*key, "_name", "_kw", "_pa").agg(F.min("_id").alias("_id"))
     order = lambda a, b: (F.least(a, b).alias("left_id"), F.greatest(a, b).alias("right_id"))
     # names: every name as itself, and a name without its final s as the plural of another
     n = reps.select(*key, F.col("_id").alias("a"), F.col("_name").alias("m"))
@@ -113,6 +117,25 @@ def fuzzy_pairs(dims: DataFrame, key: list[str], dim_id: str, name: str, keyword
     return by_name.unionByName(by_set("_kw", 1, 2, 2)).unionByName(by_set("_pa", 3, 5, 1)).distinct()
 
 
+def record_classes(dims: DataFrame, key: list[str], dim_id: str, name: str, keywords: str, paths: str) -> DataFrame:
+    """(dim_id, class_id, n_links) of every named record: the representative it stands under in ``fuzzy_pairs``, and with how many records it may be merged.
+
+    Records alike may be merged with each other and with the same others, so two records may be merged if their classes are
+    equal or are a pair: nothing of a class is ever paired row by row. Where a part of ``key`` is null a record is alone.
+    """
+    rows = _merge_rows(dims, key, dim_id, name, keywords, paths)
+    whole = F.lit(True)
+    for k in key:
+        whole = whole & F.col(k).isNotNull()
+    alike = [*key, "_name", "_kw", "_pa"]
+    reps = rows.filter(whole).groupBy(*alike).agg(F.min("_id").alias("class_id"), F.count("*").alias("n"))
+    pairs = fuzzy_pairs(dims, key, dim_id, name, keywords, paths)
+    ways = pairs.select(F.explode(F.array(F.struct(F.col("left_id").alias("class_id"), F.col("right_id").alias("other")), F.struct(F.col("right_id").alias("class_id"), F.col("left_id").alias("other")))).alias("w")).select("w.*")
+    linked = ways.join(reps.select(F.col("class_id").alias("other"), "n"), "other").groupBy("class_id").agg(F.sum("n").alias("near"))
+    classes = reps.join(linked, "class_id", "left").select(*alike, "class_id", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    return rows.join(classes, alike, "left").select(F.col("_id").alias(dim_id), F.coalesce("class_id", "_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+
+
 def phrase_ranks(docs: DataFrame, doc_id: str, text: str, candidates: list[tuple[str, list[str]]]) -> DataFrame:
     """(doc_id, candidate, score, rank) of each candidate with a positive score.
 

@@ -56,6 +56,11 @@ def fuzzy_pairs(spark: SparkSession, d: str) -> DataFrame:
     return joins.fuzzy_pairs(table(spark, d, "domains"), ["repo_id"], "domain_id", "domain_name", "keywords", "paths")
 
 
+def record_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every named domain, copies too, with its representative in ``fuzzy_pairs`` and its links."""
+    return joins.record_classes(table(spark, d, "domains"), ["repo_id"], "domain_id", "domain_name", "keywords", "paths")
+
+
 #: A catalogue of phrases and what else they are called.
 PHRASES = [
     ("audit trail", ["log of the changes"]), ("court fee", []), ("grade book", ["exam sheet"]), ("gives_up", []), ("cold chain", ["truck fleet", "loading ramp"]),
@@ -438,7 +443,7 @@ def code_symbols(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ALL = (
-    p2_found, p4_found, p4_table, p4_replayed, classify_scored, prefix_assign, fuzzy_pairs, phrase_rank, resume_anti, snapshot_diff, cache_hits, index_consistency,
+    p2_found, p4_found, p4_table, p4_replayed, classify_scored, prefix_assign, fuzzy_pairs, record_classes, phrase_rank, resume_anti, snapshot_diff, cache_hits, index_consistency,
     context_precedence, model_hints, term_lines, dedup_first, dedup_last, merged_domains, distinct_files, aliases_ci, canonical_cases, hotspot_topk, distribution,
     theme_distribution, representatives, health_metrics, feedback_pivot, conflicts, adjudicated, signals, cache_stats, theme_patterns, op_distribution, demand_score,
     unit_summary, repo_bands, change_buckets, batches, latest_version, latest_valid_version, retention, ttl_live, lru_evict, arbitrate, sections, section_bodies,

@@ -76,6 +76,12 @@ SQL: dict[str, str] = {
  w AS (SELECT unit_id, min(name) AS lo, max(name) AS hi FROM m GROUP BY unit_id)
  SELECT c.unit_id, CASE WHEN lo = hi THEN lo END AS name FROM change_units c LEFT JOIN w USING (unit_id)""",
     "fuzzy_pairs": f"WITH {_fuzzy()} SELECT left_id, right_id FROM pairs",
+    "record_classes": f"""WITH {_fuzzy()}, named AS (SELECT * FROM r WHERE name <> ''),
+ links AS (SELECT a.id, count(*) AS n FROM named a JOIN named b ON a.repo_id = b.repo_id AND a.id <> b.id
+   WHERE a.name = b.name OR a.name || 's' = b.name OR b.name || 's' = a.name
+   OR (len(list_intersect(a.kw, b.kw)) >= 2 AND 2 * len(list_intersect(a.kw, b.kw)) >= least(len(a.kw), len(b.kw)))
+   OR (len(a.pa) > 0 AND len(b.pa) > 0 AND 5 * len(list_intersect(a.pa, b.pa)) >= 3 * least(len(a.pa), len(b.pa))) GROUP BY a.id)
+ SELECT id AS domain_id, CASE WHEN repo_id IS NULL THEN id ELSE min(id) OVER (PARTITION BY repo_id, name, kw, pa) END AS class_id, coalesce(links.n, 0) AS n_links FROM named LEFT JOIN links USING (id)""",
     "phrase_rank": f"WITH {_phrase_rank()} SELECT doc_id, name AS candidate, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) AS rank FROM s WHERE score > 0",
     "resume_anti": "SELECT raw_id, commit_id FROM raw_commits r WHERE NOT EXISTS (SELECT 1 FROM change_units u WHERE u.commit_id = r.commit_id)",
     "snapshot_diff": """WITH c AS (SELECT commit_id, raw_id, ingested_at, sha256(concat_ws(chr(10), array_to_string(files, chr(10)), array_to_string(diff_chunks, chr(10)), coalesce(author, ''))) AS digest FROM raw_commits),

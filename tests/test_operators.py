@@ -85,6 +85,26 @@ def test_fuzzy_pairs_brute(spark):
     assert got == want and got
 
 
+def test_record_classes_brute(spark):
+    """Copies are rows too, with all their links."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(9)]
+    rows = [(1, rng.choice(["test", "tests", "ax", "", None, f"n{i}"]), i, rng.sample(words, rng.randint(0, 4)) if rng.random() < 0.9 else None, rng.sample(words, rng.randint(0, 5))) for i in range(60)]
+    rows += [(1, f" {(n or '').upper()} ", 100 + i, (p or []) + [""], (k or [])[::-1]) for _, n, i, p, k in rows[:30]] + [(None, "alone", i, ["w1"], ["w1", "w2"]) for i in (200, 201)] + [(2, "copy", i, ["x"], []) for i in (300, 301, 302)]
+    got = {r.domain_id: (r.class_id, r.n_links) for r in joins.record_classes(spark.createDataFrame(rows, DIM), ["repo"], "domain_id", "name", "keywords", "paths").collect()}
+    items = [(i, r, (n or "").strip().lower(), set(k or []), set(p or []) - {""}) for r, n, i, p, k in rows if (n or "").strip()]
+    want = {}
+    for i, r, n, k, p in items:
+        links, same = 0, [i]
+        for j, s, m, l, q in items:
+            if i != j and r is not None and r == s:
+                kw, pa = k & l, p & q
+                links += n == m or n + "s" == m or m + "s" == n or (len(kw) >= 2 and 2 * len(kw) >= min(len(k), len(l))) or bool(p and q and 5 * len(pa) >= 3 * min(len(p), len(q)))
+                same += [j] * ((n, k, p) == (m, l, q))
+        want[i] = (min(same), links)
+    assert got == want and got[302] == (300, 2) and got[201] == (201, 0) and len({c for c, _ in got.values()}) < len(got)
+
+
 def test_phrase_ranks(spark):
     docs = spark.createDataFrame([(1, "The Service-Registry backend must stay"), (2, ""), (3, None), (4, "nothing here")], "id long, t string")
     r = joins.phrase_ranks(docs, "id", "t", [("redis_discovery", ["service registry backend"]), ("service", []), ("must stay", [])]).collect()

@@ -3,9 +3,9 @@
 A survivor is the smallest row under an order of (trust, currency, id) that differs by field, so each group
 costs one partial aggregation whatever its size: nothing of a group is ever collected.
 
-``survivors`` orders by stated timestamps with missing ones last. ``currency_ranks`` and ``most_current`` are
-currency reasoning for rows without one: which value usually follows which is learned from the timestamped rows of
-all groups, and within a group the row whose value comes topologically last is taken.
+``survivors`` orders by stated timestamps with missing ones last. ``most_current`` is currency reasoning for rows without
+one, field by field: which value usually follows which is learned from the timestamped rows of all groups, a group's
+values are ordered by reachability in that graph (cycles are no order), and the row of a topologically last one is taken.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataforge.functions.text import nonblank
-from strataforge.llm.setjoin import path_set
+from strataforge.llm.setjoin import keyword_set, path_set
+from strataforge.session import shared_dir
 
 _LAST = 2**62
 
@@ -81,34 +82,99 @@ def surviving_records(domains: DataFrame, trust: DataFrame) -> DataFrame:
     return heads.join(s.select("group_id").distinct(), "group_id").join(values, "group_id", "left").select("group_id", "repo_id", "domain_name", "description", "keywords", "paths")
 
 
-def currency_ranks(rows: DataFrame, group: list[str], value: str, at: str) -> DataFrame:
-    """(value, rank): a larger rank is usually later. Learned from rows with a timestamp.
+def _net(rows: DataFrame, group: list[str], value: str, at: str) -> DataFrame:
+    """(x, y, net), x < y: in how many groups more x was over before y began than the reverse.
 
-    Per group each value keeps its first and last time only, so a group contributes pairs of *distinct* values, not of
-    rows. v precedes w where it was over before w began more often than the reverse; the rank is the number of values
-    that v follows less those it precedes (a linear extension of the majority order where that order has no cycle).
+    Per group each value keeps its first and last time only, so a group contributes pairs of *distinct* values, not of rows.
     """
     seen = rows.filter(F.col(value).isNotNull() & F.col(at).isNotNull()).groupBy(*group, value).agg(F.min(at).alias("lo"), F.max(at).alias("hi"))
     a = seen.select(*group, F.col(value).alias("v"), F.col("hi").alias("v_hi"))
     b = seen.select(*group, F.col(value).alias("w"), F.col("lo").alias("w_lo"))
     before = a.join(b, group).filter((F.col("v") != F.col("w")) & (F.col("v_hi") < F.col("w_lo"))).groupBy("v", "w").agg(F.count("*").alias("n"))
     lo, hi = F.least("v", "w"), F.greatest("v", "w")
-    net = before.groupBy(lo.alias("x"), hi.alias("y")).agg(F.sum(F.when(F.col("v") == lo, F.col("n")).otherwise(-F.col("n"))).alias("net"))
+    return before.groupBy(lo.alias("x"), hi.alias("y")).agg(F.sum(F.when(F.col("v") == lo, F.col("n")).otherwise(-F.col("n"))).alias("net"))
+
+
+def currency_ranks(rows: DataFrame, group: list[str], value: str, at: str) -> DataFrame:
+    """(value, rank): the number of values that a value follows by majority less those it precedes.
+
+    A figure about each value, not an order: an earlier value can have the larger rank. ``most_current`` doesn't use it.
+    """
+    net = _net(rows, group, value, at)
     each = F.array(F.struct(F.col("x").alias("value"), (-F.signum("net")).alias("d")), F.struct(F.col("y").alias("value"), F.signum("net").alias("d")))
     return net.select(F.explode(each).alias("e")).groupBy(F.col("e.value").alias("value")).agg(F.sum("e.d").cast("long").alias("rank"))
 
 
+class Precedence:
+    """The learned graph: v precedes w where that was seen in more groups than the reverse.
+
+    A value of one group only has all its links there, where times are an order already; so paths between groups lead
+    through values of several groups (``shared``), and only their graph is closed, by doubling.
+    """
+
+    def __init__(self, rows: DataFrame, group: list[str], value: str, at: str):
+        shared_dir(rows.sparkSession)
+        net = _net(rows, group, value, at).filter("net <> 0")
+        e = net.select(F.when(F.col("net") > 0, F.col("x")).otherwise(F.col("y")).alias("v"), F.when(F.col("net") > 0, F.col("y")).otherwise(F.col("x")).alias("w"))
+        shared = rows.filter(F.col(value).isNotNull() & F.col(at).isNotNull()).select(*group, F.col(value).alias("k")).distinct().groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k", F.lit(True).alias("s"))
+        e = e.join(shared.withColumnsRenamed({"k": "v", "s": "vs"}), "v", "left").join(shared.withColumnsRenamed({"k": "w", "s": "ws"}), "w", "left")
+        e = e.select("v", "w", F.coalesce("vs", F.lit(False)).alias("vs"), F.coalesce("ws", F.lit(False)).alias("ws")).checkpoint()
+        # between two shared values a path may also lead over a value of one group
+        over = e.filter("vs and not ws").select("v", F.col("w").alias("m")).join(e.filter("ws and not vs").select(F.col("v").alias("m"), "w"), "m").filter("v <> w")
+        self.edges = e.unionByName(over.select("v", "w", F.lit(True).alias("vs"), F.lit(True).alias("ws"))).distinct().checkpoint()
+        reach, n = self.edges.filter("vs and ws").select("v", "w").checkpoint(), -1
+        while n != (n := reach.count()):
+            further = reach.select("v", F.col("w").alias("m")).join(reach.select(F.col("v").alias("m"), "w"), "m").filter("v <> w").select("v", "w")
+            reach = reach.unionByName(further).distinct().checkpoint()
+        self.closed = reach
+
+    def later(self, pairs: DataFrame) -> DataFrame:
+        """Of distinct (v, w), with each pair both ways, those where w is reachable from v and v isn't from w."""
+        first = pairs.select("v").distinct().join(self.edges.filter("ws").select("v", F.col("w").alias("k")), "v")
+        far = first.join(self.closed.select(F.col("v").alias("k"), F.col("w").alias("to")), "k").select("v", F.col("to").alias("k"))
+        met = first.unionByName(far).distinct()
+        last = pairs.join(self.edges.filter("vs").select(F.col("v").alias("k"), "w"), "w").join(met, ["v", "k"]).select("v", "w")
+        reached = pairs.join(self.edges.select("v", "w"), ["v", "w"], "left_semi").unionByName(pairs.join(met.withColumnRenamed("k", "w"), ["v", "w"], "left_semi").select("v", "w")).unionByName(last).distinct().checkpoint()
+        return reached.join(reached.select(F.col("v").alias("w"), F.col("w").alias("v")), ["v", "w"], "left_anti")
+
+
+def _field_values(domains: DataFrame) -> DataFrame:
+    """A row per record and filled field: (field_name, repo_id, key, domain_id, seen_at, v)."""
+    digest = lambda c: F.md5(F.concat_ws("\x1f", c))
+    values = {
+        "source": F.when(nonblank(F.col("source")), F.col("source")),
+        "description": F.when(nonblank(F.col("description")), digest(F.trim("description"))),
+        "keywords": F.when(_filled(F.col("keywords")), digest(keyword_set(F.col("keywords")))),
+        "paths": F.when(_filled(F.col("paths")), digest(path_set(F.col("paths")))),
+    }
+    each = F.array(*(F.struct(F.lit(f).alias("field_name"), F.concat(F.lit(f + ":"), v).alias("v")) for f, v in values.items()))
+    return domains.select("repo_id", "key", "domain_id", "seen_at", F.explode(each).alias("x")).select("repo_id", "key", "domain_id", "seen_at", "x.field_name", "x.v").filter(F.col("v").isNotNull())
+
+
 def most_current(domains: DataFrame) -> DataFrame:
-    """(group_id, current_id, by): the most current row of each group of two or more.
+    """(group_id, field_name, current_id, by): the row with the most current value of each field (source, description,
+    keywords, paths) in each group of two or more; no row for a field that is blank in the whole group.
 
-    Among rows with a timestamp the latest is known; a row without one is more current if its source comes
-    later in the learned order than the source of that row. by is 'time' or 'currency'; ties end with the smaller id.
+    Among rows with a timestamp the latest is known. A row without one is more current if its value is reachable from the
+    value of that row in the field's learned graph, and not the reverse; of several one is taken whose value none of the
+    others follows. by is 'time' or 'currency' (also where no row has a timestamp); ties end with the smaller id.
     """
     keyed = domains.withColumn("key", name_key(F.col("domain_name"))).filter(F.col("key").isNotNull() & F.col("repo_id").isNotNull() & F.col("domain_id").isNotNull())
-    ranks = currency_ranks(keyed, ["repo_id", "key"], "source", "seen_at").withColumnRenamed("value", "source")
-    r = keyed.join(ranks, "source", "left").withColumn("rank", F.coalesce("rank", F.lit(-_LAST)))
-    t = F.when(F.col("seen_at").isNotNull(), F.struct((-F.unix_micros(F.col("seen_at").cast("timestamp"))).alias("t"), "domain_id", "rank"))
-    u = F.when(F.col("seen_at").isNull(), F.struct((-F.col("rank")).alias("k"), "domain_id"))
-    g = r.groupBy("repo_id", "key").agg(F.min("domain_id").alias("group_id"), F.count("*").alias("n"), F.min(t).alias("t"), F.min(u).alias("u")).filter("n >= 2")
-    untimed = F.col("t").isNull() | (F.col("u").isNotNull() & (-F.col("u.k") > F.col("t.rank")))
-    return g.select("group_id", F.when(untimed, F.col("u.domain_id")).otherwise(F.col("t.domain_id")).alias("current_id"), F.when(untimed, "currency").otherwise("time").alias("by"))
+    group = ["field_name", "repo_id", "key"]
+    groups = keyed.groupBy("repo_id", "key").agg(F.min("domain_id").alias("group_id"), F.count("*").alias("n")).filter("n >= 2").drop("n")
+    rows = _field_values(keyed)
+    learned = Precedence(rows, group, "v", "seen_at")
+    own = rows.join(groups, ["repo_id", "key"]).drop("repo_id", "key")
+    g = ["group_id", "field_name"]
+    timed = own.filter(F.col("seen_at").isNotNull()).groupBy(*g).agg(F.min(F.struct((-F.unix_micros(F.col("seen_at").cast("timestamp"))).alias("t"), "domain_id", "v")).alias("t")).select(*g, F.col("t.v").alias("v0"), F.col("t.domain_id").alias("id0"))
+    undated = own.filter(F.col("seen_at").isNull()).groupBy(*g, "v").agg(F.min("domain_id").alias("id"))
+    # the candidates of a group: the latest value, and the other ones without a timestamp
+    rest = undated.join(timed.select(*g, "v0"), g, "left").filter(F.col("v0").isNull() | (F.col("v0") != F.col("v"))).select(*g, "v", "id", F.lit(False).alias("dated"), F.col("v0").isNotNull().alias("known"))
+    c = timed.select(*g, F.col("v0").alias("v"), F.col("id0").alias("id"), F.lit(True).alias("dated"), F.lit(True).alias("known")).unionByName(rest).checkpoint()
+    both = c.select(*g, "v", "dated").join(c.select(*g, F.col("v").alias("w")), g).filter("v <> w").checkpoint()
+    later = both.join(learned.later(both.select("v", "w").distinct()), ["v", "w"])
+    followed = later.select(*g, "v").distinct()
+    passing = later.filter("dated").select(*g, F.col("w").alias("v"), F.lit(True).alias("passes")).distinct()
+    left = c.join(followed, [*g, "v"], "left_anti").join(passing, [*g, "v"], "left").filter(F.col("dated") | ~F.col("known") | F.col("passes"))
+    won = left.groupBy(*g).agg(F.min_by("dated", "id").alias("dated"), F.min("id").alias("current_id"))
+    return won.select(*g, "current_id", F.when(F.col("dated"), "time").otherwise("currency").alias("by"))

@@ -97,6 +97,71 @@ def test_currency(spark):
     assert got[100] == (101, "currency") and got[1] == (2, "time")
 
 
+def test_currency_by_field_and_reachability(spark):
+    at = lambda d: T(2020, 1, d)
+    rows, n = [], 0
+
+    def group(repo, *values, field="description"):
+        nonlocal n
+        first = n + 1
+        for v, t in values:
+            n += 1
+            what = {"description": None, "paths": None, "keywords": None, "source": None} | {field: [v] if field in ("paths", "keywords") else v}
+            rows.append((n, repo, "x", what["description"], what["paths"], what["keywords"], what["source"], t))
+        return first
+
+    for k, (v, w) in enumerate([("a", "b"), ("b", "c"), ("b", "d"), ("b", "e"), ("p", "q"), ("q", "r"), ("r", "p"), ("k", "l"), ("l", "m")]):
+        for f in ("description", "keywords", "paths", "source"):
+            group(1000 + 10 * k + len(f), (v, at(1)), (w, at(2)), field=f)
+    want = {}
+    for j, f in enumerate(("description", "keywords", "paths", "source")):
+        for k, (values, place, by) in enumerate([
+            ([("b", at(5)), ("a", None)], 0, "time"),  # by net degree a came after b
+            ([("a", at(5)), ("c", None)], 1, "currency"),  # a path of two steps, never seen together
+            ([("a", at(5)), ("b", None), ("e", None)], 2, "currency"),  # the last of three
+            ([("p", at(5)), ("q", None)], 0, "time"),  # a cycle is no order
+            ([("c", at(5)), ("m", None)], 0, "time"),  # nothing learned
+            ([("m", None), ("l", None), ("k", None)], 0, "currency"),
+            ([("k", None), ("l", None), ("m", None)], 2, "currency"),
+        ]):
+            first = group(1 + 100 * j + k, *values, field=f)
+            want[first, f] = (first + place, by)
+    got = {(r.group_id, r.field_name): (r.current_id, r.by) for r in survivors.most_current(spark.createDataFrame(rows, DOM)).collect()}
+    assert {k: got.get(k) for k in want} == want and len(got) == len(want) + 36
+
+
+def test_currency_against_brute_force(spark):
+    rng = random.Random(11)
+    rows = [(i, rng.randint(1, 25), "x", rng.choice("abcdefghijkl") if rng.random() < 0.7 else f"own{i}", None, None, None, T(2020, 1, rng.randint(1, 20)) if rng.random() < 0.7 else None) for i in range(1, 121)]
+    groups, net = {}, {}
+    for r in rows:
+        groups.setdefault(r[1], []).append((r[0], r[3], r[7]))
+    for members in groups.values():
+        span = {}
+        for _, v, t in members:
+            if t:
+                span[v] = (min(t, span.get(v, (t, t))[0]), max(t, span.get(v, (t, t))[1]))
+        for v in span:
+            for w in span:
+                if span[v][1] < span[w][0]:
+                    net[v, w], net[w, v] = net.get((v, w), 0) + 1, net.get((w, v), 0) - 1
+    nodes = {v for v, _ in net}
+    reach = {k for k, x in net.items() if x > 0}
+    for k in nodes:
+        reach |= {(v, w) for v in nodes if (v, k) in reach for w in nodes if (k, w) in reach}
+    later = lambda v, w: (v, w) in reach and (w, v) not in reach
+    want = {}
+    for members in groups.values():
+        if len(members) > 1:
+            dated = sorted((m for m in members if m[2]), key=lambda m: (-m[2].timestamp(), m[0]))[:1]
+            c = dated + [m for m in members if not m[2] and all(m[1] != d[1] for d in dated)]
+            fit = [m for m in c if not m[2] and (not dated or later(dated[0][1], m[1]))] or dated
+            best = min(m for m in fit if not any(later(m[1], o[1]) for o in fit))
+            want[min(m[0] for m in members)] = (best[0], "time" if best[2] else "currency")
+    got = {r.group_id: (r.current_id, r.by) for r in survivors.most_current(spark.createDataFrame(rows, DOM)).collect()}
+    assert got == want and len(set(by for _, by in got.values())) == 2
+
+
 TERMS = [(1, "ember-arbitration", "term", ["femupe"]), (2, "ember-arbitration", "team", []), (3, "hollow-ranking", "stage", None), (4, "quartz-retention", "module", ["pepiza"]), (5, "", "term", []), (6, None, None, None)]
 
 

@@ -3,11 +3,13 @@
 Both sides become words (NFKC, without zero-width characters, lower case). A window of WINDOW words is embedded by a
 random walk that reads a word and, by a random bit of (step, word), stays or goes on: windows at a small edit distance
 then agree at most steps. The LSH key of a repeat is a hash of the words read at some sampled steps. Candidates with an
-equal key are verified exactly, by the words themselves (``edits`` = 0) or by word edit distance.
+equal key are verified exactly, by the words themselves (``edits`` = 0) or by word edit distance. With ``slack`` the end of a
+document's window is free: it may have so many words more or less than the item's, so words added or dropped inside a
+passage don't count once more at its end.
 
 Windows that can't match are passed over before they are embedded: with ``edits`` edits, one of edits + 1 equal parts of
-the window stands unchanged, so the window must hold that many words whose neighbours are neighbours in some item.
-This drops no match. The items are a list of bounded size (MAX_ITEMS is enforced) and travel with the tasks; the corpus
+the window stands unchanged, so the window must hold that many words in a row as in some item, and an edit parts two pairs
+of neighbours at most, so all others must be neighbours in some item. This drops no match. The items are a list of bounded size (MAX_ITEMS is enforced) and travel with the tasks; the corpus
 is read once, in Arrow batches, and isn't shuffled except for the distinct (document, item) pairs.
 """
 
@@ -58,37 +60,42 @@ class Embedding:
 
     def keys(self, w: np.ndarray) -> np.ndarray:
         """w: rows of word hashes -> one LSH key per row."""
-        n = len(w)
+        n, width = w.shape
         w = np.hstack([w, np.zeros((n, 1), np.uint64)])  # the pad that is read beyond the end
         at, rows, key = np.zeros(n, np.int64), np.arange(n), np.zeros(n, np.uint64)
         for j in range(self.last + 1):
             x = w[rows, at]
             if self.sampled[j]:
                 key = _mix(key * _U(0x9E3779B97F4A7C15) + x + _U(j))
-            at = np.minimum(at + (_mix(x ^ self.salts[j]) >> _U(63)).astype(np.int64), self.window)
+            at = np.minimum(at + (_mix(x ^ self.salts[j]) >> _U(63)).astype(np.int64), width)
         return key
 
 
 class Items:
     """The index of all windows of the items, one sorted key list per repeat."""
 
-    def __init__(self, items: list[tuple[int, str | None]], window: int = WINDOW, edits: int = 0, samples: int = 8, repeats: int = 1, seed: int = 7):
+    def __init__(self, items: list[tuple[int, str | None]], window: int = WINDOW, edits: int = 0, samples: int = 8, repeats: int = 1, seed: int = 7, slack: int = 0):
         import xxhash
 
-        self.window, self.edits = window, edits
+        if slack and not edits:
+            raise ValueError("equal windows are equally long")
+        self.window, self.edits, self.slack = window, edits, slack
+        self.part = window // (edits + 1)  # words that stand unchanged in a row
         self.hash = lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
         texts = [(i, words(t)) for i, t in sorted(items, key=lambda x: x[0])]
         self.vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for _, ws in texts for w in ws))}
         self.hashes = np.array([self.hash(w) for w in self.vocabulary] or [0], np.uint64)
-        rows, owner, pairs = [], [], [np.zeros(0, np.int64)]
+        rows, owner, pairs, grams = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         for i, ws in texts:
             ids = np.array([self.vocabulary[w] for w in ws], np.int64)
             pairs.append(ids[:-1] * len(self.vocabulary) + ids[1:])
+            if edits and self.part and len(ids) >= self.part:
+                grams.append(self._gram(ids, np.arange(len(ids) - self.part + 1)))
             if len(ids) >= window:
                 v = np.lib.stride_tricks.sliding_window_view(ids, window)
                 rows.append(v)
                 owner += [i] * len(v)
-        self.pairs = np.unique(np.concatenate(pairs))
+        self.pairs, self.grams = np.unique(np.concatenate(pairs)), np.unique(np.concatenate(grams))
         self.rows = np.vstack(rows) if rows else np.zeros((0, window), np.int64)
         self.owner = np.array(owner, np.int64)
         self.walks = [Embedding(seed + r, window, samples) for r in range(repeats)]
@@ -98,22 +105,37 @@ class Items:
             order = np.argsort(k, kind="stable")
             self.keys.append((k[order], order))
 
+    def _gram(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Hashes of the ``part`` words from each place on."""
+        key = np.zeros(len(at), np.uint64)
+        for j in range(self.part):
+            key = _mix(key * _U(0x9E3779B97F4A7C15) + ids[at + j].astype(np.uint64) + _U(j + 1))
+        return key
+
     def _starts(self, ids: np.ndarray, valid: np.ndarray) -> np.ndarray:
         """Starts of the windows that hold a long enough run of words neighbouring as in an item."""
-        if len(ids) < self.window or not len(self.pairs):
+        if len(ids) < self.window - self.slack or not len(self.pairs):
             return np.zeros(0, np.int64)
         pair = np.where((ids[:-1] >= 0) & (ids[1:] >= 0), ids[:-1] * len(self.vocabulary) + ids[1:], -1)
         good = self.pairs[np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)] == pair
-        run = self.window // (self.edits + 1) - 1  # neighbouring pairs within an unchanged part
-        if run:
-            total = np.r_[0, np.cumsum(good)]
-            seed = total[run:] - total[:-run] == run
+        run = self.part - 1  # neighbouring pairs within an unchanged part
+        near = np.r_[0, np.cumsum(good)]
+        if run > 0:
+            seed = near[run:] - near[:-run] == run
+            if self.edits:
+                at = np.flatnonzero(seed)
+                g = self._gram(ids, at)
+                seed[at] = len(self.grams) and self.grams[np.minimum(np.searchsorted(self.grams, g), len(self.grams) - 1)] == g
         else:
-            seed = ids >= 0
+            run, seed = 0, ids >= 0
         total = np.r_[0, np.cumsum(seed)]
-        span = self.window - run  # a window holds that many places for the part
-        n = len(ids) - self.window + 1
-        return np.flatnonzero((total[span : span + n] > total[:n]) & valid[:n])
+        width = self.window + self.slack
+        n = len(ids) - self.window + self.slack + 1
+        to = lambda c, span: c[np.minimum(np.arange(n) + span, len(c) - 1)]  # noqa: E731  (the last windows end with the text)
+        fit = to(total, width - run) > total[np.minimum(np.arange(n), len(total) - 1)]  # a window holds that many places for the part
+        if self.edits:
+            fit &= to(near, width - 1) - near[np.minimum(np.arange(n), len(near) - 1)] >= self.window - 1 - 2 * self.edits
+        return np.flatnonzero(fit & valid[:n])
 
     def match(self, docs: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(document no, item id) pairs, possibly repeated."""
@@ -124,7 +146,7 @@ class Items:
         edge = np.cumsum(size)
         doc = np.repeat(np.arange(len(lists)), size)
         left = np.repeat(edge, size) - np.arange(len(ids))
-        starts = self._starts(ids, left >= self.window)
+        starts = self._starts(ids, left >= self.window - self.slack)
         found = []
         if len(starts) and self.edits:
             memo: dict[str, int] = {}
@@ -132,8 +154,11 @@ class Items:
             hashes = np.fromiter((memo[w] if w in memo else memo.setdefault(w, self.hash(w)) for w in flat), np.uint64, len(ids))
         for lo in range(0, len(starts), _PART):
             s = starts[lo : lo + _PART]
-            at = s[:, None] + np.arange(self.window)
-            w = self.hashes[ids[at]] if not self.edits else hashes[at]
+            at = s[:, None] + np.arange(self.window + self.slack)
+            if self.edits:  # nothing is read beyond the end of the document
+                w = np.where(at < edge[doc[s]][:, None], hashes[np.minimum(at, len(ids) - 1)], _U(0))
+            else:
+                w = self.hashes[ids[at]]
             for e, (keys, order) in zip(self.walks, self.keys):
                 k = e.keys(w)
                 a, b = np.searchsorted(keys, k, "left"), np.searchsorted(keys, k, "right")
@@ -142,7 +167,7 @@ class Items:
                 hit = order[np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)]
                 if self.edits:
                     pairs = np.unique(np.stack([q, hit], 1), axis=0)
-                    ok = _distance(w[pairs[:, 0]], self.hashes[self.rows[pairs[:, 1]]]) <= self.edits if len(pairs) else np.zeros(0, bool)
+                    ok = _distance(self.hashes[self.rows[pairs[:, 1]]], w[pairs[:, 0]], self.slack) <= self.edits if len(pairs) else np.zeros(0, bool)
                     q, hit = pairs[ok, 0], pairs[ok, 1]
                 else:
                     ok = (ids[at[q]] == self.rows[hit]).all(axis=1)
@@ -155,21 +180,21 @@ class Items:
         return out[:, 0], out[:, 1]
 
 
-def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Word edit distance of each row of a from the same row of b."""
-    n, m = a.shape
+def _distance(a: np.ndarray, b: np.ndarray, slack: int = 0) -> np.ndarray:
+    """Word edit distance of each row of a from the same row of b, or from its start up to a word among the last 2 * slack + 1."""
+    n, m = b.shape
     last = np.tile(np.arange(m + 1), (n, 1))
-    for i in range(m):
+    for i in range(a.shape[1]):
         row = np.empty_like(last)
         row[:, 0] = i + 1
         for j in range(m):
             row[:, j + 1] = np.minimum(np.minimum(last[:, j + 1], row[:, j]) + 1, last[:, j] + (a[:, i] != b[:, j]))
         last = row
-    return last[:, m]
+    return last[:, m - 2 * slack :].min(axis=1)
 
 
-def leaks(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text: str = "text", item_text: str = "text", window: int = WINDOW, edits: int = 0, samples: int = 8, repeats: int = 1) -> DataFrame:
-    """Distinct (doc_id, item_id): documents with a window of ``window`` words within ``edits`` word edits of one of the item's.
+def leaks(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text: str = "text", item_text: str = "text", window: int = WINDOW, edits: int = 0, samples: int = 8, repeats: int = 1, slack: int = 0) -> DataFrame:
+    """Distinct (doc_id, item_id): documents with a window of ``window`` words, up to ``slack`` more or less, within ``edits`` word edits of one of the item's.
 
     With edits = 0 the result is exact whatever samples and repeats are, since equal windows have equal keys; with more
     it depends on them. Null and empty texts, and items of fewer words than a window, match nothing; repeated documents
@@ -178,7 +203,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text: st
     listed = items.filter(F.col(item_id).isNotNull()).select(item_id, item_text).limit(MAX_ITEMS + 1).collect()  # the evaluation set: bounded
     if len(listed) > MAX_ITEMS:
         raise ValueError(f"more than {MAX_ITEMS} items")
-    share = docs.sparkSession.sparkContext.broadcast((listed, window, edits, samples, repeats))
+    share = docs.sparkSession.sparkContext.broadcast((listed, window, edits, samples, repeats, 7, slack))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, *how = share.value

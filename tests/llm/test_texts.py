@@ -180,6 +180,52 @@ def test_recall_of_near_leaks():
     assert got <= want and len(got) >= 0.9 * len(want) > 50
 
 
+def edited_passages(rng, n, vocab, items):
+    """Documents with 16 words of an item in which up to three words are changed, dropped or added, never at the ends, between words of no item."""
+    docs = []
+    for _ in range(n):
+        v = rng.choice(items)[1].split()
+        k = rng.randrange(len(v) - 15)
+        w = v[k : k + 16]
+        for _ in range(rng.choice([0, 1, 2, 2, 2, 3])):
+            k = rng.randrange(1, len(w) - 1)
+            w = rng.choice([w[:k] + [f"q{rng.random()}"] + w[k + 1 :], w[:k] + w[k + 1 :], w[:k] + [f"q{rng.random()}"] + w[k:], w[:k] + [rng.choice(vocab)] + w[k:]])
+        docs.append(" ".join([*(f"a{rng.random()}" for _ in range(rng.randint(0, 3))), *w, *(f"b{rng.random()}" for _ in range(rng.randint(0, 3)))]).replace(".", ""))
+    return docs
+
+
+def free_ends(w, v):
+    """Smallest edit distance of v from any part of w."""
+    last = [0] * (len(w) + 1)
+    for i, x in enumerate(v, 1):
+        row = [i]
+        for j, y in enumerate(w, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        last = row
+    return min(last)
+
+
+def test_recall_of_edited_passages():
+    """Words added or dropped inside a passage of 16 words don't cost its end too; the truth knows no windows in the document."""
+    rng = random.Random(3)
+    vocab = [f"v{i}" for i in range(80)]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(30))) for i in range(20)]
+    docs = edited_passages(rng, 400, vocab, items)
+    want = {(d, i) for d, t in enumerate(docs) for i, u in items if any(free_ends(t.split(), u.split()[m : m + 16]) <= 2 for m in range(15))}
+    a, b = leakage.Items(items, edits=2, samples=6, repeats=16, slack=2).match(docs)
+    got = set(zip(a.tolist(), b.tolist()))
+    a, b = leakage.Items(items, edits=2, samples=6, repeats=16).match(docs)
+    assert got <= want and len(got) >= 0.9 * len(want) > 250 and len(set(zip(a.tolist(), b.tolist()))) < 0.9 * len(want), (len(got & want), len(got), len(want), len(a))
+
+
+def test_two_words_added_or_dropped_at_any_place(spark):
+    w = [f"w{i}" for i in range(16)]
+    docs = [(1, [*w[:5], "x", *w[5:9], "y", *w[9:]]), (2, [*w[:5], *w[6:9], *w[10:]]), (3, [*w[:5], "x", *w[5:9], "y", *w[9:12], "z", *w[12:]]), (4, [*w[:5], *w[6:9], *w[10:12], *w[13:]])]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in docs], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(w))], "item_id long, text string")
+    assert {r.doc_id for r in leakage.leaks(df, items, "doc_id", "item_id", edits=2, samples=2, repeats=60, slack=2).collect()} == {1, 2}
+
+
 def sample_docs(n, rng):
     """Invented remarks on two areas and on none, with passing remarks, in one wording each."""
     terms = {"law": [f"court{c} fee{c}" for c in "abcdefgh"], "sport": [f"goal{c} log{c}" for c in "abcdefgh"]}

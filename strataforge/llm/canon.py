@@ -2,8 +2,9 @@
 
 Values are deduplicated before anything is scored, so a value that a third of all rows carries costs one lookup.
 Each distinct value is normalised, candidates come from an inverted index of character n-grams, weighted by inverse
-document frequency and ranked by cosine; of the best, those stay in which every word of the entry is found in the value
-(spelt alike, shortened, or run together), and the best of them is taken if it leads the next by a margin.
+document frequency and ranked by cosine; of all that share an n-gram, those stay in which every word of the entry is found
+in the value (spelt alike, shortened, or run together), and the best of them is taken if it leads the next by a margin.
+Entries that can't be covered are told by their words and by their letter counts, without being compared.
 
 The reference list is a dimension of bounded size (MAX_ENTRIES is enforced); its index travels with the tasks.
 """
@@ -13,6 +14,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import defaultdict
 from functools import lru_cache
 
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 from strataforge.functions.text import nonblank, squeeze
 
 MAX_ENTRIES = 100_000
-#: Candidates that are looked at, those of the largest cosine; word likeness for acceptance, and lead over the next.
-KEEP, ACCEPT, MARGIN = 12, 0.70, 0.03
+#: Word likeness for acceptance, and lead over the next.
+ACCEPT, MARGIN = 0.70, 0.03
 #: Shortest beginning of a word that stands for it.
 SHORTEST = 3
 
@@ -125,6 +127,60 @@ class Index:
             for x in g:
                 lists[x].append((i, self.idf[x] ** 2 / norm))
         self.lists = {x: (np.array([i for i, _ in p]), np.array([w for _, w in p])) for x, p in lists.items()}
+        self.vocabulary = sorted(self.known)
+        place = {w: k for k, w in enumerate(self.vocabulary)}
+        # the words of each form; the place behind the vocabulary fills up and always fits, the one behind that never does
+        self.parts = np.full((len(forms), max(map(len, self.words), default=1) or 1), len(place))
+        for i, ws in enumerate(self.words):
+            self.parts[i, : len(ws)] = [place[w] for w in ws]
+            self.parts[i, 0] = place[ws[0]] if ws else len(place) + 1
+        whole = ["".join(ws) for ws in self.words]
+        self.letters = {c: k for k, c in enumerate(sorted({c for x in whole for c in x}))}
+        self.word_letters, self.form_letters = self._counts(self.vocabulary), self._counts(whole)
+        self.word_most = np.array([2 * _allowed(len(w)) for w in self.vocabulary], int)
+        self.form_most = np.array([2 * min(3, _allowed(len(x))) if len(x) >= 6 else -1 for x in whole], int)
+        self._cached()
+
+    def _cached(self) -> None:
+        self._near, self._runs = lru_cache(1 << 16)(self._near_words), lru_cache(1 << 12)(self._near_forms)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("_near", "_runs")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._cached()
+
+    def _counts(self, texts: list[str]) -> np.ndarray:
+        """How often each letter of the list is in each text; the last column has all other letters."""
+        out = np.zeros((len(texts), len(self.letters) + 1), np.int16)
+        for i, t in enumerate(texts):
+            for c in t:
+                out[i, self.letters.get(c, -1)] += 1
+        return out
+
+    def _near_words(self, v: str) -> np.ndarray:
+        """Words of the list for which a word of a value can stand. An edit changes two letter counts at most."""
+        close = np.abs(self.word_letters - self._counts([v])).sum(axis=1) <= self.word_most
+        lo = bisect_left(self.vocabulary, v)
+        hi = bisect_left(self.vocabulary, v + chr(0x10FFFF))
+        near = {*np.flatnonzero(close).tolist(), *range(lo, hi)} | ({bisect_left(self.vocabulary, v[:-1])} if v.endswith("s") else set())
+        return np.array([k for k in sorted(near) if k < len(self.vocabulary) and (v == self.vocabulary[k] if v in self.known else alike(v, self.vocabulary[k]) >= ACCEPT)], int)
+
+    def _near_forms(self, run: str) -> np.ndarray:
+        """Forms that can be meant by a word in which they are run together."""
+        return np.flatnonzero(np.abs(self.form_letters - self._counts([run])).sum(axis=1) <= self.form_most)
+
+    def coverable(self, value: list[str]) -> np.ndarray:
+        """Every form of which ``covered`` can be above 0, and some others."""
+        fits = np.zeros(len(self.vocabulary) + 2, bool)
+        fits[-2] = True
+        for v in set(value):
+            fits[self._near(v)] = True
+        out = fits[self.parts].all(axis=1)
+        for run in {v for v in value if v not in self.known} | {"".join(value)}:
+            out[self._runs(run)] = True
+        return np.flatnonzero(out)
 
     @staticmethod
     def grams(ws) -> set[str]:
@@ -146,11 +202,10 @@ class Index:
                 i, w = self.lists[x]
                 score[i] += w
         score /= math.sqrt(norm) or 1.0
-        top = np.argsort(-score, kind="stable")[:KEEP]
-        ranked = sorted(((covered(value, self.words[i], self.known), float(score[i]), i) for i in top if score[i] > 0), key=lambda x: (-x[0], -x[1], x[2]))
+        ranked = sorted(((covered(value, self.words[i], self.known), float(score[i]), i) for i in self.coverable(value) if score[i] > 0), key=lambda x: (-x[0], -x[1], x[2]))
         ranked = [r for r in ranked if r[0] >= ACCEPT]
         if not ranked:
-            return None, 0.0, 0.0, float(score[top[0]]) if len(top) else 0.0
+            return None, 0.0, 0.0, float(score.max())
         first = ranked[0]
         lead = first[0] - max((r[0] for r in ranked[1:] if self.words[r[2]] != self.words[first[2]]), default=0.0)
         return (self.forms[first[2]] if lead >= MARGIN else None), first[0], lead, first[1]

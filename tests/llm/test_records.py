@@ -176,6 +176,32 @@ def test_meant_entries(text, term):
     assert forms.get(form, -1) == term
 
 
+def test_entries_of_any_rank():
+    """An entry counts, as the one meant and as a rival, however many others have a larger cosine."""
+    others = [f"holm {c}{d}" for c, d in zip("abcdefghijklmno", "qrstuvwxyzqrstu")]
+    assert canon.Index([*others, "holographically"]).map("hol")[0] == "holographically"
+    assert canon.Index([*others[:11], "holographs"]).map("hol")[0] == "holographs"
+    assert canon.Index([*others[:11], "holographs", "holographically"]).map("hol")[0] is None
+
+
+def test_no_coverable_entry_is_passed_over():
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(2, 9)))
+    base = [word() for _ in range(40)]
+    index = canon.Index(sorted({" ".join(rng.sample(base, rng.randint(1, 3))) for _ in range(80)} | {"--", "été"}))
+    seen = 0
+    for _ in range(800):
+        ws = list(rng.choice(index.words)) or ["x"]
+        k = rng.randrange(len(ws))
+        j = rng.randrange(len(ws[k]))
+        ws[k] = rng.choice([ws[k], ws[k] + "s", ws[k][: max(3, j)], ws[k][:j] + rng.choice("abz日") + ws[k][j:], ws[k][:j] + ws[k][j + 1 :], ws[k][:j] + ws[k][j : j + 2][::-1] + ws[k][j + 2 :]])
+        value = [w for w in rng.choice([ws, ["".join(ws)], ["".join(ws[::-1])], ws + [word()], ws[::-1]]) if w]
+        right = {i for i, e in enumerate(index.words) if e and canon.covered(value, e, index.known) > 0} if value else set()
+        assert right <= set(index.coverable(value).tolist())
+        seen += len(right)
+    assert seen > 800
+
+
 def test_alias_rows(spark):
     rows = [
         (1, "x", "Ember Arbitration", "TEAM "), (2, "femupe", "?", "team"), (3, "femupe", " TBD ", None), (4, None, "-", None), (5, None, None, "t"), (6, " ", "", "t"), (7, "hollow-ranking", None, "zzz"),

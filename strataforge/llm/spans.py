@@ -1,4 +1,4 @@
-"""Long exact spans that rows share: relative Lempel-Ziv factors against reference blocks.
+"""Long exact spans that rows share, by fingerprints of windows in content-anchored blocks (instead of relative Lempel-Ziv).
 
 A row's text is shared where a window of ``MIN`` characters also occurs in a text of another owner. Comparing all
 windows would move the whole corpus once per character, so the reference is cut into blocks by content:
@@ -8,10 +8,9 @@ windows would move the whole corpus once per character, so the reference is cut
    270 characters. Anchors are aggregated by hash; only those seen with two owners can carry a shared window.
 2. *Reference blocks.* For these anchors alone the text of the block is read. Equal blocks are one, with the
    smallest and largest owner, so a passage that a third of all rows holds is compared once.
-3. *Factors.* Every block is parsed against all blocks with its anchor: a greedy factor is a maximal run of windows
-   each of which another owner holds, hence at least MIN characters long. A factor that reaches the border of its
-   block goes on in the next one, because every window belongs to exactly one block: the borders need no other check
-   and no factor is lost there.
+3. *Factors.* The windows of all blocks of one anchor are compared by fingerprint; nothing is parsed and no match is
+   extended. What is called a factor here is a maximal run of windows each of which another owner holds, hence at least
+   MIN characters long. Every window belongs to exactly one block, so nothing is lost at the border of one.
 4. Factors of a row are united, so each position counts once.
 
 Windows are compared by two 64-bit polynomial fingerprints with different bases. Blocks with one anchor are compared

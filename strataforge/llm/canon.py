@@ -1,12 +1,16 @@
 """Free-entered values mapped to the closest entry of a reference list, or to none.
 
-Values are deduplicated before anything is scored, so a value that a third of all rows carries costs one lookup.
-Each distinct value is normalised, candidates come from an inverted index of character n-grams, weighted by inverse
-document frequency and ranked by cosine; of all that share an n-gram, those stay in which every word of the entry is found
-in the value (spelt alike, shortened, or run together), and the best of them is taken if it leads the next by a margin.
-Entries that can't be covered are told by their words and by their letter counts, without being compared.
-
-The reference list is a dimension of bounded size (MAX_ENTRIES is enforced); its index travels with the tasks.
+1. *Deduplicate and normalise.* Equal values are one, then values that normalise to the same words are one (NFKC, look-alike
+   letters, camel case, lower case), so a value that a third of all rows carries is looked up once.
+2. *Candidates* come from inverted indexes of character n-grams: padded bigrams of the words of the list, and of its forms
+   written as one word. What is within the allowed edits of a word shares at least ``len + 1 - 3 * edits`` bigrams with it, so
+   the bound drops nothing; an entry is a candidate if each of its words has one in the value, or if it is run together there.
+3. *Score.* Vectors of trigrams weighted by inverse document frequency. A word of the value counts as the list word that it
+   stands for, as far as the two are alike; the rest of it is orthogonal. Words of the value that stand for no word of the
+   entry only wrap it and are left out of its vector.
+4. The entry of the largest cosine is taken if that reaches COSINE and leads the next other form by MARGIN.
+
+The reference list is a dimension of bounded size (MAX_ENTRIES is enforced); its index is broadcast, once per worker.
 """
 
 from __future__ import annotations
@@ -14,8 +18,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from bisect import bisect_left
-from collections import defaultdict
+from collections import Counter, defaultdict
 from functools import lru_cache
 
 import numpy as np
@@ -24,10 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataforge.functions.text import nonblank, squeeze
+from strataforge.session import shared_dir
 
 MAX_ENTRIES = 100_000
-#: Word likeness for acceptance, and lead over the next.
-ACCEPT, MARGIN = 0.70, 0.03
+#: Likeness at which a word can stand for another, cosine for acceptance, and its lead over the next.
+ACCEPT, COSINE, MARGIN = 0.70, 0.72, 0.03
 #: Shortest beginning of a word that stands for it.
 SHORTEST = 3
 
@@ -80,152 +84,166 @@ def alike(value: str, word: str) -> float:
     return 1 - d / len(word) if d <= k and 1 - d / len(word) >= ACCEPT else 0.0
 
 
-def covered(value: list[str], entry: tuple[str, ...], known: frozenset[str] = frozenset()) -> float:
-    """Mean likeness of the entry's words to different words of the value; 0 unless each is found.
+def _grams(text: str, n: int) -> set[str]:
+    padded = f"^{text}$"
+    return {padded[i : i + n] for i in range(max(1, len(padded) - n + 1))}
+
+
+class _Near:
+    """Inverted index of the padded bigrams of texts: which can be within their number of edits of another text.
 
-    A word of the value that is itself a word of the list (``known``) is no misspelling of another one.
+    An edit, or a transposition of neighbours, touches three bigrams at most, so as many but three per edit are shared.
     """
-    best = 0.0
-    if len(value) >= len(entry):
-        used, total = set(), 0.0
-        for w in sorted(entry, key=len, reverse=True):
-            s, i = max(((float(v == w) if v in known else alike(v, w), -i) for i, v in enumerate(value) if -i not in used), default=(0.0, 0))
-            if s < ACCEPT:
-                break
-            used.add(i)
-            total += s
-        else:
-            best = total / len(entry)
-    whole = "".join(entry)
-    runs = {v for v in value if v not in known} | ({"".join(value)} if any(v not in known for v in value) else set())
-    most = min(3 if any(w in entry for w in value) else 2, _allowed(len(whole)))
-    for run in runs:  # run together, in either order
-        if abs(len(run) - len(whole)) <= most and len(whole) >= 6:
-            for form in {whole, "".join(reversed(entry))}:
-                d = osa(run, form, most)
-                if d <= most:
-                    best = max(best, (1 - d / len(form)) * 0.99)
-    return best
+
+    def __init__(self, texts: list[str], edits: list[int]):
+        lists: dict[str, list[int]] = defaultdict(list)
+        for k, t in enumerate(texts):
+            for g in _grams(t, 2):
+                lists[g].append(k)
+        self.lists = {g: np.array(x) for g, x in lists.items()}
+        self.least = np.array([max(1, len(_grams(t, 2)) - 3 * e) for t, e in zip(texts, edits)], int)
+        self.length, self.edits = np.array([len(t) for t in texts], int), np.array(edits, int)
+        self.letters = {c: k for k, c in enumerate(sorted({c for t in texts for c in t}))}
+        self.counts = np.stack([self._count(t) for t in texts]) if texts else np.zeros((0, 1), np.int16)
+
+    def _count(self, text: str) -> np.ndarray:
+        """How often each letter is in a text; the last place has all that no text of the index holds."""
+        return np.bincount([self.letters.get(c, len(self.letters)) for c in text], minlength=len(self.letters) + 1).astype(np.int16)
+
+    def __call__(self, text: str, beginning: bool = False) -> list[int]:
+        """Places of the texts, with ``beginning`` also of longer ones that may begin with this one."""
+        hits = [self.lists[g] for g in _grams(text, 2) if g in self.lists]
+        if not hits:
+            return []
+        n = np.bincount(np.concatenate(hits), minlength=len(self.least))
+        near = np.flatnonzero((n >= self.least) & (np.abs(self.length - len(text)) <= self.edits))
+        near = near[np.abs(self.counts[near] - self._count(text)).sum(axis=1) <= 2 * self.edits[near]]  # an edit changes two counts at most
+        longer = np.flatnonzero((n >= len(_grams(text, 2)) - 1) & (self.length > len(text))) if beginning else near
+        return sorted({*near.tolist(), *longer.tolist()})
 
 
 class Index:
-    """Inverted index of character trigrams over the forms of all entries."""
+    """The forms of all entries with their words, n-gram indexes and weights."""
 
     def __init__(self, forms: list[str]):
         self.forms = forms
         self.words = [tuple(words(f)) for f in forms]
-        self.known = frozenset(w for ws in self.words for w in ws)
-        grams = [self.grams(w) for w in self.words]
-        count: dict[str, int] = defaultdict(int)
-        for g in grams:
-            for x in g:
-                count[x] += 1
-        self.idf = {x: math.log(1 + len(forms) / n) for x, n in count.items()}
-        lists = defaultdict(list)
-        for i, g in enumerate(grams):
-            norm = math.sqrt(sum(self.idf[x] ** 2 for x in g)) or 1.0
-            for x in g:
-                lists[x].append((i, self.idf[x] ** 2 / norm))
-        self.lists = {x: (np.array([i for i, _ in p]), np.array([w for _, w in p])) for x, p in lists.items()}
-        self.vocabulary = sorted(self.known)
-        place = {w: k for k, w in enumerate(self.vocabulary)}
-        # the words of each form; the place behind the vocabulary fills up and always fits, the one behind that never does
-        self.parts = np.full((len(forms), max(map(len, self.words), default=1) or 1), len(place))
+        self.vocabulary = sorted({w for ws in self.words for w in ws})
+        self.known = frozenset(self.vocabulary)
+        count = Counter(g for ws in self.words for g in {g for w in ws for g in _grams(w, 3)})
+        idf = {g: math.log(1 + len(forms) / n) for g, n in count.items()}
+        self.weight = {w: sum(idf[g] ** 2 for g in _grams(w, 3)) for w in self.vocabulary}
+        self.norm = [sum(self.weight[w] for w in ws) for ws in self.words]
+        self.whole = ["".join(ws) for ws in self.words]
+        self.of_words = _Near(self.vocabulary, [_allowed(len(w)) for w in self.vocabulary])
+        long = [i for i, w in enumerate(self.whole) if len(w) >= 6]
+        back = ["".join(reversed(ws)) for ws in self.words]
+        self.places = long + long
+        self.of_whole = _Near([t[i] for t in (self.whole, back) for i in long], [min(3, _allowed(len(self.whole[i]))) for i in self.places])
+        self.holding: dict[str, list[int]] = defaultdict(list)
         for i, ws in enumerate(self.words):
-            self.parts[i, : len(ws)] = [place[w] for w in ws]
-            self.parts[i, 0] = place[ws[0]] if ws else len(place) + 1
-        whole = ["".join(ws) for ws in self.words]
-        self.letters = {c: k for k, c in enumerate(sorted({c for x in whole for c in x}))}
-        self.word_letters, self.form_letters = self._counts(self.vocabulary), self._counts(whole)
-        self.word_most = np.array([2 * _allowed(len(w)) for w in self.vocabulary], int)
-        self.form_most = np.array([2 * min(3, _allowed(len(x))) if len(x) >= 6 else -1 for x in whole], int)
+            for w in set(ws):
+                self.holding[w].append(i)
         self._cached()
 
     def _cached(self) -> None:
-        self._near, self._runs = lru_cache(1 << 16)(self._near_words), lru_cache(1 << 12)(self._near_forms)
+        self.near, self.runs = lru_cache(1 << 16)(self._near_words), lru_cache(1 << 14)(self._near_forms)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("_near", "_runs")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("near", "runs")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
         self._cached()
 
-    def _counts(self, texts: list[str]) -> np.ndarray:
-        """How often each letter of the list is in each text; the last column has all other letters."""
-        out = np.zeros((len(texts), len(self.letters) + 1), np.int16)
-        for i, t in enumerate(texts):
-            for c in t:
-                out[i, self.letters.get(c, -1)] += 1
-        return out
-
-    def _near_words(self, v: str) -> np.ndarray:
-        """Words of the list for which a word of a value can stand. An edit changes two letter counts at most."""
-        close = np.abs(self.word_letters - self._counts([v])).sum(axis=1) <= self.word_most
-        lo = bisect_left(self.vocabulary, v)
-        hi = bisect_left(self.vocabulary, v + chr(0x10FFFF))
-        near = {*np.flatnonzero(close).tolist(), *range(lo, hi)} | ({bisect_left(self.vocabulary, v[:-1])} if v.endswith("s") else set())
-        return np.array([k for k in sorted(near) if k < len(self.vocabulary) and (v == self.vocabulary[k] if v in self.known else alike(v, self.vocabulary[k]) >= ACCEPT)], int)
-
-    def _near_forms(self, run: str) -> np.ndarray:
-        """Forms that can be meant by a word in which they are run together."""
-        return np.flatnonzero(np.abs(self.form_letters - self._counts([run])).sum(axis=1) <= self.form_most)
-
-    def coverable(self, value: list[str]) -> np.ndarray:
-        """Every form of which ``covered`` can be above 0, and some others."""
-        fits = np.zeros(len(self.vocabulary) + 2, bool)
-        fits[-2] = True
-        for v in set(value):
-            fits[self._near(v)] = True
-        out = fits[self.parts].all(axis=1)
-        for run in {v for v in value if v not in self.known} | {"".join(value)}:
-            out[self._runs(run)] = True
-        return np.flatnonzero(out)
-
-    @staticmethod
-    def grams(ws) -> set[str]:
-        """Trigrams of each word with its borders, so their order and what stands between them doesn't matter."""
-        padded = [f"^{w}$" for w in ws]
-        return {p[i : i + 3] for p in padded for i in range(max(1, len(p) - 2))}
-
-    def map(self, text: str | None) -> tuple[str | None, float, float, float]:
-        """(form or None, likeness, lead over the next other form, cosine)."""
-        value = words(text) if text else []
+    def _near_words(self, v: str) -> dict[str, float]:
+        """Words of the list for which a word of a value can stand, and how well; a word of the list is no misspelling of another."""
+        if v in self.known:
+            return {v: 1.0}
+        near = {self.vocabulary[k] for k in self.of_words(v, len(v) >= SHORTEST)} | ({v[:-1]} & self.known)
+        return {w: s for w in sorted(near) if (s := alike(v, w)) >= ACCEPT}
+
+    def _near_forms(self, run: str) -> set[int]:
+        """Forms that can be meant by a word in which they are run together, in either order of their words."""
+        return {self.places[k] for k in self.of_whole(run)}
+
+    def _spelled(self, near: list[dict[str, float]], i: int) -> float:
+        """Cosine of the words of a value, each as what it stands for, with an entry; 0 unless every word of it is found."""
+        entry = self.words[i]
+        if len(near) < len(entry):
+            return 0.0
+        used, total = set(), 0.0
+        for w in sorted(entry, key=len, reverse=True):
+            s, k = max(((x.get(w, 0.0), -k) for k, x in enumerate(near) if -k not in used), default=(0.0, 0))
+            if s < ACCEPT:
+                return 0.0
+            used.add(k)
+            total += s * self.weight[w]
+        return total / self.norm[i]
+
+    def _run_together(self, value: tuple[str, ...], runs: set[str], i: int) -> float:
+        whole, best = self.whole[i], 0.0
+        most = min(3 if any(w in self.words[i] for w in value) else 2, _allowed(len(whole)))
+        for run in runs:
+            if abs(len(run) - len(whole)) <= most and len(whole) >= 6:
+                for form in {whole, "".join(reversed(self.words[i]))}:
+                    d = osa(run, form, most)
+                    if d <= most:
+                        best = max(best, (1 - d / len(form)) * 0.99)
+        return best
+
+    def candidates(self, value: tuple[str, ...], near: list[dict[str, float]], runs: set[str]) -> set[int]:
+        """Every entry whose cosine can be above 0: by an exact bound, without a cap."""
+        found = {w for x in near for w in x}
+        have = Counter(i for w in found for i in self.holding[w])
+        out = {i for i, n in have.items() if n == len(set(self.words[i]))}
+        return out.union(*(self.runs(r) for r in runs))
+
+    def map(self, value: tuple[str, ...]) -> tuple[str | None, float, float]:
+        """(form or None, cosine, lead over the next other form) of the normalised words of a value."""
         if not value or not self.forms:
-            return None, 0.0, 0.0, 0.0
-        g = self.grams(value)
-        score = np.zeros(len(self.forms))
-        norm = 0.0
-        for x in g:
-            norm += self.idf.get(x, math.log(1 + len(self.forms))) ** 2
-            if x in self.lists:
-                i, w = self.lists[x]
-                score[i] += w
-        score /= math.sqrt(norm) or 1.0
-        ranked = sorted(((covered(value, self.words[i], self.known), float(score[i]), i) for i in self.coverable(value) if score[i] > 0), key=lambda x: (-x[0], -x[1], x[2]))
-        ranked = [r for r in ranked if r[0] >= ACCEPT]
-        if not ranked:
-            return None, 0.0, 0.0, float(score.max())
-        first = ranked[0]
-        lead = first[0] - max((r[0] for r in ranked[1:] if self.words[r[2]] != self.words[first[2]]), default=0.0)
-        return (self.forms[first[2]] if lead >= MARGIN else None), first[0], lead, first[1]
+            return None, 0.0, 0.0
+        near = [self.near(v) for v in value]
+        runs = {v for v in value if v not in self.known} | ({"".join(value)} if any(v not in self.known for v in value) else set())
+        scored = sorted((-max(self._spelled(near, i), self._run_together(value, runs, i)), i) for i in self.candidates(value, near, runs))
+        scored = [(-s, i) for s, i in scored if s < 0]
+        if not scored:
+            return None, 0.0, 0.0
+        best, i = scored[0]
+        lead = best - next((s for s, k in scored[1:] if self.words[k] != self.words[i]), 0.0)
+        return (self.forms[i] if best >= COSINE and lead >= MARGIN else None), best, lead
 
 
 def map_values(values: DataFrame, column: str, forms: list[str]) -> DataFrame:
-    """Distinct values of a column with (form, likeness, lead, cosine); form is null for unmatched values.
+    """Distinct values of a column with (form, cosine, lead); form is null for unmatched values.
 
-    Null and blank values are left out. forms: names and aliases of the reference list.
+    Null and blank values are left out; a value without a letter or digit is unmatched. forms: names and aliases of the
+    reference list. Both functions are declared nondeterministic: else the optimiser evaluates them below the aggregates
+    that are there so that they run once per value.
     """
     if len(forms) > MAX_ENTRIES:
         raise ValueError(f"the reference list has {len(forms)} forms; the index is built for up to {MAX_ENTRIES}")
-    index = Index(sorted(set(forms)))
+    spark = values.sparkSession
+    share = spark.sparkContext.broadcast(Index(sorted(set(forms))))
 
-    @F.pandas_udf("form string, likeness double, lead double, cosine double")
-    def mapped(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([index.map(x) for x in s], columns=["form", "likeness", "lead", "cosine"])
+    @F.pandas_udf("string")
+    def normalised(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: " ".join(words(x)))
 
-    distinct = values.filter(nonblank(F.col(column))).select(column).distinct()
-    return distinct.select(column, mapped(F.col(column)).alias("m")).select(column, "m.*")
+    @F.pandas_udf("form string, cosine double, lead double")
+    def mapped(s: pd.Series) -> pd.DataFrame:
+        index = share.value
+        return pd.DataFrame([index.map(tuple(x.split())) for x in s], columns=["form", "cosine", "lead"])
+
+    # a stated number of partitions: few bytes are many lookups, so they aren't to be coalesced into one task
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    once = values.filter(nonblank(F.col(column))).select(column).distinct().repartition(tasks, column)
+    keyed = once.select(column, normalised.asNondeterministic()(F.col(column)).alias("_key"))
+    shared_dir(spark)
+    keyed = keyed.checkpoint()  # read on both sides of the join
+    keys = keyed.select("_key").distinct().repartition(tasks, "_key")
+    found = keys.select("_key", mapped.asNondeterministic()(F.col("_key")).alias("m"))
+    return keyed.join(found, "_key").select(column, "m.*")
 
 
 def alias_terms(entries: DataFrame, terms: DataFrame) -> DataFrame:

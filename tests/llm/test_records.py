@@ -172,16 +172,28 @@ TERMS = [(1, "ember-arbitration", "term", ["femupe"]), (2, "ember-arbitration",
 )
 def test_meant_entries(text, term):
     forms = {f: i for i, c, _, a in reversed(TERMS) for f in [c, *(a or [])] if f}
-    form = canon.Index(sorted(forms)).map(text)[0]
+    form = canon.Index(sorted(forms)).map(tuple(canon.words(text)))[0]
     assert forms.get(form, -1) == term
 
 
 def test_entries_of_any_rank():
     """An entry counts, as the one meant and as a rival, however many others have a larger cosine."""
     others = [f"holm {c}{d}" for c, d in zip("abcdefghijklmno", "qrstuvwxyzqrstu")]
-    assert canon.Index([*others, "holographically"]).map("hol")[0] == "holographically"
-    assert canon.Index([*others[:11], "holographs"]).map("hol")[0] == "holographs"
-    assert canon.Index([*others[:11], "holographs", "holographically"]).map("hol")[0] is None
+    assert canon.Index([*others, "holographically"]).map(("hol",))[0] == "holographically"
+    assert canon.Index([*others[:11], "holographs"]).map(("hol",))[0] == "holographs"
+    assert canon.Index([*others[:11], "holographs", "holographically"]).map(("hol",))[0] is None
+    for k in (0, 10, 24, 40, 200):
+        alike = [f"emba{chr(97 + i % 26)}{chr(97 + i // 26)} arbo{i}" for i in range(k)]
+        assert canon.Index(["embarkation-arbitration", *alike]).map(("embark", "arbit"))[0] == "embarkation-arbitration"
+        far = [f"embankment archive{i}" for i in range(k)]  # look-alikes of which one word only begins as the value's
+        assert canon.Index(["embarkation-arbitration", *far]).map(("emb", "arb"))[0] == "embarkation-arbitration"
+
+
+def test_values_are_mapped_once(spark):
+    """The scoring function stands above the aggregates that make the values distinct, and nowhere below."""
+    df = spark.createDataFrame([("a b",), ("A-B",), (None,)], "v string")
+    plan = canon.map_values(df, "v", ["a b"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("mapped(") == 1 and plan.index("mapped(") < plan.index("Aggregate")
 
 
 def test_no_coverable_entry_is_passed_over():
@@ -196,8 +208,13 @@ def test_no_coverable_entry_is_passed_over():
         j = rng.randrange(len(ws[k]))
         ws[k] = rng.choice([ws[k], ws[k] + "s", ws[k][: max(3, j)], ws[k][:j] + rng.choice("abz日") + ws[k][j:], ws[k][:j] + ws[k][j + 1 :], ws[k][:j] + ws[k][j : j + 2][::-1] + ws[k][j + 2 :]])
         value = [w for w in rng.choice([ws, ["".join(ws)], ["".join(ws[::-1])], ws + [word()], ws[::-1]]) if w]
-        right = {i for i, e in enumerate(index.words) if e and canon.covered(value, e, index.known) > 0} if value else set()
-        assert right <= set(index.coverable(value).tolist())
+        value = tuple(value)
+        runs = {v for v in value if v not in index.known} | ({"".join(value)} if any(v not in index.known for v in value) else set())
+        every = [{w: s for w in index.vocabulary if (s := float(v == w) if v in index.known else canon.alike(v, w)) >= canon.ACCEPT} for v in value]
+        near = [index.near(v) for v in value]
+        assert near == every  # the n-gram index passes no word over
+        right = {i for i, e in enumerate(index.words) if e and max(index._spelled(every, i), index._run_together(value, runs, i)) > 0} if value else set()
+        assert right <= index.candidates(value, near, runs)
         seen += len(right)
     assert seen > 800
 
@@ -228,7 +245,7 @@ def test_mapping_accuracy_on_noised_names():
     good = 0
     for n in names:
         x, y = n.split("-")
-        good += sum(index.map(t)[0] == n for t in (f"{typo(x)} {y}", f"{x}-{typo(y)}", f"{y} of {x}", f"{x[:4]}. {y[:6]}.", (x + y).upper()))
+        good += sum(index.map(tuple(canon.words(t)))[0] == n for t in (f"{typo(x)} {y}", f"{x}-{typo(y)}", f"{y} of {x}", f"{x[:4]}. {y[:6]}.", (x + y).upper()))
     assert good >= 0.98 * 5 * len(names)
     others = [f"{x} {y}" for x in a for y in b if f"{x}-{y}" not in names]
-    assert not [t for t in others if index.map(t)[0]]
+    assert not [t for t in others if index.map(tuple(canon.words(t)))[0]]

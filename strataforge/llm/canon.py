@@ -235,13 +235,14 @@ def map_values(values: DataFrame, column: str, forms: list[str]) -> DataFrame:
         index = share.value
         return pd.DataFrame([index.map(tuple(x.split())) for x in s], columns=["form", "cosine", "lead"])
 
-    # a stated number of partitions: few bytes are many lookups, so they aren't to be coalesced into one task
+    # a stated number of partitions, by other than the grouping key (else it is dropped as done already): few bytes are
+    # many lookups, so they aren't to be coalesced into one task
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    once = values.filter(nonblank(F.col(column))).select(column).distinct().repartition(tasks, column)
+    once = values.filter(nonblank(F.col(column))).select(column).distinct().repartition(tasks, F.xxhash64(column))
     keyed = once.select(column, normalised.asNondeterministic()(F.col(column)).alias("_key"))
     shared_dir(spark)
     keyed = keyed.checkpoint()  # read on both sides of the join
-    keys = keyed.select("_key").distinct().repartition(tasks, "_key")
+    keys = keyed.select("_key").distinct().repartition(tasks, F.xxhash64("_key"))
     found = keys.select("_key", mapped.asNondeterministic()(F.col("_key")).alias("m"))
     return keyed.join(found, "_key").select(column, "m.*")
 

@@ -39,6 +39,7 @@ def test_pairs_against_brute_force(spark, sets):
 def test_hot_sets_and_tokens(spark, hot, monkeypatch):
     """A third of the rows have one set, most sets share one token; split or not, the result is the same."""
     monkeypatch.setattr(setjoin, "HOT", hot)
+    monkeypatch.setattr(setjoin, "PART", max(7, hot // 20))
     rng = random.Random(1)
     rows = made([("k", i, ["hot"] if i % 3 == 0 else ["hot", *(f"t{rng.randint(0, 9)}" for _ in range(rng.randint(1, 5)))]) for i in range(120)])
     df = spark.createDataFrame(rows, SETS)
@@ -49,6 +50,17 @@ def test_hot_sets_and_tokens(spark, hot, monkeypatch):
         assert links[i] == (min(j for _, j, u in rows if u == t), sum(1 for _, a, b in want if i in (a, b)))
 
 
+def test_pairs_between_tables(spark):
+    rng = random.Random(3)
+    sets = [[f"t{rng.randint(0, 9)}" for _ in range(rng.randint(0, 6))] for _ in range(80)]
+    rows = made([("k", i % 40, s) for i, s in enumerate(sets)])  # the same ids on both sides
+    left, right = rows[:40], rows[40:]
+    want = {(i, j) for _, i, a in left for _, j, b in right if a and b and Fraction(len({*a} & {*b}), len({*a} | {*b})) >= Fraction(3, 5)}
+    got = [(r.id_a, r.id_b) for r in setjoin.similar_between(spark.createDataFrame(left, SETS), spark.createDataFrame(right, SETS)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
+    assert setjoin.similar_between(spark.createDataFrame(left, SETS), spark.createDataFrame([], SETS)).count() == 0
+
+
 def test_sets_of_a_table(spark):
     rows = [
         (1, [" A", "a ", None, ""], ["./src\\x/", "src/x", " "]), (2, ["a"], ["src/x//"]), (3, None, []), (4, [], None), (5, ["a", "b", "c", "d", "e"], ["./"]),

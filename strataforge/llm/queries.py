@@ -38,7 +38,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_spans(spark: SparkSession, d: str) -> DataFrame:
     found = spans.shared_spans(spans.commit_texts(table(spark, d, "raw_commits")))
-    return found.select(F.col("row_id").alias("raw_id"), F.col("no").alias("chunk_no"), "start", "stop")
+    return found.select(F.col("row_id").alias("raw_id"), F.col("no").alias("chunk_no"), "start", "stop", F.col("ref_row").alias("ref_raw_id"), F.col("ref_no").alias("ref_chunk_no"), "ref_start")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,20 +1,23 @@
-"""Long exact spans that rows share, by fingerprints of windows in content-anchored blocks (instead of relative Lempel-Ziv).
-
-A row's text is shared where a window of ``MIN`` characters also occurs in a text of another owner. Comparing all
-windows would move the whole corpus once per character, so the reference is cut into blocks by content:
-
-1. *Index.* Every window of MIN characters has one anchor, its smallest K-gram hash (leftmost on ties), so equal
-   windows have equal anchors wherever they stand. The windows of one anchor form a block, about 70 of them in
-   270 characters. Anchors are aggregated by hash; only those seen with two owners can carry a shared window.
-2. *Reference blocks.* For these anchors alone the text of the block is read. Equal blocks are one, with the
-   smallest and largest owner, so a passage that a third of all rows holds is compared once.
-3. *Factors.* The windows of all blocks of one anchor are compared by fingerprint; nothing is parsed and no match is
-   extended. What is called a factor here is a maximal run of windows each of which another owner holds, hence at least
-   MIN characters long. Every window belongs to exactly one block, so nothing is lost at the border of one.
+"""Long exact spans that rows share: relative Lempel-Ziv factors against indexed reference blocks.
+
+A row's text is shared where MIN or more characters of it also occur in a text of another owner.
+
+1. *Index.* Every window of MIN characters has one seed, its smallest K-gram hash (leftmost on ties), so equal windows have
+   equal seeds wherever they stand. The windows of one seed form a block, about 70 of them in 270 characters; neighbouring
+   blocks of one seed are one block. Only seeds of two owners can carry a shared window: their hashes are set in a bitmap of
+   fixed size, and in a second reading of the corpus the blocks whose seed is in it are taken out with their position.
+   (The bitmap may let others through; they meet no block of another owner.)
+2. *Reference blocks.* Equal blocks are one, with a place of the smallest and of the largest owner, so a passage that a third
+   of all rows holds is compared once.
+3. *Parse.* Each block is factored greedily, from its left, against every reference block of its seed: the seed stands at
+   a known place in both, so the longest match through it is how far the two agree to its left and to its right. The factor
+   that begins first and goes on longest is taken; at its border the references that go on beyond it are tried, the one
+   that begins first next, and so on. Factors of MIN or more characters stay, as (reference place, start, stop). A
+   window lies in exactly one block, so nothing is lost where blocks meet.
 4. Factors of a row are united, so each position counts once.
 
-Windows are compared by two 64-bit polynomial fingerprints with different bases. Blocks with one anchor are compared
-together in one task; an anchor with more than HOT different blocks is taken apart into windows, which Spark aggregates.
+A seed with more than MOST different blocks, or one that recurs within a block (repetitive text), is parsed window by window
+instead: windows are matched by 128-bit fingerprints in a Spark aggregation, which takes any number of them.
 """
 
 from __future__ import annotations
@@ -30,8 +33,10 @@ from pyspark.sql import functions as F
 from strataforge.session import shared_dir
 
 MIN, K = 200, 64
-#: Rows up to which a side is broadcast (at most 64 bytes each), and different blocks of one anchor or one task.
-BROADCAST_ROWS, HOT, PER_TASK = 1_000_000, 5_000, 20_000
+#: Different blocks of one seed that are parsed against each other, and of one task.
+MOST, PER_TASK = 1_000, 20_000
+#: Bits of the seed bitmap (2 ** 26: 8 MB), and of a slice of it.
+MAP_BITS, SLICE_BITS = 26, 20
 _BITS = 22
 _BLOCK = 1 << 20
 _U = np.uint64
@@ -109,12 +114,11 @@ def _decode(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
     return np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32), before
 
 
-_OCCURRENCE = "row_id long, owner long, no int, h long, first int, windows int, anchor int"
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Blocks of the texts of each batch, piece by piece: (row_id, owner, no, seed hash, first, windows, seed place or -1, text, first in it).
 
-
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [x.split()[0] for x in _OCCURRENCE.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    The place is that of the seed in the block, -1 if the block has it more than once.
+    """
     for batch in batches:
         lists = batch.column("texts")
         offsets = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1]
@@ -140,83 +144,180 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lo, hi = edge[:-1], edge[1:]
             for x in range(0, max(1, len(codes)), _BLOCK * 2):  # one very long text is taken in parts that overlap
                 y = min(len(codes), x + _BLOCK * 2 + MIN - 1)
-                t, h, first, count, anchor = anchors(codes[x:y], np.clip(lo - x, 0, y - x), np.clip(hi - x, 0, y - x))
+                t, h, first, count, seed = anchors(codes[x:y], np.clip(lo - x, 0, y - x), np.clip(hi - x, 0, y - x))
                 if not len(t):
                     continue
-                at = lo[t] - x
-                out = [ids[row[i:j][t]], owners[row[i:j][t]], no[i:j][t], h.view(np.int64), first - at, count, anchor - at]
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(ty.to_pandas_dtype()), ty) for c, ty in zip(out, types)], names)
+                same = (t[1:] == t[:-1]) & (h[1:] == h[:-1]) & (first[1:] == first[:-1] + count[:-1])
+                head = np.flatnonzero(np.r_[True, ~same])
+                many = np.diff(np.r_[head, len(t)]) > 1
+                count = np.add.reduceat(count, head)
+                t, h, first = t[head], h[head], first[head]
+                place = np.where(many, -1, seed[head] - first)
+                yield ids[row[i:j][t]], owners[row[i:j][t]], no[i:j][t], h.view(np.int64), first + x - lo[t], count, place, codes, first + x
             i = j
 
 
-def _factors(least: int):
-    def factors(pdf: pd.DataFrame) -> pd.DataFrame:
-        text = "".join(pdf["block"])
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        size = pdf["block"].str.len().to_numpy(np.int64)
-        begin = np.cumsum(size) - size
-        count = size - least + 1
-        which = np.repeat(np.arange(len(size)), count)
-        at = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + begin[which]
-        p, q = (_grams(codes, least, base)[at] for base in _BASES)
-        order = np.lexsort((q, p))
-        p, q = p[order], q[order]
-        head = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (q[1:] != q[:-1])])
-        lo = np.minimum.reduceat(pdf["lo"].to_numpy()[which[order]], head)
-        hi = np.maximum.reduceat(pdf["hi"].to_numpy()[which[order]], head)
-        shared = np.zeros(len(which), bool)
-        shared[order] = np.repeat(lo != hi, np.diff(np.r_[head, len(order)]))
-        # maximal runs of shared windows, within one block
-        edge = np.r_[True, which[1:] != which[:-1]]
-        starts = np.flatnonzero(shared & (edge | ~np.r_[False, shared[:-1]]))
-        stops = np.flatnonzero(shared & np.r_[edge[1:] | ~shared[1:], True]) if len(shared) else starts
-        w = which[starts]
-        return pd.DataFrame({"v1": pdf["v1"].to_numpy()[w], "v2": pdf["v2"].to_numpy()[w], "start": at[starts] - begin[w], "stop": at[stops] - begin[w] + least})
-
-    return factors
+def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, owner), once per piece of a batch."""
+    for _, owner, _, h, *_ in _scan(batches):
+        both = np.unique(np.stack([h, owner], 1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["h", "owner"])
+
+
+def _bitmap(seeds: DataFrame) -> np.ndarray:
+    """The low bits of the hashes as a bitmap of fixed size: made in slices by the tasks, put together on the driver."""
+
+    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(1 << SLICE_BITS, bool)
+        bits[pdf["bit"].to_numpy() & ((1 << SLICE_BITS) - 1)] = True
+        return pd.DataFrame({"slice": [int(pdf["bit"].iloc[0]) >> SLICE_BITS], "bits": [np.packbits(bits).tobytes()]})
+
+    bit = F.col("h").bitwiseAND(F.lit((1 << MAP_BITS) - 1)).cast("int")
+    made = seeds.select(bit.alias("bit")).distinct().groupBy(F.shiftright("bit", SLICE_BITS)).applyInPandas(packed, "slice int, bits binary")
+    out = np.zeros((1 << (MAP_BITS - SLICE_BITS), (1 << SLICE_BITS) // 8), np.uint8)
+    for r in made.collect():  # at most 64 slices of 128 KB
+        out[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+_PLACED = "row_id long, owner long, no int, h long, first int, place int, block string"
+
+
+def _blocks(share):
+    """Blocks whose seed is in the bitmap, with their text."""
+    names = [x.split()[0] for x in _PLACED.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = share.value
+        for row_id, owner, no, h, first, count, place, codes, at in _scan(batches):
+            low = h & ((1 << MAP_BITS) - 1)
+            hit = np.flatnonzero((bits[low >> 3] >> (7 - (low & 7)).astype(np.uint8)) & 1)
+            if not len(hit):
+                continue
+            text = codes.tobytes().decode("ascii" if codes.itemsize == 1 else "utf-32-le")
+            size = 0
+            cuts = [0]
+            for k, n in enumerate(count[hit]):  # many long blocks are handed on in parts
+                size += int(n) + MIN
+                if size > 1 << 24:
+                    cuts.append(k + 1)
+                    size = 0
+            for lo, hi in zip(cuts, [*cuts[1:], len(hit)]):
+                part = hit[lo:hi]
+                if len(part):
+                    block = pa.array([text[a : a + n + MIN - 1] for a, n in zip(at[part].tolist(), count[part].tolist())], pa.string())
+                    cols = [pa.array(row_id[part]), pa.array(owner[part]), pa.array(no[part].astype(np.int32)), pa.array(h[part]), pa.array(first[part].astype(np.int32)), pa.array(place[part].astype(np.int32)), block]
+                    yield pa.RecordBatch.from_arrays(cols, names)
+
+    return run
+
+
+_REF = [f"{r}_{c}" for r in ("lo", "hi") for c in ("owner", "row", "no", "at")]
+_FOUND = "v1 long, v2 long, start int, stop int, " + ", ".join(f"{c} {'long' if c.endswith(('owner', 'row')) else 'int'}" for c in _REF)
+
+
+def _agree(rows: np.ndarray, length: np.ndarray, i: int) -> np.ndarray:
+    """How many leading codes of row i each row has too."""
+    unlike = rows != rows[i]
+    n = np.where(unlike.any(axis=1), unlike.argmax(axis=1), rows.shape[1])
+    return np.minimum(n, np.minimum(length, length[i]))
+
+
+def parse(blocks: list[str], place: np.ndarray, lo: np.ndarray, hi: np.ndarray, least: int) -> list[tuple[int, int, int, int]]:
+    """Factors (block, start, stop, reference block) of blocks with one seed, each at its place; lo and hi are their owners."""
+    n = len(blocks)
+    codes = [np.frombuffer(b.encode("utf-32-le"), np.uint32) for b in blocks]
+    left = np.array(place)
+    right = np.array([len(c) for c in codes]) - left
+    to_left, to_right = np.zeros((n, int(left.max(initial=0)) + 1), np.uint32), np.zeros((n, int(right.max(initial=0)) + 1), np.uint32)
+    for k, c in enumerate(codes):
+        to_left[k, : left[k]], to_right[k, : right[k]] = c[: left[k]][::-1], c[left[k] :]
+    out = []
+    for k in range(n):
+        if lo[k] != hi[k]:  # the whole block stands with another owner
+            out.append((k, 0, len(codes[k]), k))
+            continue
+        other = np.flatnonzero((lo != lo[k]) | (hi != lo[k]))
+        if not len(other):
+            continue
+        before, after = _agree(to_left, left, k)[other], _agree(to_right, right, k)[other]
+        order = np.lexsort((-after, -before))  # the factor that begins first, and of these the longest
+        reach = after[order]
+        beyond = reach > np.r_[-1, np.maximum.accumulate(reach)[:-1]]  # at a border, those that go on
+        for m in order[beyond & (before[order] + reach >= least)]:
+            out.append((k, int(left[k] - before[m]), int(left[k] + after[m]), int(other[m])))
+    return out
+
+
+def _factors(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("h", kind="stable").reset_index(drop=True)
+    h = pdf["h"].to_numpy()
+    lo, hi, place = (pdf[c].to_numpy() for c in ("lo_owner", "hi_owner", "place"))
+    at = {c: pdf[c].to_numpy() for c in _REF}
+    head = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else []
+    rows: list[tuple[int, int, int, int]] = []
+    for b, e in zip(head, [*head[1:], len(h)]):
+        if lo[b:e].min() != hi[b:e].max():
+            rows += [(b + k, x, y, b + m) for k, x, y, m in parse(pdf["block"].iloc[b:e].tolist(), place[b:e], lo[b:e], hi[b:e], MIN)]
+    k, x, y, m = (np.array(c, np.int64) for c in zip(*rows)) if rows else (np.zeros(0, np.int64),) * 4
+    out = {"v1": pdf["v1"].to_numpy()[k], "v2": pdf["v2"].to_numpy()[k], "start": x, "stop": y}
+    # where the factor begins in the reference block: as far from the seed as in its own
+    shift = x - place[k] + place[m]
+    out |= {c: at[c][m] + shift if c.endswith("_at") else at[c][m] for c in _REF}
+    return pd.DataFrame(out)
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The fingerprints of all windows of blocks."""
+    for batch in batches:
+        for i in range(len(batch)):
+            codes = np.frombuffer(batch.column("block")[i].as_py().encode("utf-32-le"), np.uint32)
+            p, q = (_grams(codes, MIN, base).view(np.int64) for base in _BASES)
+            n = len(p)
+            copy = [batch.column(c).slice(i, 1).take(pa.array(np.zeros(n, np.int64))) for c in ("v1", "v2", *_REF)]
+            yield pa.RecordBatch.from_arrays([*copy, pa.array(np.arange(n, dtype=np.int32)), pa.array(p), pa.array(q)], ["v1", "v2", *_REF, "start", "p", "q"])
+
+
+def _by_window(blocks: DataFrame) -> DataFrame:
+    """The factors of blocks by fingerprints of their windows: each window that another owner has too."""
+    schema = "v1 long, v2 long, " + ", ".join(_FOUND.split(", ")[4:]) + ", start int, p long, q long"
+    windows = blocks.select("v1", "v2", *_REF, "block").mapInArrow(_windows, schema)
+    ref = lambda r: F.struct(*(F.col(f"{r}_{c}").alias(c) for c in ("owner", "row", "no")), (F.col(f"{r}_at") + F.col("start")).alias("at"))
+    both = windows.groupBy("p", "q").agg(F.min(ref("lo")).alias("lo"), F.max(ref("hi")).alias("hi")).filter("lo.owner <> hi.owner")
+    flat = [F.col(f"{r}.{c}").alias(f"{r}_{c}") for r in ("lo", "hi") for c in ("owner", "row", "no", "at")]
+    return windows.select("v1", "v2", "start", "p", "q").join(both, ["p", "q"]).select("v1", "v2", "start", (F.col("start") + MIN).cast("int").alias("stop"), *flat)
 
 
 def shared_spans(rows: DataFrame) -> DataFrame:
-    """(row_id, owner, texts: array<string>) -> (row_id, no, start, stop): factors, in characters of text ``no``.
+    """(row_id, owner, texts: array<string>) -> factors (row_id, no, start, stop, ref_row, ref_no, ref_start).
 
-    owner is any 64-bit value, equal for rows that don't count as others; row_id is unique. Null and short texts have no
-    factor; the same text twice in one row is no other occurrence.
+    Characters [start, stop) of text ``no`` stand verbatim in text ``ref_no`` of row ``ref_row``, of another owner, from
+    ``ref_start`` on. owner is any 64-bit value, equal for rows that don't count as others; row_id is unique. Null and short
+    texts have no factor; the same text twice in one row is no other occurrence.
     """
     spark = rows.sparkSession
     shared_dir(spark)
-    occurrences = rows.mapInArrow(_occurrences, _OCCURRENCE)
-    carried = (
-        occurrences.groupBy("h").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi")).filter("lo <> hi").select("h").checkpoint()
-    )
-    n = carried.count()
-    places = occurrences.join(F.broadcast(carried) if n <= BROADCAST_ROWS else carried, "h", "left_semi").checkpoint()
-    m = places.count()
-    text = F.get("texts", F.col("no"))
-    block = F.substring(text, F.col("first") + 1, F.col("windows") + (MIN - 1))
-    located = rows.select("row_id", "texts").join(F.broadcast(places) if m <= BROADCAST_ROWS else places, "row_id").select("row_id", "owner", "no", "h", "first", block.alias("block"))
-    located = located.select("*", F.xxhash64("block").alias("v1"), F.xxhash64(F.lit(1), "block").alias("v2"))
-    blocks = located.groupBy("h", "v1", "v2").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi"), F.first("block").alias("block")).checkpoint()
-    total = blocks.count()
-    tasks = max(1, -(-total // PER_TASK))
-    crowded, some = None, False
-    if total > HOT:  # the block texts are only moved apart if some anchor is crowded
-        crowded = blocks.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("h")
-        some = not crowded.isEmpty()
-    usual = blocks.join(crowded, "h", "left_anti") if some else blocks
-    found = usual.withColumn("task", F.pmod("h", F.lit(tasks))).groupBy("task").applyInPandas(_factors(MIN), "v1 long, v2 long, start int, stop int")
-    if some:
-        found = found.unionByName(_by_window(blocks.join(crowded, "h", "left_semi")))
-    here = located.select("row_id", "no", "first", "v1", "v2")
-    return here.join(F.broadcast(found) if total <= BROADCAST_ROWS // 4 else found, ["v1", "v2"]).select("row_id", "no", (F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("stop")).alias("stop"))
-
-
-def _by_window(blocks: DataFrame) -> DataFrame:
-    """The factors of blocks of crowded anchors, each window a row of its own."""
-    at = F.explode(F.sequence(F.lit(0), F.length("block") - MIN))
-    windows = blocks.select("v1", "v2", "lo", "hi", "block", at.alias("start")).withColumn("w", F.substring("block", F.col("start") + 1, F.lit(MIN)))
-    windows = windows.select("v1", "v2", "lo", "hi", F.col("start").cast("int"), F.xxhash64("w").alias("p"), F.xxhash64(F.lit(1), "w").alias("q"))
-    both = windows.groupBy("p", "q").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi").select("p", "q")
-    return windows.join(both, ["p", "q"], "left_semi").select("v1", "v2", "start", (F.col("start") + MIN).alias("stop"))
+    seeds = rows.mapInArrow(_seeds, "h long, owner long").groupBy("h").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi")).filter("lo <> hi")
+    share = spark.sparkContext.broadcast(_bitmap(seeds))
+    placed = rows.mapInArrow(_blocks(share), _PLACED)
+    placed = placed.select("*", F.xxhash64("block").alias("v1"), F.xxhash64(F.lit(1), "block").alias("v2")).checkpoint()  # the corpus isn't read a third time
+    at = F.struct(F.col("owner"), F.col("row_id").alias("row"), F.col("no"), F.col("first").alias("at"))
+    merged = placed.groupBy("h", "v1", "v2").agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.first("block").alias("block"), F.first("place").alias("place"))
+    flat = [F.col(f"{r}.{c}").alias(f"{r}_{c}") for r in ("lo", "hi") for c in ("owner", "row", "no", "at")]
+    blocks = merged.select("h", "v1", "v2", *flat, "block", "place").checkpoint()
+    n, repeats = blocks.agg(F.count("*"), F.coalesce(F.bool_or(F.col("place") < 0), F.lit(False))).first()
+    usual, crowded = blocks, None
+    if repeats or n > MOST:
+        hard = blocks.groupBy("h").agg(F.count("*").alias("n"), F.bool_or(F.col("place") < 0).alias("repeats")).filter((F.col("n") > MOST) | F.col("repeats")).select("h").checkpoint()
+        if not hard.isEmpty():
+            usual, crowded = blocks.join(hard, "h", "left_anti"), blocks.join(hard, "h", "left_semi")
+    tasks = max(1, spark.sparkContext.defaultParallelism, -(-n // PER_TASK))
+    found = usual.withColumn("task", F.pmod("h", F.lit(tasks))).groupBy("task").applyInPandas(_factors, _FOUND)
+    if crowded is not None:
+        found = found.unionByName(_by_window(crowded))
+    own = F.col("owner") == F.col("lo_owner")
+    ref = [F.when(own, F.col(f"hi_{c}")).otherwise(F.col(f"lo_{c}")).alias(a) for c, a in (("row", "ref_row"), ("no", "ref_no"), ("at", "ref_start"))]
+    return placed.select("row_id", "owner", "no", "first", "v1", "v2").join(found, ["v1", "v2"]).select("row_id", "no", (F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("stop")).alias("stop"), *ref)
 
 
 def union_length(spans):

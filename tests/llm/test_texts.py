@@ -4,6 +4,7 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -74,7 +75,7 @@ def brute_shared(rows):
     return out
 
 
-@pytest.mark.parametrize("setting", [{}, {"HOT": 1}, {"BROADCAST_ROWS": 0}, {"PER_TASK": 5, "_BLOCK": 700}])
+@pytest.mark.parametrize("setting", [{}, {"MOST": 1}, {"PER_TASK": 5}])
 def test_shared_spans(spark, setting, monkeypatch):
     for k, v in setting.items():
         monkeypatch.setattr(spans, k, v)
@@ -87,6 +88,38 @@ def test_shared_spans(spark, setting, monkeypatch):
     df = spark.createDataFrame(rows, "raw_id long, commit_id string, diff_chunks array<string>").withColumn("h", F.lit(1))
     got = {r.row_id: r.shared_chars for r in spans.shared_chars(spans.commit_texts(df)).collect()}
     assert got == brute_shared(rows)
+    texts = {i: (o, ts) for i, o, ts in rows}
+    found = spans.shared_spans(spans.commit_texts(df)).collect()
+    for r in found:  # each factor stands at its reference, in a row of another commit
+        here, there = texts[r.row_id][1][r.no], texts[r.ref_row][1][r.ref_no]
+        assert r.stop - r.start >= spans.MIN and here[r.start : r.stop] == there[r.ref_start : r.ref_start + r.stop - r.start]
+        assert texts[r.row_id][0] is None or texts[r.row_id][0] != texts[r.ref_row][0]
+    assert found
+
+
+def test_parse_at_borders():
+    """The first factor is the longest, references that go on beyond its border are tried; runs of scanned parts meet."""
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    a, seed, z = word(60), word(64), word(60)
+    blocks = [a + seed + z, word(10) + a[20:] + seed + z[:30] + word(9), word(5) + a[40:] + seed + z + word(9), a[50:] + seed + z[:10]]
+    place = np.array([60, 50, 25, 10])
+    owner = np.array([1, 2, 3, 4])
+    got = {(x, y, m) for k, x, y, m in spans.parse(blocks, place, owner, owner, 100) if k == 0}
+    assert {(x, y) for x, y, _ in got} == {(20, 154), (40, 184)} and {m for *_, m in got} == {1, 2}
+    assert spans.parse(blocks[:1], place[:1], owner[:1], owner[:1], 100) == []
+
+
+def test_scan_is_linear_and_in_parts(monkeypatch):
+    rng = np.random.default_rng(1)
+    text = rng.choice(np.frombuffer(b"abcdefghij", np.uint8), 40_000).tobytes().decode()
+    batch = lambda ts: pa.RecordBatch.from_arrays([pa.array([1]), pa.array([5]), pa.array([ts], pa.list_(pa.string()))], ["row_id", "owner", "texts"])
+    starts = lambda: sorted(int(f) + i for *_, first, count, _, _, _ in spans._scan(iter([batch([text])])) for f, n in zip(first, count) for i in range(n))
+    whole = starts()
+    monkeypatch.setattr(spans, "_BLOCK", 700)
+    assert starts() == whole == list(range(len(text) - spans.MIN + 1))
+    blocks = [len(h) for _, _, _, h, *_ in spans._scan(iter([batch(["-" * 30_000])]))]
+    assert sum(blocks) <= 30  # repetitive text is few blocks, not one per window
 
 
 def test_shared_spans_of_nothing(spark):

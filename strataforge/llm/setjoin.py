@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataforge.functions.text import squeeze
+from strataforge.session import shared_dir
 
 #: Classes with one prefix token beyond which its join is split, and the size of a part; records of a class in a part.
 HOT, PART = 20_000, 1_000
@@ -47,13 +48,10 @@ def path_set(c: Column) -> Column:
 
 def set_classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(field, id, toks) -> members (field, id, cid) and classes (field, cid, toks, copies)."""
-    keyed = (
-        records.filter((F.size("toks") > 0) & F.col("id").isNotNull())
-        .select("field", "id", "toks", F.unhex(F.md5(F.to_json("toks"))).alias("body"))
-        .dropDuplicates(["field", "id", "body"])
-    )
-    classes = keyed.groupBy("field", "body").agg(F.min("id").alias("cid"), F.min_by("toks", "id").alias("toks"), F.count("*").alias("copies"))
-    members = keyed.select("field", "id", "body").join(classes.select("field", "body", "cid"), ["field", "body"]).select("field", "id", "cid")
+    keyed = records.filter((F.size("toks") > 0) & F.col("id").isNotNull()).select("field", "id", "toks", F.unhex(F.md5(F.to_json("toks"))).alias("body"))
+    shared_dir(records.sparkSession)
+    classes = keyed.groupBy("field", "body").agg(F.min("id").alias("cid"), F.min_by("toks", "id").alias("toks"), F.count_distinct("id").alias("copies")).checkpoint()  # read by each step
+    members = keyed.select("field", "id", "body").distinct().join(classes.select("field", "body", "cid"), ["field", "body"]).select("field", "id", "cid")
     return members, classes.select("field", "cid", "toks", "copies")
 
 
@@ -89,7 +87,7 @@ def similar_classes(classes: DataFrame, num: int = 3, den: int = 5) -> DataFrame
     side 1, and equal sets are a pair too.
     """
     two = "side" in classes.columns
-    p = _prefixes(classes, num, den)
+    p = _prefixes(classes, num, den).checkpoint()  # both sides of the join
     carried = ("cid", "n", "s0", "s1", "at")
     left, right = (p.filter("side = 0"), p.filter("side = 1")) if two else (p, p)
     a = left.select("field", "tok", *(F.col(c).alias(f"{c}_a") for c in carried), F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int").alias("part"))

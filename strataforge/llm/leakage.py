@@ -9,8 +9,12 @@ passage don't count once more at its end.
 
 Windows that can't match are passed over before they are embedded: with ``edits`` edits, one of edits + 1 equal parts of
 the window stands unchanged, so the window must hold that many words in a row as in some item, and an edit parts two pairs
-of neighbours at most, so all others must be neighbours in some item. This drops no match. The items are a list of bounded size (MAX_ITEMS is enforced) and travel with the tasks; the corpus
-is read once, in Arrow batches, and isn't shuffled except for the distinct (document, item) pairs.
+of neighbours at most, so all others must be neighbours in some item. This drops no match. Candidates of several repeats are
+verified once: first that one of the parts stands unchanged nearly at its place, then the edit distance, on the diagonals that
+so few edits reach.
+
+The items are searched in blocks of about ITEM_CHARS characters, whose index is broadcast; the corpus is read once per block, in
+Arrow batches, and isn't shuffled except for the distinct (document, item) pairs.
 """
 
 from __future__ import annotations
@@ -24,7 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, MAX_ITEMS = 16, 200_000
+WINDOW = 16
+#: Characters of the items that one index holds; more items are searched block by block, each reading the corpus.
+ITEM_CHARS = 20_000_000
 _U = np.uint64
 _WORD = re.compile(r"[^\W_]+")
 _INVISIBLE = dict.fromkeys([0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x00AD])
@@ -75,13 +81,10 @@ class Items:
     """The index of all windows of the items, one sorted key list per repeat."""
 
     def __init__(self, items: list[tuple[int, str | None]], window: int = WINDOW, edits: int = 0, samples: int = 8, repeats: int = 1, seed: int = 7, slack: int = 0):
-        import xxhash
-
         if slack and not edits:
             raise ValueError("equal windows are equally long")
         self.window, self.edits, self.slack = window, edits, slack
         self.part = window // (edits + 1)  # words that stand unchanged in a row
-        self.hash = lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
         texts = [(i, words(t)) for i, t in sorted(items, key=lambda x: x[0])]
         self.vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for _, ws in texts for w in ws))}
         self.hashes = np.array([self.hash(w) for w in self.vocabulary] or [0], np.uint64)
@@ -105,6 +108,12 @@ class Items:
             order = np.argsort(k, kind="stable")
             self.keys.append((k[order], order))
 
+    @staticmethod
+    def hash(word: str) -> int:
+        import xxhash
+
+        return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+
     def _gram(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Hashes of the ``part`` words from each place on."""
         key = np.zeros(len(at), np.uint64)
@@ -156,22 +165,29 @@ class Items:
             s = starts[lo : lo + _PART]
             at = s[:, None] + np.arange(self.window + self.slack)
             if self.edits:  # nothing is read beyond the end of the document
-                w = np.where(at < edge[doc[s]][:, None], hashes[np.minimum(at, len(ids) - 1)], _U(0))
+                inside = at < edge[doc[s]][:, None]
+                at = np.minimum(at, len(ids) - 1)
+                w, v = np.where(inside, hashes[at], _U(0)), np.where(inside, ids[at], -1).astype(np.int32)
             else:
-                w = self.hashes[ids[at]]
+                w, v = self.hashes[ids[at]], ids[at]
+            pairs = []
             for e, (keys, order) in zip(self.walks, self.keys):
                 k = e.keys(w)
                 a, b = np.searchsorted(keys, k, "left"), np.searchsorted(keys, k, "right")
                 n = b - a
                 q = np.repeat(np.arange(len(s)), n)
                 hit = order[np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)]
+                pairs.append(q * len(self.rows) + hit)
+            pairs = np.concatenate(pairs) if len(pairs) == 1 else np.unique(np.concatenate(pairs))  # verified once, whatever the repeats
+            for x in range(0, len(pairs), _PART):
+                q, hit = np.divmod(pairs[x : x + _PART], max(1, len(self.rows)))
                 if self.edits:
-                    pairs = np.unique(np.stack([q, hit], 1), axis=0)
-                    ok = _distance(self.hashes[self.rows[pairs[:, 1]]], w[pairs[:, 0]], self.slack) <= self.edits if len(pairs) else np.zeros(0, bool)
-                    q, hit = pairs[ok, 0], pairs[ok, 1]
-                else:
-                    ok = (ids[at[q]] == self.rows[hit]).all(axis=1)
+                    ok = self._part_stands(hit, v[q])
                     q, hit = q[ok], hit[ok]
+                    ok = _distance(self.rows[hit].astype(np.int32), v[q], self.edits, self.slack) <= self.edits
+                else:
+                    ok = (v[q] == self.rows[hit]).all(axis=1)
+                q, hit = q[ok], hit[ok]
                 if len(q):
                     found.append(np.unique(np.stack([doc[s[q]], self.owner[hit]], 1), axis=0))
         if not found:
@@ -179,18 +195,43 @@ class Items:
         out = np.unique(np.vstack(found), axis=0)
         return out[:, 0], out[:, 1]
 
+    def _part_stands(self, hit: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Whether one of the edits + 1 parts of each item window stands unchanged, at most ``edits`` places off."""
+        rows, out = self.rows[hit], np.zeros(len(hit), bool)
+        for p in range(self.edits + 1):
+            lo = p * self.part
+            for o in range(-self.edits, self.edits + 1):
+                if lo + o < 0 or lo + self.part + o > v.shape[1]:
+                    continue
+                rest = np.flatnonzero(~out)
+                for j in range(lo, lo + self.part):
+                    rest = rest[rows[rest, j] == v[rest, j + o]]
+                out[rest] = True
+        return out
+
 
-def _distance(a: np.ndarray, b: np.ndarray, slack: int = 0) -> np.ndarray:
-    """Word edit distance of each row of a from the same row of b, or from its start up to a word among the last 2 * slack + 1."""
-    n, m = b.shape
-    last = np.tile(np.arange(m + 1), (n, 1))
-    for i in range(a.shape[1]):
-        row = np.empty_like(last)
-        row[:, 0] = i + 1
-        for j in range(m):
-            row[:, j + 1] = np.minimum(np.minimum(last[:, j + 1], row[:, j]) + 1, last[:, j] + (a[:, i] != b[:, j]))
+def _distance(a: np.ndarray, b: np.ndarray, most: int, slack: int = 0) -> np.ndarray:
+    """Word edit distance of each row of a from the same row of b, or from its start up to a word among the last 2 * slack + 1.
+
+    Exact up to ``most``, more than that beyond: only the diagonals that so few edits can reach are worked out. -1 equals nothing.
+    """
+    n, m = len(a), b.shape[1]
+    far = np.full(n, 100, np.uint8)
+    last = {o: np.full(n, o, np.uint8) if 0 <= o <= m else far for o in range(-most - 1, most + 2)}
+    last[-most - 1] = last[most + 1] = far
+    for i in range(1, a.shape[1] + 1):
+        row = {-most - 1: far, most + 1: far}
+        for o in range(-most, most + 1):
+            j = i + o
+            if j < 0 or j > m:
+                row[o] = far
+            elif j == 0:
+                row[o] = np.full(n, i, np.uint8)
+            else:
+                row[o] = np.minimum(np.minimum(last[o + 1], row[o - 1]) + np.uint8(1), last[o] + (a[:, i - 1] != b[:, j - 1]))
         last = row
-    return last[:, m - 2 * slack :].min(axis=1)
+    ends = [o for o in range(-most, most + 1) if m - 2 * slack <= a.shape[1] + o <= m]
+    return np.minimum.reduce([last[o] for o in ends]) if ends else far
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text: str = "text", item_text: str = "text", window: int = WINDOW, edits: int = 0, samples: int = 8, repeats: int = 1, slack: int = 0) -> DataFrame:
@@ -200,14 +241,23 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text: st
     it depends on them. Null and empty texts, and items of fewer words than a window, match nothing; repeated documents
     match each, items with the same passage are all reported.
     """
-    listed = items.filter(F.col(item_id).isNotNull()).select(item_id, item_text).limit(MAX_ITEMS + 1).collect()  # the evaluation set: bounded
-    if len(listed) > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} items")
-    share = docs.sparkSession.sparkContext.broadcast((listed, window, edits, samples, repeats, 7, slack))
+    named = items.filter(F.col(item_id).isNotNull()).select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).cast("string").alias("t"))
+    size = named.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // ITEM_CHARS))
+    out = None
+    for k in range(blocks):
+        part = named.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k) if blocks > 1 else named
+        found = _leaks(docs, [(r.i, r.t) for r in part.collect()], doc_id, item_id, text, window, edits, samples, repeats, slack)
+        out = found if out is None else out.unionByName(found)
+    return out.distinct()
+
+
+def _leaks(docs: DataFrame, listed: list[tuple], doc_id: str, item_id: str, text: str, window: int, edits: int, samples: int, repeats: int, slack: int) -> DataFrame:
+    """The leaks of one block of items; its index is made once and read once per worker."""
+    share = docs.sparkSession.sparkContext.broadcast(Items(listed, window, edits, samples, repeats, 7, slack))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, *how = share.value
-        index = Items([(r[0], r[1]) for r in rows], *how)
+        index = share.value
         for b in batches:
             ids, texts = b.column(0), b.column(1)
             at = 0
@@ -222,4 +272,4 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text: st
                 at += n
 
     kind = dict(docs.dtypes)[doc_id]
-    return docs.select(F.col(doc_id), F.col(text).cast("string").alias("_text")).filter(F.length("_text") > 0).mapInArrow(run, f"`{doc_id}` {kind}, `{item_id}` bigint").distinct()
+    return docs.select(F.col(doc_id), F.col(text).cast("string").alias("_text")).filter(F.length("_text") > 0).mapInArrow(run, f"`{doc_id}` {kind}, `{item_id}` bigint")

@@ -302,3 +302,31 @@ def test_subjects_of_a_table(spark):
     assert out.columns == ["doc_id", "subject"] and {r.subject for r in out.collect()} <= {"law", "sport"}
     assert subjects.classify(df, subjects.train(df, labels.limit(0), areas)).count() == 0
     assert subjects.classify(df.limit(0), subjects.train(df.limit(0), labels, areas)).count() == 0
+
+
+def test_banded_distance():
+    """Equal to the whole table up to the number of edits, with and without a free end."""
+    rng = np.random.default_rng(4)
+    for slack, most in ((0, 2), (2, 2), (0, 1), (1, 3)):
+        a = rng.integers(0, 5, (300, 8))
+        b = np.hstack([a, np.full((300, slack), -1)])
+        for i in range(300):
+            for _ in range(rng.integers(0, 4)):
+                b[i] = np.insert(np.delete(b[i], rng.integers(0, len(b[i]))), rng.integers(0, len(b[i])), rng.integers(0, 5))
+        got = leakage._distance(a.astype(np.int32), b.astype(np.int32), most, slack)
+        for x, y, d in zip(a, b, got):
+            t = np.add.outer(np.arange(9), np.arange(len(y) + 1))
+            for i in range(1, 9):
+                for j in range(1, len(y) + 1):
+                    t[i, j] = min(t[i - 1, j] + 1, t[i, j - 1] + 1, t[i - 1, j - 1] + (x[i - 1] != y[j - 1]))
+            want = t[8, len(y) - 2 * slack :].min()
+            assert d == want if want <= most else d > most
+
+
+def test_items_in_blocks(spark, monkeypatch):
+    words = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(words[20 * i : 20 * i + 20])) for i in range(20)]
+    docs = spark.createDataFrame([(k, " ".join(["x", *words[20 * k + 2 : 20 * k + 19], "y"])) for k in range(20)] + [(90, None), (91, "")], "doc_id long, text string")
+    listed = spark.createDataFrame(items + [(None, items[0][1]), (77, None)], "item_id long, text string")
+    monkeypatch.setattr(leakage, "ITEM_CHARS", 300)
+    assert {tuple(r) for r in leakage.leaks(docs, listed, "doc_id", "item_id").collect()} == {(k, k) for k in range(20)}

@@ -55,6 +55,21 @@ def evicted(cache: DataFrame, key: str, at: str, most: int) -> DataFrame:
     return cache.select(key, mark.alias("m"), F.lit(1).alias("_j")).join(F.broadcast(edge.withColumn("_j", F.lit(1))), "_j").filter((F.col("m") < F.col("edge")) & (F.col("n") == most)).select(key)
 
 
+def neighbours(rows: DataFrame, key: list[str], item: str, bucket: Column) -> DataFrame:
+    """(key, item, before, after): the items next to each item (unique within a key) in its key; null at the ends.
+
+    bucket must not fall as items rise. Neighbours are looked up within a bucket and then among the ends of the buckets, so a
+    key that holds a third of all rows is sorted in as many parts as it has buckets.
+    """
+    x = rows.select(*key, item, bucket.alias("_b"))
+    inside = W.partitionBy(*key, "_b").orderBy(item)
+    x = x.select("*", F.lag(item).over(inside).alias("_l"), F.lead(item).over(inside).alias("_r"))
+    ends = x.groupBy(*key, "_b").agg(F.min(item).alias("lo"), F.max(item).alias("hi"))
+    along = W.partitionBy(*key).orderBy("_b")
+    ends = ends.select(*key, "_b", F.lag("hi").over(along).alias("_lb"), F.lead("lo").over(along).alias("_rb"))
+    return x.join(ends, [*key, "_b"]).select(*key, item, F.coalesce("_l", "_lb").alias("before"), F.coalesce("_r", "_rb").alias("after"))
+
+
 def next_stage(stages: list[str], done: Column) -> Column:
     """The first stage that isn't among the completed ones, or null."""
     return F.get(F.array_except(F.lit(stages), F.coalesce(done, F.array().cast("array<string>"))), F.lit(0))

@@ -21,7 +21,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return drift.changes(table(spark, d, "context_records"))
+    return drift.record_changes(table(spark, d, "context_records"))
 
 
 def p4_table(spark: SparkSession, d: str) -> DataFrame:

@@ -137,13 +137,18 @@ def _entries(rows: list[list[tuple[str, object]] | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), fields, mask=pa.array([r is None for r in rows], pa.bool_()))
 
 
-def _reader(root: str, rest: bool):
-    @F.arrow_udf(f"struct<l: array<{ENTRY}>, rest: string>")
+def _reader(root: str, paths: list[str], rest: bool):
+    @F.arrow_udf(f"struct<l: array<{ENTRY}>, at: array<int>, rest: string>")
     def read(payloads: pa.Array) -> pa.Array:
         tops = [parsed(x) for x in payloads.to_pylist()]
+        found = [None if t is None else members(t, root) for t in tops]
+        at = []
+        for r in found:
+            first = {p: len(r) - 1 - i for i, (p, _) in enumerate(reversed(r))} if r else {}
+            at.append([first.get(p, -1) for p in paths])
         others = [{k: v for k, v in t.items() if k != root or not isinstance(v, dict)} if rest and t else None for t in tops]
         kept = [_text(o) if o else None for o in others]
-        return pa.StructArray.from_arrays([_entries([None if t is None else members(t, root) for t in tops]), pa.array(kept, pa.string())], ["l", "rest"])
+        return pa.StructArray.from_arrays([_entries(found), pa.array(at, pa.list_(pa.int32())), pa.array(kept, pa.string())], ["l", "at", "rest"])
 
     return read
 
@@ -172,23 +177,27 @@ def _written(c: str, to: str) -> Column:
 
 
 def ingest(records: DataFrame, keys: list[str], payload: str = "payload", root: str = "summary", schema=None, rest: bool = True) -> DataFrame:
-    """keys, the target columns, ``_fields``, ``_kept``, ``_rest``, ``_status`` and ``_raw``.
+    """keys, the target columns, ``_fields``, ``_kinds``, ``_kept``, ``_rest``, ``_raw`` and ``_status``.
 
     ``_fields`` is an array of (path, kind) of all fields under ``root``, nulls included (kind ''); null for a payload that
-    isn't a JSON object. ``_kept`` has the entries of all that is unknown or doesn't fit, ``_rest`` the members of the
+    isn't a JSON object. ``_kinds`` are the kinds that the values of the typed columns had. ``_kept`` has the entries of all that is unknown or doesn't fit, ``_rest`` the members of the
     payload outside ``root`` as JSON, ``_raw`` a payload that is no JSON object. Of a path that a record has twice (a dot in
     a name) the first is looked at, the other is kept. ``_status`` is ok, rescued or corrupt.
     """
     schema = SUMMARY if schema is None else schema
+    step = lambda df, *columns: df.select("*", F.inline(F.array(F.struct(*columns))))  # noqa: E731  a border: each column is worked out once
     rows = records.select(*keys, F.col(payload).cast("string").alias("_p"))
-    rows = rows.select("*", F.inline(F.array(_reader(root, rest)("_p"))))
-    place = lambda p: F.array_position(F.transform("l", lambda e: e["path"]), p)
-    rows = rows.select("*", *(F.get("l", (place(p) - 1).cast("int")).alias(f"_e{i}") for i, (_, p, _) in enumerate(schema)))
-    rows = rows.select("*", *(_cast(F.col(f"_e{i}"), t).alias(c) for i, (c, _, t) in enumerate(schema)))
-    fits = F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), place(p)) for c, p, _ in schema), F.lit(None).cast("bigint")))
-    kept = F.filter("l", lambda e, i: e["value"].isNotNull() & ~F.array_contains(fits, (i + 1).cast("bigint")))
-    rows = rows.select(*keys, *(c for c, _, _ in schema), F.transform("l", lambda e: F.struct(e["path"].alias("path"), e["kind"].alias("kind"))).alias("_fields"), F.inline(F.array(F.struct(kept.alias("_kept")))), F.col("rest").alias("_rest"), F.when(F.col("l").isNull(), F.col("_p")).alias("_raw"))
-    return rows.withColumn("_status", F.when(F.col("_fields").isNull(), "corrupt").when(F.size("_kept") > 0, "rescued").otherwise("ok"))
+    rows = rows.select("*", F.inline(F.array(_reader(root, [p for _, p, _ in schema], rest)("_p"))))
+    place = lambda i: F.get("at", F.lit(i))
+    rows = step(rows, F.transform("at", lambda i: F.when(i >= 0, F.get("l", i))).alias("_e"))
+    entry = lambda i: F.get("_e", F.lit(i))
+    rows = step(rows, *(_cast(entry(i), t).alias(c) for i, (c, _, t) in enumerate(schema)))
+    fits = F.array(*(F.when(F.col(c).isNotNull(), place(i)).otherwise(-1) for i, (c, _, _) in enumerate(schema)))
+    kept = F.filter("l", lambda e, i: e["value"].isNotNull() & ~F.array_contains(fits, i))
+    kinds = F.array(*(F.when(F.col(c).isNotNull(), entry(i)["kind"]) for i, (c, _, _) in enumerate(schema)))
+    rows = step(rows, kept.alias("_kept"), kinds.alias("_kinds"), F.transform("l", lambda e: F.struct(e["path"].alias("path"), e["kind"].alias("kind"))).alias("_fields"))
+    status = F.when(F.col("_fields").isNull(), "corrupt").when(F.size("_kept") > 0, "rescued").otherwise("ok")
+    return rows.select(*keys, *(c for c, _, _ in schema), "_fields", "_kinds", "_kept", F.col("rest").alias("_rest"), F.when(F.col("_fields").isNull(), F.col("_p")).alias("_raw"), status.alias("_status"))
 
 
 def _object(entries: Column) -> Column:
@@ -250,16 +259,15 @@ def replay(table: DataFrame, approved: list[tuple[str, str, str]]) -> DataFrame:
 def changes(table: DataFrame, stream: str = "stream_id", seq: str = "file_seq", key: str = "context_key", tie: str = "record_id", schema=None) -> DataFrame:
     """(stream, seq, change_kind, field_path, old_path) of each file against the one before it in its stream.
 
-    table is that of ``ingest``: presence and kinds come from ``_fields``, values from the typed columns and from what was
-    rescued. Records without a stream or a file number and corrupt ones don't count. Of several records of one key in a file
+    table is that of ``ingest``: presence and kinds come from ``_fields``, values from the typed columns and from
+    what was rescued. Records without a stream or a file number and corrupt ones don't count. Of several records of one key in a file
     the first by ``tie`` gives the values that renames are judged by. A field that fits several renames is paired once, in
     the order of the paths. Records are aggregated by file and field before they move; only files with a new and a gone
     field have values compared. Along a stream there is one row per file and field.
     """
     schema = SUMMARY if schema is None else schema
-    first_kind = lambda p: F.get(F.filter("_fields", lambda f: f["path"] == p), F.lit(0))["kind"]
     value = lambda p, k, s: F.struct(p.alias("path"), k.alias("kind"), s.alias("same"))
-    typed = [F.when(F.col(c).isNotNull(), value(F.lit(p), first_kind(p), _written(c, t))) for c, p, t in schema]
+    typed = [F.when(F.col(c).isNotNull(), value(F.lit(p), F.get("_kinds", F.lit(i)), _written(c, t))) for i, (c, p, t) in enumerate(schema)]
     values = F.concat(F.array_compact(F.array(*typed)), F.transform("_kept", lambda e: value(e["path"], e["kind"], e["same"])))
     shared_dir(table.sparkSession)
     rows = (

@@ -38,6 +38,34 @@ def aliases(payload: Column, path: str = "$.shared_hints.aliases") -> Column:
     return F.filter(made, lambda x: (x["canonical"] != "") & (x["alias"] != ""))
 
 
+def _first_of(x: Column, *names: str) -> Column:
+    return F.trim(F.coalesce(*(F.nullif(x[n], F.lit("")) for n in names), F.lit("")))
+
+
+def ownership_hints(payload: Column, path: str = "$.shared_hints.ownership_hints") -> Column:
+    """array<struct<scope, owner, note>> of a repo context, fields with fallbacks; incomplete ones are left out."""
+    raw = F.from_json(F.get_json_object(payload, path), "array<struct<scope: string, path_prefix: string, capability: string, owner: string, note: string, description: string>>")
+    made = F.transform(raw, lambda x: F.struct(
+        _first_of(x, "scope", "path_prefix", "capability").alias("scope"), _first_of(x, "owner", "capability", "path_prefix").alias("owner"),
+        F.coalesce(F.nullif(_first_of(x, "note", "description", "path_prefix"), F.lit("")), _first_of(x, "owner", "capability", "path_prefix")).alias("note"),
+    ))
+    return F.filter(made, lambda x: (x["scope"] != "") & (x["owner"] != "") & (x["note"] != ""))
+
+
+def seed_concepts(payload: Column, path: str = "$.shared_hints.seed_concepts") -> Column:
+    """array<struct<name, description>> of a repo context: texts, or objects whose fields have fallbacks; nameless ones are left out."""
+    elements = F.try_variant_get(F.try_parse_json(F.get_json_object(payload, path)), "$", "array<variant>")
+
+    def one(v):
+        at = lambda *names: F.trim(F.coalesce(*(F.nullif(F.try_variant_get(v, f"$.{n}", "string"), F.lit("")) for n in names), F.lit("")))
+        text = F.trim(F.try_variant_get(v, "$", "string"))
+        name = F.when(F.schema_of_variant(v) == "STRING", text).otherwise(at("name", "concept", "title"))
+        said = F.nullif(at("description", "summary"), F.lit(""))
+        return F.struct(name.alias("name"), F.when(F.schema_of_variant(v) == "STRING", text).otherwise(F.coalesce(said, name)).alias("description"))
+
+    return F.filter(F.transform(elements, one), lambda x: F.coalesce(x["name"], F.lit("")) != "")
+
+
 def diff_chunks(diff: Column) -> Column:
     """The parts of a diff, each from its 'diff --git' line on; blank parts are left out."""
     return F.filter(F.split(diff, r"(?m)(?=^diff --git )"), lambda x: F.trim(x) != "")
@@ -70,28 +98,34 @@ def labelled(text: Column, label: str) -> Column:
     return ordered_distinct_ci(F.regexp_extract_all(text, F.lit(rf"(?im)^[ \t]*[-*]?[ \t]*\Q{label}\E[ \t]*:[ \t]*(\S[^\n]*?)[ \t\r]*$"), 1))
 
 
-def _all(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), 1)
-
-
-def symbols(text: Column) -> Column:
-    """Names in backticks, class and function names, in this order, distinct."""
-    return ordered_distinct(F.concat(_all(text, r"`([A-Z][a-zA-Z0-9_]+)`"), _all(text, r"class\s+([A-Z][a-zA-Z0-9_]+)"), _all(text, r"def\s+([a-z][a-zA-Z0-9_]+)")))
-
+# Patterns of what a text names, by kind, in the order in which they are looked for.
+NAMED = {
+    "symbol": (r"`([A-Z][a-zA-Z0-9_]+)`", r"class\s+([A-Z][a-zA-Z0-9_]+)", r"def\s+([a-z][a-zA-Z0-9_]+)"),
+    "file_path": (r"`([a-z_/]+\.py)`", r"((?:src|tests|lib)/[a-z_/]+\.py)"),
+    "config_key": (r"`([a-z_][a-zA-Z0-9_]*)`",),
+    "ast_pattern": (r"(?:class|function)\s+(\w+)",),
+    "test_case": (r"(?:def |test_)([a-z_][a-zA-Z0-9_]*)",),
+}
 
-def paths(text: Column) -> Column:
-    return ordered_distinct(F.concat(_all(text, r"`([a-z_/]+\.py)`"), _all(text, r"((?:src|tests|lib)/[a-z_/]+\.py)")))
 
+def named(text: Column, kind: str) -> Column:
+    """What a text names, in the order of the patterns; patterns and test cases as often as they occur, the others once.
 
-def config_keys(text: Column) -> Column:
-    """Lower-case names in backticks that aren't symbols."""
-    return F.array_except(ordered_distinct(_all(text, r"`([a-z_][a-zA-Z0-9_]*)`")), symbols(text))
+    Config keys that are symbols aren't counted, nor test cases without the word test in their name.
+    """
+    found = F.concat(*(F.regexp_extract_all(text, F.lit(p), 1) for p in NAMED[kind]))
+    if kind == "ast_pattern":
+        return found
+    if kind == "test_case":
+        return F.filter(found, lambda x: F.contains(F.lower(x), F.lit("test")))
+    once = ordered_distinct(found)
+    return F.array_except(once, named(text, "symbol")) if kind == "config_key" else once
 
 
 def facts(docs: DataFrame, doc_id: str, text: str, most: int = 5) -> DataFrame:
-    """(doc_id, locator_type, locator): the first ``most`` symbols, paths and config keys of texts of 20 characters or more."""
+    """(doc_id, locator_type, locator): the first ``most`` of each kind that texts of 20 characters or more name."""
     long = docs.filter(F.length(F.trim(text)) >= 20)
-    kinds = F.array(*(F.struct(F.lit(k).alias("locator_type"), F.slice(f(F.col(text)), 1, most).alias("v")) for k, f in (("symbol", symbols), ("file_path", paths), ("config_key", config_keys))))
+    kinds = F.array(*(F.struct(F.lit(k).alias("locator_type"), F.slice(named(F.col(text), k), 1, most).alias("v")) for k in NAMED))
     return long.select(doc_id, F.explode(kinds).alias("k")).select(doc_id, "k.locator_type", F.explode("k.v").alias("locator"))
 
 

@@ -46,6 +46,42 @@ def valid(confidence: Column, evidence: Column, *required: Column) -> Column:
     return F.when(absent, "fail").when(confidence == "high", "pass").when((confidence == "medium") & (evidence > 0), "pass").otherwise("fail")
 
 
+def validity_reason(confidence: Column, evidence: Column, required: dict[str, Column]) -> Column:
+    """Why ``valid`` says so: the required fields that are missing, or what the confidence rests on."""
+    absent = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit("")) == "", F.lit(n)) for n, c in required.items())))
+    some = F.coalesce(evidence, F.lit(0)) > 0
+    backed = F.when(some, "medium confidence, with evidence").otherwise("medium confidence, no evidence")
+    return F.when(F.size(absent) > 0, F.concat(F.lit("missing: "), F.array_join(absent, ", "))).when(confidence == "high", "high confidence").when(confidence == "medium", backed).otherwise("low confidence")
+
+
+def reasons(validity: Column, confidence: Column, evidence: Column, business: Column, value: Column) -> tuple[Column, Column]:
+    """(for, against): what speaks for a valid candidate (confidence, evidence, scores of 7 or more), what against another."""
+    n = F.coalesce(evidence, F.lit(0))
+    passed = validity == "pass"
+    compact = lambda *cs: F.array_compact(F.array(*cs))
+    yes = compact(F.lit("valid"), F.when(confidence == "high", "high confidence"), F.when(n > 0, F.format_string("%d references", n)), F.when(business >= 7.0, "business score"), F.when(value >= 7.0, "value score"))
+    no = compact(F.lit("not valid"), F.when(F.coalesce(confidence, F.lit("low")) == "low", "low confidence"), F.when(n == 0, "no evidence"))
+    none = F.array().cast("array<string>")
+    return F.when(passed, yes).otherwise(none), F.when(passed, none).otherwise(no)
+
+
+def evidence_gap(validity: Column, confidence: Column, evidence: Column) -> Column:
+    """What is to be verified of a valid candidate, or null: medium confidence on less than two references, high on none."""
+    n = F.coalesce(evidence, F.lit(0))
+    return F.when((validity == "pass") & (confidence == "medium") & (n < 2), "medium confidence on little evidence").when((validity == "pass") & (confidence == "high") & (n == 0), "high confidence without evidence")
+
+
+# Words of a rule that make it an invariant.
+NORMATIVE = ("must", "always", "never", "required", "cannot", "should not")
+
+
+def invariants(direct: Column, of_models: Column, rules: Column) -> Column:
+    """Stated invariants; else those of models, each once; else the rules with a normative word, each once."""
+    strong = F.filter(rules, lambda r: F.exists(F.lit(list(NORMATIVE)), lambda w: F.contains(F.lower(r), w)))
+    some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
+    return F.when(some(direct), direct).when(some(of_models), F.array_distinct(of_models)).otherwise(F.array_distinct(F.coalesce(strong, F.array().cast("array<string>"))))
+
+
 def recommended(validity: Column, priority: Column) -> Column:
     return F.when(validity == "fail", "drop").when(priority >= 7.0, "keep").when(priority >= 5.0, "verify_first").otherwise("backlog")
 
@@ -61,7 +97,7 @@ KINDS = {
 
 
 # Wordings of what is to be confirmed.
-SEVERAL = ("Multiple development intents detected (", "); confirm primary type is '", "'.")
+SEVERAL = "Multiple development intents detected (%s); confirm primary type is '%s'."
 UNCLEAR = "Issue intent is unclear; confirm whether this is feature, bugfix, refactor, migration, or optimize."
 
 
@@ -76,10 +112,10 @@ def development_type(text: Column) -> Column:
     return F.coalesce(F.get(kinds_of(text), F.lit(0)), F.lit("feature"))
 
 
-def open_question(text: Column) -> Column:
-    """What is to be confirmed: several kinds, or none; null for one."""
-    k = kinds_of(text)
-    many = F.concat(F.lit(SEVERAL[0]), F.array_join(F.array_sort(k), ", "), F.lit(SEVERAL[1]), F.get(k, F.lit(0)), F.lit(SEVERAL[2]))
+def open_question(text: Column, kinds: Column | None = None) -> Column:
+    """What is to be confirmed: several kinds, or none; null for one. kinds: those of the text, where they are known."""
+    k = kinds_of(text) if kinds is None else kinds
+    many = F.format_string(SEVERAL, F.array_join(F.array_sort(k), ", "), F.get(k, F.lit(0)))
     none = F.lit(UNCLEAR)
     return F.when(F.size(k) > 1, many).when(F.size(k) == 0, none)
 

@@ -60,7 +60,7 @@ def feedback(rows: DataFrame, level: str, outcome: str) -> DataFrame:
     )
 
 
-def conflicts(rows: DataFrame, key: list[str], source: str, row_id: str, most: int = 20) -> DataFrame:
+def conflicts(rows: DataFrame, key: list[str], source: str, row_id: str) -> DataFrame:
     """Keys with two or more rows of more than one source: (key, rows, sources, first_id)."""
     g = rows.groupBy(*key).agg(F.count("*").alias("n_rows"), F.count_distinct(F.coalesce(source, F.lit(""))).alias("n_sources"), F.min(row_id).alias("first_id"))
     return g.filter("n_rows >= 2 and n_sources > 1")
@@ -83,10 +83,19 @@ def size_summary(entries: DataFrame, size: str, hit: str) -> DataFrame:
     return entries.agg(F.count("*").alias("entries"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"), (100 * ratio(F.count_if(F.col(hit)), F.count("*"), 6)).alias("hit_rate"))
 
 
-def merged_signals(documents: DataFrame, doc_order: str, index: str, category: str, value: str, most: int = 10_000) -> DataFrame:
-    """(category, values): the values of all documents per category in document order. Lists are for one report each."""
-    g = documents.groupBy(category).agg(F.sort_array(F.collect_list(F.struct(doc_order, index, value))).alias("_v"))
-    return g.select(category, F.slice(F.transform("_v", lambda x: x[value]), 1, most).alias("values"))
+def merged_signals(documents: DataFrame, doc_order: str, index: str, category: str, value: str) -> DataFrame:
+    """(category, doc_order, index, value): the values of all documents, per category in document order.
+
+    Rows in order, not lists: a category of any size is sorted by range and collected nowhere.
+    """
+    return documents.select(category, doc_order, index, value).orderBy(category, doc_order, index)
+
+
+def change_log(decisions: DataFrame, action: str, name: str, kind: str, reason: str, target: str) -> DataFrame:
+    """(bucket, name, kind, reason, target) of decisions: added, merged (alone with a target), dropped or deferred; others are left out."""
+    a = F.col(action)
+    bucket = F.when(a == "keep", "added").when(a == "merge", "merged").when(a == "drop", "dropped").when(a.isin("backlog", "verify_first"), "deferred")
+    return decisions.select(bucket.alias("bucket"), F.col(name).alias("name"), F.col(kind).alias("kind"), F.col(reason).alias("reason"), F.when(a == "merge", F.col(target)).alias("target")).filter("bucket is not null")
 
 
 def versions(files: DataFrame, path: str) -> DataFrame:
@@ -115,9 +124,43 @@ def demand_scores(units: DataFrame, theme: Column, commit: str, importance: Colu
     return g.orderBy(F.desc("score"), F.desc("distinct_commits"), "theme").limit(most)
 
 
-def unit_summary(units: DataFrame, theme: Column, op: Column) -> DataFrame:
-    """One row: units, themes, share of bug fixes."""
-    return units.agg(F.count("*").alias("total_units"), F.count_distinct(theme).alias("total_patterns"), ratio(F.count_if(op == "bugfix"), F.count("*")).alias("bugfix_ratio"))
+def unit_summary(units: DataFrame, theme: Column, op: Column, at: Column, ops: tuple[str, ...]) -> DataFrame:
+    """One row: units, themes, share of bug fixes, how many units each op has (``ops``: its known values), first and last time."""
+    n = [F.struct(F.lit(o).alias("op"), F.count_if(op == o).alias("n")) for o in ops]
+    return units.agg(
+        F.count("*").alias("total_units"), F.count_distinct(theme).alias("total_patterns"), ratio(F.count_if(op == "bugfix"), F.count("*")).alias("bugfix_ratio"),
+        F.array(*n).alias("ops"), F.min(at).alias("first_at"), F.max(at).alias("last_at"),
+    )
+
+
+def export_statistics(cases: DataFrame, passed: Column, bugfix: Column, split: Column) -> DataFrame:
+    """One row: cases, and the shares that pass, are bug fixes, are to be split."""
+    return cases.agg(F.count("*").alias("cases"), ratio(F.count_if(passed), F.count("*")).alias("pass_rate"), ratio(F.count_if(bugfix), F.count("*")).alias("bugfix_ratio"), ratio(F.count_if(split), F.count("*")).alias("split_ratio"))
+
+
+def hint_counts(hints: dict[str, Column], sources: dict[str, Column]) -> tuple[Column, Column]:
+    """(all hints, struct of entries per source) of arrays; null arrays count 0."""
+    n = lambda c: F.coalesce(F.size(c), F.lit(0))
+    total = F.lit(0)
+    for c in hints.values():
+        total = total + n(c)
+    return total, F.struct(*(n(c).alias(k) for k, c in sources.items()))
+
+
+def adjudicated_facts(claims: DataFrame, facts: DataFrame, status: str) -> DataFrame:
+    """Facts with the claims that were found in the code, strongly or weakly; columns that a side lacks are null."""
+    return facts.unionByName(claims.filter(F.col(status).isin("evidence_backed", "weakly_backed")), allowMissingColumns=True)
+
+
+def nested_units(commits: DataFrame, sections: str, flags: list[str]) -> DataFrame:
+    """Commits with ``sections`` (array of structs with an array ``items`` of op and summary) as a row per item.
+
+    The flags of the commit go with each row. A section without items is one row without op, a commit without sections one
+    row without a section.
+    """
+    s = commits.select(*flags, F.explode_outer(sections).alias("s"))
+    i = s.select(*flags, "s", F.explode_outer("s.items").alias("i"))
+    return i.select(*flags, F.col("s.name").alias("section_name"), "s.theme", "s.importance", "i.op", F.coalesce("i.summary", "s.summary").alias("summary"))
 
 
 def banded(n: Column) -> Column:

@@ -3,6 +3,8 @@ so a key that holds a third of all rows is pre-aggregated before it moves."""
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +32,12 @@ def ordered_distinct_ci(arr: Column) -> Column:
     return F.transform(F.array_distinct(low), lambda x: F.element_at(clean, F.array_position(low, x).cast("int")))
 
 
+def filled_or(arr: Column, other: str) -> Column:
+    """The non-null elements of an array; one stand-in where there are none."""
+    some = F.filter(arr, lambda x: x.isNotNull())
+    return F.when(F.coalesce(F.size(some), F.lit(0)) > 0, some).otherwise(F.array(F.lit(other)))
+
+
 def intersection(a: Column, b: Column) -> Column:
     return F.array_intersect(a, b)
 
@@ -85,80 +93,56 @@ def named(name: Column) -> Column:
     return (n != "") & ~n.isin(*NOISE)
 
 
-class _Cluster:
-    def __init__(self, r: dict):
-        self.r = r
-        self.fill()
-
-    def fill(self) -> None:
-        self.name = self.r["name"].strip().lower()
-        self.words = {w.strip().lower() for w in self.r["keywords"] if w.strip()}
-        self.paths = set(self.r["paths"])
-
-    def strength(self) -> tuple[int, int, int]:
-        return len(self.r["paths"]), len(self.r["keywords"]), len((self.r["description"] or "").strip())
-
-
-def _forms(name: str) -> set[str]:
-    return {name, name[:-1] if name.endswith("s") and len(name) > 1 else name + "s"}
-
-
-def _alike(a: _Cluster, b: _Cluster) -> bool:
-    if a.name in _forms(b.name):
-        return True
-    shared = len(a.words & b.words)
-    if shared >= 2 and 2 * shared >= min(len(a.words), len(b.words)):
-        return True
-    return bool(a.paths and b.paths) and 5 * len(a.paths & b.paths) >= 3 * min(len(a.paths), len(b.paths))
-
-
-def _stronger(a: _Cluster, b: _Cluster) -> _Cluster:
-    """The plural of a pair of names, else the one with more paths, keywords, description; the earlier on a tie."""
-    if a.name != b.name and a.name in _forms(b.name) and a.name.endswith("s") != b.name.endswith("s"):
-        return a if a.name.endswith("s") else b
-    return b if b.strength() > a.strength() else a
+def _other_number(name: str) -> str:
+    """The plural of a singular name, the singular of a plural one."""
+    return name[:-1] if len(name) > 1 and name[-1] == "s" else name + "s"
 
 
 def fold_records(pdf: pd.DataFrame) -> pd.DataFrame:
     """Greedy clustering in row order: a record merges into the first cluster it is like, else begins one.
 
-    Clusters are found through what they hold (names, words, paths), and looked at in their order; the merged cluster
-    keeps its place and isn't compared with the others again.
+    Like: equal names or singular and plural; two or more shared keywords that are half of the smaller set; shared paths that
+    are 0.6 of the smaller set. What a record shares with each cluster is counted through inverted lists. A cluster keeps its
+    place and is never compared with others again. Its name is the plural of the two, else that of the side with more paths,
+    then keywords, then description; the older on a tie.
     """
     if len(pdf) > MAX_FOLD:
         raise ValueError(f"{len(pdf)} records of one key; a greedy fold is meant for up to {MAX_FOLD}")
-    clusters: list[_Cluster] = []
-    where: dict[tuple[str, str], set[int]] = {}
-
-    def enter(i: int) -> None:
-        c = clusters[i]
-        for kind, values in (("n", _forms(c.name)), ("w", c.words), ("p", c.paths)):
-            for v in values:
-                where.setdefault((kind, v), set()).add(i)
-
-    for r in pdf.sort_values("ord", kind="stable").to_dict("records"):
-        r["paths"], r["keywords"] = ({*x} if x is not None else set() for x in (r["paths"], r["keywords"]))
-        r["paths"], r["keywords"] = sorted(v for v in r["paths"] if v), sorted(v for v in r["keywords"] if v)
-        r["name"], r["description"], r["members"] = r["name"] or "", r["description"] or "", 1
-        new = _Cluster(r)
-        near = set().union(*(where.get(("n", f), set()) for f in _forms(new.name)), *(where.get(("w", w), set()) for w in new.words), *(where.get(("p", p), set()) for p in new.paths))
-        hit = next((i for i in sorted(near) if _alike(clusters[i], new)), None)
-        if hit is None:
-            clusters.append(new)
-            enter(len(clusters) - 1)
-            continue
-        old = clusters[hit]
-        win = _stronger(old, new)
-        lose = new if win is old else old
-        merged = {
-            "name": win.r["name"], "description": win.r["description"] or lose.r["description"], "paths": sorted({*old.r["paths"], *new.r["paths"]}),
-            "keywords": sorted({*old.r["keywords"], *new.r["keywords"]}), "members": old.r["members"] + 1,
-        }
-        clusters[hit] = _Cluster(merged)
-        enter(hit)
-    key = pdf["key"].iloc[0]
-    out = [{"key": key, "no": i, **{k: c.r[k] for k in ("name", "description", "paths", "keywords", "members")}} for i, c in enumerate(clusters)]
-    return pd.DataFrame(out, columns=["key", "no", "name", "description", "paths", "keywords", "members"])
+    names: list[str] = []  # of each cluster, as compared
+    words: list[set[str]] = []
+    made: list[dict] = []
+    of_name, of_word, of_path = defaultdict(set), defaultdict(set), defaultdict(set)
+    for name, description, paths, keywords in pdf.sort_values("ord", kind="stable")[["name", "description", "paths", "keywords"]].itertuples(index=False):
+        paths = {p for p in (() if paths is None else paths) if p}
+        keywords = {k for k in (() if keywords is None else keywords) if k}
+        key, low = name.strip().lower(), {k.strip().lower() for k in keywords} - {""}
+        common_words, common_paths = Counter(i for w in low for i in of_word[w]), Counter(i for p in paths for i in of_path[p])
+        fits = [i for i in of_name[key] | of_name[_other_number(key)] if names[i] in (key, _other_number(key))]
+        fits += [i for i, n in common_words.items() if n >= 2 and 2 * n >= min(len(low), len(words[i]))]
+        fits += [i for i, n in common_paths.items() if 5 * n >= 3 * min(len(paths), len(made[i]["paths"]))]
+        at = min(fits, default=len(made))
+        new = {"name": name, "description": description or "", "paths": paths, "keywords": keywords, "members": 1}
+        if at == len(made):
+            names.append(key)
+            words.append(low)
+            made.append(new)
+        else:
+            old = made[at]
+            pair = names[at] != key and names[at] == _other_number(key)
+            rank = lambda r, n: (pair and n[-1:] == "s", len(r["paths"]), len(r["keywords"]), len(r["description"].strip()))
+            first, second = (new, old) if rank(new, key) > rank(old, names[at]) else (old, new)
+            names[at] = key if first is new else names[at]
+            words[at] = words[at] | low
+            made[at] = {
+                "name": first["name"], "description": first["description"] or second["description"], "paths": old["paths"] | paths, "keywords": old["keywords"] | keywords, "members": old["members"] + 1,
+            }
+        of_name[names[at]].add(at)
+        for w in low:
+            of_word[w].add(at)
+        for x in paths:
+            of_path[x].add(at)
+    head = pdf["key"].iloc[0]
+    return pd.DataFrame([{"key": head, "no": i, **c, "paths": sorted(c["paths"]), "keywords": sorted(c["keywords"])} for i, c in enumerate(made)], columns=["key", "no", "name", "description", "paths", "keywords", "members"])
 
 
 def merge_records(records: DataFrame, key: str, order: str, name: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from strataforge.functions import text as T
 
-#: Lengths of the dimension's prefixes are sent to the tasks; there are no more than this many.
+#: So many lengths of the dimension's prefixes are sent to the tasks; beyond, a path is cut at every length.
 MAX_LENGTHS = 4096
 
 
@@ -20,6 +20,14 @@ def _clean(arr: str) -> Column:
     return F.filter(F.coalesce(F.col(arr), F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))
 
 
+def _cuts(lengths: DataFrame, path: Column) -> Column:
+    """The lengths at which a path is to be cut: those that prefixes have, all where there are too many to send along."""
+    known = sorted(r.n for r in lengths.distinct().limit(MAX_LENGTHS + 1).collect())
+    if len(known) > MAX_LENGTHS:
+        return F.when(F.length(path) > 0, F.sequence(F.lit(1), F.length(path)))
+    return F.filter(F.lit(known).cast("array<int>") if known else F.array().cast("array<int>"), lambda n: n <= F.length(path))
+
+
 def prefix_winner(facts: DataFrame, dims: DataFrame, key: list[str], fact_id: str, paths: str, dim: str, prefixes: str, order: str) -> DataFrame:
     """Longest-prefix join, one winner per fact: (fact_id, dim) or a null dim.
 
@@ -29,12 +37,8 @@ def prefix_winner(facts: DataFrame, dims: DataFrame, key: list[str], fact_id: st
     """
     d = dims.select(*key, F.col(dim).alias("_dim"), F.col(order).alias("_ord"), F.explode(_clean(prefixes)).alias("_pre"))
     d = d.groupBy(*key, "_pre").agg(F.min(F.struct("_ord", "_dim"))["_dim"].alias("_dim"))
-    lengths = sorted(r[0] for r in d.select(F.length("_pre")).distinct().limit(MAX_LENGTHS + 1).collect())
-    if len(lengths) > MAX_LENGTHS:
-        raise ValueError("prefixes of too many different lengths")
     f = facts.select(*key, F.col(fact_id).alias("_id"), F.explode(F.array_distinct(_clean(paths))).alias("_path"))
-    cuts = F.explode(F.filter(F.lit(lengths).cast("array<int>") if lengths else F.array().cast("array<int>"), lambda n: n <= F.length("_path")))
-    f = f.select("*", cuts.alias("_n")).withColumn("_pre", F.substring("_path", F.lit(1), F.col("_n")))
+    f = f.select("*", F.explode(_cuts(d.select(F.length("_pre").alias("n")), F.col("_path"))).alias("_n")).withColumn("_pre", F.substring("_path", F.lit(1), F.col("_n")))
     per_path = f.join(d, [*key, "_pre"]).groupBy("_id", "_path").agg(F.max_by("_dim", "_n").alias("_dim"))
     won = per_path.groupBy("_id").agg(F.min("_dim").alias("_lo"), F.max("_dim").alias("_hi"))
     return facts.select(F.col(fact_id).alias("_id")).join(won, "_id", "left").select(F.col("_id").alias(fact_id), F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).alias(dim))
@@ -62,11 +66,8 @@ def scored_winner(units: DataFrame, dims: DataFrame, key: list[str], unit_id: st
         (has("theme") * THEME + has("summary") * SUMMARY + has("section_name") * SECTION + F.bool_or("kw").cast("int") * KEYWORD).alias("s")
     )
     pre = dims.select(*key, F.col(dim).alias("_dim"), F.explode(F.array_distinct(_clean("paths"))).alias("_pre"))
-    lengths = sorted(r[0] for r in pre.select(F.length("_pre")).distinct().limit(MAX_LENGTHS + 1).collect())
-    if len(lengths) > MAX_LENGTHS:
-        raise ValueError("prefixes of too many different lengths")
     p = units.select(*key, F.col(unit_id).alias("_id"), F.explode(F.array_distinct(_clean("file_paths"))).alias("_path"))
-    cuts = F.filter(F.lit(lengths).cast("array<int>") if lengths else F.array().cast("array<int>"), lambda n: n <= F.length("_path"))
+    cuts = _cuts(pre.select(F.length("_pre").alias("n")), F.col("_path"))
     p = p.select(*key, "_id", F.explode(F.transform(cuts, lambda n: F.substring(F.col("_path"), F.lit(1), n))).alias("_pre"))
     by_path = p.join(pre, [*key, "_pre"]).select("_id", "_dim").distinct().withColumn("s", F.lit(PATH))
     scored = by_words.unionByName(by_path).groupBy("_id", "_dim").agg(F.sum("s").cast("int").alias("s"))

@@ -5,6 +5,8 @@ into one canonical field list, the rest is integer arithmetic. ``resolve`` picks
 the record order of its source: a reading costs what contradicts the source's stated habits, a change of format and a
 step back in time cost extra.
 
+Where a source states no date order, ``with_habits`` learns one from its unambiguous dates; it only tips the scales.
+
 Viterbi is sequential, a source is not bounded. So the records of a source are cut into chunks by time; each chunk is
 summed up as the matrix of cheapest paths from its first record's readings to its last record's, a source's matrices
 are chained, and with both ends of each chunk fixed the chunks are solved on their own. The result is the one
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 FIRST_US, END_US = 946_684_800_000_000, 1_893_456_000_000_000  # 2000-01-01, 2030-01-01
 #: Costs: a reading against the stated habit outweighs both changes that it can save on either side.
 AGAINST_HABIT, SWITCH, BACKWARD = 100.0, 1.0, 2.0
+#: The most that a learned habit costs: less than a change of format, so that neighbours can overturn it.
+HABIT = 0.75
 SLACK_US = 36 * 3600 * 10**6  # deliveries may be that much out of order at no cost
 CHUNK_ROWS = 50_000
 
@@ -272,12 +276,40 @@ def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def chunked(rows: DataFrame, size: int = CHUNK_ROWS) -> DataFrame:
-    """rows (source, at, ...) with ``chunk``: consecutive hours of a source, about ``size`` records together."""
-    hour = F.floor(F.col("at") / 3_600_000_000)
-    counts = rows.groupBy("source", hour.alias("hour")).agg(F.count("*").alias("n"))
-    before = F.sum("n").over(W.partitionBy("source").orderBy("hour")) - F.col("n")
-    cut = counts.select(F.col("source").alias("s"), F.col("hour").alias("h"), F.floor(before / size).cast("bigint").alias("chunk"))
-    return rows.join(cut, (rows["source"] == cut["s"]) & (hour == cut["h"])).drop("s", "h")
+    """rows (source, at, rid, ...) with ``chunk``: consecutive records of a source, about ``size`` together.
+
+    Units are the hours of a source; an hour of more than ``size`` records is taken apart into its instants, an instant of
+    more into ranges of rid. Units are counted by aggregation and put together in order, so no source is sorted whole.
+    """
+    hour = F.floor(F.col("at") / 3_600_000_000).cast("bigint")
+    counts = rows.groupBy("source", hour.alias("_h")).agg(F.count("*").alias("_n"))
+    full = counts.filter(F.col("_n") > size).select("source", "_h", F.lit(True).alias("_full"))
+    x = rows.withColumn("_h", hour).join(full, ["source", "_h"], "left")
+    same = x.filter("_full").groupBy("source", "at").agg(F.count("*").alias("_n"), F.min("rid").alias("_lo"), F.max("rid").alias("_hi")).filter(F.col("_n") > size)
+    x = x.join(same, ["source", "at"], "left")
+    at = F.when(F.col("_full"), F.col("at")).otherwise(F.col("_h") * 3_600_000_000)
+    width = F.greatest(F.lit(1), F.floor((F.col("_hi") - F.col("_lo")) / F.ceil(F.col("_n") / size))).cast("bigint")
+    part = F.coalesce(F.floor((F.col("rid") - F.col("_lo")) / width), F.lit(0)).cast("bigint")
+    x = x.withColumn("_a", at).withColumn("_b", part).drop("_h", "_full", "_n", "_lo", "_hi")
+    units = x.groupBy("source", "_a", "_b").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy("source").orderBy("_a", "_b")) - F.col("_n")
+    return x.join(units.select("source", "_a", "_b", F.floor(before / size).cast("bigint").alias("chunk")), ["source", "_a", "_b"]).drop("_a", "_b")
+
+
+def with_habits(read: DataFrame, source: str) -> DataFrame:
+    """``readings`` in which the order that a source states nowhere but shows in its unambiguous dates costs less.
+
+    A reading costs up to HABIT, by the share of the source's unambiguous dates in the other order: less than a change of
+    format, so the neighbours can overturn it. Sources without an unambiguous date have no habit.
+    """
+    only = lambda fmt: F.count_if((F.size("readings") == 1) & (F.get("readings", F.lit(0))["fmt"] == fmt))
+    seen = read.groupBy(F.col(source).alias("_s")).agg(only(1).alias("_dmy"), only(2).alias("_mdy")).filter("_dmy + _mdy > 0")
+    r = F.get("readings", F.lit(0)), F.get("readings", F.lit(1))
+    free = (F.size("readings") == 2) & (r[0]["cost"] == 0) & (r[1]["cost"] == 0) & r[0]["fmt"].isin(1, 2)
+    against = lambda x: F.coalesce(F.try_divide(F.when(x["fmt"] == 1, F.col("_mdy")).otherwise(F.col("_dmy")), F.col("_dmy") + F.col("_mdy")), F.lit(0.0)) * HABIT
+    learned = F.transform("readings", lambda x: F.struct(x["fmt"].alias("fmt"), x["us"].alias("us"), against(x).alias("cost")))
+    joined = read.join(seen, F.col(source).eqNullSafe(F.col("_s")), "left")
+    return joined.withColumn("readings", F.when(free, learned).otherwise(F.col("readings"))).select(*read.columns)
 
 
 def resolve(df: DataFrame, rid: str, source: str, order: str, size: int = CHUNK_ROWS) -> DataFrame:
@@ -302,4 +334,4 @@ def commit_instants(commits: DataFrame, repos: DataFrame, size: int = CHUNK_ROWS
     known = F.when(F.col("tz_name").isin(sorted(available_timezones())), F.col("tz_name"))  # an unknown zone would end the job
     places = repos.filter(F.col("repo_id").isNotNull()).groupBy("repo_id").agg(F.min(known).alias("tz_name"), F.min("date_order").alias("date_order"))
     read = interpretations(commits.select("raw_id", "repo_id", "ingested_at", "commit_timestamp").join(places, "repo_id", "left"), "commit_timestamp", "tz_name", "date_order")
-    return resolve(read, "raw_id", "repo_id", "ingested_at", size).select(F.col("rid").alias("raw_id"), F.col("us").alias("utc_us"))
+    return resolve(with_habits(read, "repo_id"), "raw_id", "repo_id", "ingested_at", size).select(F.col("rid").alias("raw_id"), F.col("us").alias("utc_us"))

@@ -48,18 +48,147 @@ def fact_error() -> Column:
     )
 
 
-def card_errors() -> Column:
-    """Errors of a demand card row: issue_id, issue_text, development_type and four lists of texts."""
-    lists = ("domains", "concepts", "rules", "invariants")
-    return messages(
-        (~nonblank(F.col("issue_id")), "request_source.issue_id: must be a non-empty string"),
-        (~nonblank(F.col("issue_text")), "request_source.issue_text: must be a non-empty string"),
-        (~F.coalesce(F.col("development_type"), F.lit("")).isin(*DEVELOPMENT), "development_type: not an allowed value"),
-        *((F.col(c).isNull(), f"semantic_mapping.{c}: must be a list") for c in lists),
-        *((F.exists(c, lambda x: x.isNull()), f"semantic_mapping.{c}: must hold strings") for c in lists),
+def kind_at(v: Column, path: str = "$") -> Column:
+    """STRING, BIGINT, BOOLEAN, ARRAY, OBJECT, ... of a member of a variant; null if it is absent, VOID for a JSON null."""
+    return F.regexp_extract(F.schema_of_variant(F.try_variant_get(v, path, "variant")), r"^(\w+)", 1)
+
+
+def _is(v: Column, path: str, kind: str) -> Column:
+    return F.coalesce(kind_at(v, path) == kind, F.lit(False))
+
+
+def _filled(v: Column, path: str) -> Column:
+    return _is(v, path, "STRING") & nonblank(F.try_variant_get(v, path, "string"))
+
+
+# The objects of a demand card with their fields; those of the second part are lists of texts.
+CARD_TEXTS, CARD_LISTS = {"request_source": ("issue_id", "issue_text")}, {"mapping": ("domains", "concepts", "rules", "invariants"), "uncertainties": ("open_questions",)}
+
+
+def card_errors(payload: Column) -> Column:
+    """Errors of a demand card given as JSON, as an array: unknown fields, objects and texts that are missing, list elements by
+    their index, the development type. A payload that is no object, or has no card, gives that one error."""
+    v = F.try_parse_json(payload)
+    root = "$.demand_card"
+    prefixed = lambda arr, pre, post: F.transform(arr, lambda x: F.concat(F.lit(pre), x.cast("string"), F.lit(post)))
+    none = F.array().cast("array<string>")
+
+    def unknown(path: str, known: tuple[str, ...]) -> Column:
+        text = F.to_json(F.try_variant_get(v, path, "variant"))
+        extra = F.when(_is(v, path, "OBJECT"), F.array_sort(F.array_except(F.json_object_keys(text), F.lit(list(known)))))
+        return F.coalesce(prefixed(extra, path[2:] + "." if path != "$" else "", ": unknown field"), none)
+
+    parts = [unknown("$", ("demand_card",)), unknown(root, ("development_type", *CARD_TEXTS, *CARD_LISTS))]
+    for obj, names in (CARD_TEXTS | CARD_LISTS).items():
+        at = f"{root}.{obj}"
+        parts += [F.when(~_is(v, at, "OBJECT"), F.array(F.lit(f"{at[2:]}: object expected"))).otherwise(none), unknown(at, names)]
+        for n in names:
+            if obj in CARD_TEXTS:
+                parts.append(F.when(_is(v, at, "OBJECT") & ~_filled(v, f"{at}.{n}"), F.array(F.lit(f"{at[2:]}.{n}: text expected"))).otherwise(none))
+                continue
+            elements = F.try_variant_get(v, f"{at}.{n}", "array<variant>")
+            bad = F.filter(F.transform(elements, lambda e, i: F.when(~F.coalesce((kind_at(e) == "STRING") & nonblank(F.try_variant_get(e, "$", "string")), F.lit(False)), i)), lambda i: i.isNotNull())
+            no_list = F.when(_is(v, at, "OBJECT"), F.array(F.lit(f"{at[2:]}.{n}: list expected"))).otherwise(none)
+            parts.append(F.when(_is(v, f"{at}.{n}", "ARRAY"), F.coalesce(prefixed(bad, f"{at[2:]}.{n}[", "]: text expected"), none)).otherwise(no_list))
+    kind = F.try_variant_get(v, f"{root}.development_type", "string")
+    parts.append(F.when(~F.coalesce(_is(v, f"{root}.development_type", "STRING") & kind.isin(*DEVELOPMENT), F.lit(False)), F.array(F.lit("demand_card.development_type: not an allowed value"))).otherwise(none))
+    found = F.flatten(F.array(*parts))
+    return F.when(~_is(v, "$", "OBJECT"), F.array(F.lit("object expected"))).when(~_is(v, root, "OBJECT"), F.array(F.lit("demand_card: object expected"))).otherwise(found)
+
+
+# Categories of signals, and the keys that each signal needs.
+SIGNAL_CATEGORIES, SIGNAL_KEYS = ("domain_signals", "concept_signals", "rule_signals", "demand_pattern_signals"), ("confidence", "evidence", "signal_type", "source")
+
+
+def signal_errors(payload: Column) -> Column:
+    """Errors of a signal document given as JSON: categories that are no list, entries that are no object or lack keys.
+    Categories may be absent; a null payload and one that is no object give one error."""
+    v = F.try_parse_json(payload)
+    none = F.array().cast("array<string>")
+    parts = []
+    for c in SIGNAL_CATEGORIES:
+        entries = F.try_variant_get(v, f"$.{c}", "array<variant>")
+
+        def fault(e, i, c=c):
+            lacking = F.array_except(F.lit(list(SIGNAL_KEYS)), F.coalesce(F.json_object_keys(F.to_json(e)), none))
+            what = F.when(~F.coalesce(kind_at(e) == "OBJECT", F.lit(False)), ": object expected").when(F.size(lacking) > 0, F.concat(F.lit(": lacks "), F.array_join(lacking, ", ")))
+            return F.concat(F.lit(f"{c}["), i.cast("string"), F.lit("]"), what)
+
+        faults = F.filter(_indexed(entries, fault), lambda x: x.isNotNull())
+        parts.append(F.when(kind_at(v, f"$.{c}").isNull(), none).when(_is(v, f"$.{c}", "ARRAY"), F.coalesce(faults, none)).otherwise(F.array(F.lit(f"{c}: list expected"))))
+    return F.when(payload.isNull(), F.array(F.lit("no document"))).when(~_is(v, "$", "OBJECT"), F.array(F.lit("object expected"))).otherwise(F.flatten(F.array(*parts)))
+
+
+def _indexed(arr: Column, f) -> Column:
+    return F.transform(arr, lambda e, i: f(e, i))
+
+
+# The fields of a case with their kinds, the texts that each kind of development begins with, and wordings that
+# hold for any software.
+CASE_FIELDS = {
+    "case_id": None, "commit_id": None, "module": None, "commit_log": "STRING", "issue_text": "STRING", "development_type": "STRING", "rules": "ARRAY", "invariants": "ARRAY",
+    "split_suggestion": None, "value": "STRING", "split_suggestion.needs_split": "BOOLEAN", "split_suggestion.split_reasons": "ARRAY",
+}
+CASE_PREFIXES = {"feature": "feat：", "bugfix": "bugfix：", "refactor": "refactor：", "migration": "migration：", "optimize": "optimize："}
+CASE_VALUES = ("high", "medium", "low")
+CASE_GENERIC = (
+    "null check", "bounds check", "exception handling", "input validation", "avoid crash", "thread-safety", "code style", "defensive programming",
+    "空值判断", "空值检查", "空指针", "边界检查", "异常处理", "输入校验", "输入验证", "避免崩溃", "线程安全", "代码规范", "代码风格", "防御性编程", "做好异常", "避免出错", "保证稳定", "确保安全",
+)
+
+
+def case_failure(payload: Column) -> Column:
+    """The first failure of a case given as JSON, or null: absent fields, then kinds, allowed values, and what must agree."""
+    v = F.try_parse_json(payload)
+    text = lambda n: F.try_variant_get(v, f"$.{n}", "string")
+    begins = lambda c, ps: F.array_contains(F.transform(F.lit(list(ps)), lambda p: F.startswith(c, p)), True)
+    items = F.transform(F.concat(*(F.coalesce(F.try_variant_get(v, f"$.{n}", "array<variant>"), F.array().cast("array<variant>")) for n in ("rules", "invariants"))), lambda e: F.try_variant_get(e, "$", "string"))
+    generic = F.filter(items, lambda x: F.exists(F.lit(list(CASE_GENERIC)), lambda g: F.contains(F.lower(x), g)))
+    wanted = F.create_map(*(F.lit(x) for kv in CASE_PREFIXES.items() for x in kv))[text("development_type")]
+    reasons = F.size(F.try_variant_get(v, "$.split_suggestion.split_reasons", "array<variant>"))
+    return first_failure(
+        (~_is(v, "$", "OBJECT"), "object expected"),
+        *((kind_at(v, f"$.{n}").isNull(), f"{n}: missing") for n in CASE_FIELDS),
+        *((~_is(v, f"$.{n}", k), f"{n}: {k.lower()} expected") for n, k in CASE_FIELDS.items() if k),
+        (~text("development_type").isin(*CASE_PREFIXES), F.concat(F.lit("development_type: unknown value "), text("development_type"))),
+        (~text("value").isin(*CASE_VALUES), F.concat(F.lit("value: unknown value "), text("value"))),
+        (~F.startswith(text("issue_text"), wanted), F.concat(F.lit("issue_text: must begin with "), wanted)),
+        (~F.try_variant_get(v, "$.split_suggestion.needs_split", "boolean") & (reasons > 0), "split_suggestion: reasons without a split"),
+        (begins(text("commit_log"), CASE_PREFIXES.values()), "commit_log: begins like an issue"),
+        (F.size(generic) > 0, F.concat(F.lit("holds for any software: "), F.get(generic, F.lit(0)))),
     )
 
 
+def section_errors(text: Column, required: tuple[str, ...], mentions: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """Errors of a text whose level-two sections must be there, be filled, and hold more than blank lines and headings.
+
+    mentions: what the text of a section must contain, ignoring case. Of sections with one title the last counts. A null or
+    blank text gives one error.
+    """
+    lines = F.split(text, r"\r?\n")
+    titles = F.transform(lines, lambda x: F.regexp_extract(F.trim(x), r"^##\s+(.+?)\s*$", 1))
+    heads = F.filter(F.transform(titles, lambda t, i: F.struct(i.alias("i"), t.alias("t"))), lambda h: h["t"] != "")
+    errors = []
+    for name in required:
+        at = F.array_max(F.transform(_named(heads, name), lambda h: h["i"]))
+        upto = F.coalesce(F.array_min(_after(heads, at)), F.size(lines))
+        body = F.slice(lines, at + 2, upto - at - 1)
+        filled = F.exists(body, lambda x: F.trim(x) != "")
+        useful = F.exists(body, lambda x: (F.trim(x) != "") & ~F.startswith(F.trim(x), F.lit("#")))
+        errors += [F.when(at.isNull(), f"{name}: missing").when(~filled, f"{name}: empty").when(~useful, f"{name}: nothing but headings")]
+        low = F.lower(F.array_join(body, "\n"))
+        errors += [F.when(at.isNotNull() & ~F.contains(low, F.lit(m.lower())), f"{name}: no {m}") for m in (mentions or {}).get(name, ())]
+    return F.when(~nonblank(text), F.array(F.lit("empty text"))).otherwise(F.array_compact(F.array(*errors)))
+
+
+def _named(heads: Column, name: str) -> Column:
+    return F.filter(heads, lambda h: h["t"] == name)
+
+
+def _after(heads: Column, at: Column) -> Column:
+    return F.transform(F.filter(heads, lambda h: h["i"] > at), lambda h: h["i"])
+
+
 def unknown_fields(payload: Column, known: list[str]) -> Column:
     """Top-level fields of a JSON object that aren't known; null if it is none."""
     return F.array_sort(F.array_except(F.json_object_keys(payload), F.lit(known)))
@@ -94,6 +223,16 @@ def consistent_scores(priority: Column, *scores: Column) -> Column:
     return messages((priority != F.greatest(*scores), "priority must be the largest score"), *((~s.between(1.0, 10.0), "score out of range") for s in scores))
 
 
+def cross_field_errors(action: Column, merge_target: Column, needs_check: Column, gap: Column) -> Column:
+    """Errors of a decision: a merge needs a target, a check needs a gap."""
+    return messages(((action == "merge") & ~nonblank(merge_target), "merge without a target"), (needs_check & ~nonblank(gap), "check without a gap"))
+
+
+def issue_error(text: Column) -> Column:
+    """What is wrong with the text of an issue, or null."""
+    return F.when(~nonblank(text), F.lit("empty issue"))
+
+
 def stable(capability_id: Column, refs: Column, confidence: Column) -> Column:
     """Backed by enough references: two for high or medium confidence, one for low."""
     n = F.coalesce(F.size(refs), F.lit(0))

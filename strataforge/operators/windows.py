@@ -112,7 +112,7 @@ def section_bodies(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     first = F.substring_index("p", "\n", 1)
     headed = F.startswith("p", F.lit("## "))
     body = F.when(F.contains("p", F.lit("\n")), strip(F.regexp_replace(F.col("p"), r"(?s)^[^\n]*\n", ""))).otherwise("")
-    return p.select(doc_id, F.col("section_no").cast("bigint").alias("section_no"), F.when(headed, strip(F.substring(first, 4, 10_000))).otherwise(F.substring(first, 1, 50)).alias("title"), F.when(headed, body).otherwise(F.col("p")).alias("content"))
+    return p.select(doc_id, F.col("section_no").cast("bigint").alias("section_no"), F.when(headed, strip(F.substr(first, F.lit(4)))).otherwise(F.substring(first, 1, 50)).alias("title"), F.when(headed, body).otherwise(F.col("p")).alias("content"))
 
 
 def low_confidence(docs: DataFrame, doc_id: str, text: str, marks: tuple[str, ...] = ("confidence:", "low")) -> DataFrame:

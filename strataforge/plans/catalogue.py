@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from strataforge.functions import extract, scoring
 from strataforge.functions import text as T
 from strataforge.operators import aggregates, dedup, drift, joins, timestamps, validate, windows
-from strataforge.plans.sql import SQL
+from strataforge.plans import records
+from strataforge.plans.sql import SQL as _SQL
 from strataforge.session import table
 
 # ---- timestamps and drifting schemas
@@ -82,11 +83,12 @@ def _content(commits: DataFrame) -> DataFrame:
 
 
 def snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
-    """Commits as first delivered by the end of 2022 against as last delivered from 2022 on."""
-    rows = _content(table(spark, d, "raw_commits"))
-    day = F.lit("2023-01-01").cast("timestamp")
-    old = rows.filter(F.col("ingested_at") < day).groupBy("commit_id").agg(F.min_by("digest", F.struct("ingested_at", "raw_id")).alias("digest"))
-    new = rows.filter(F.col("ingested_at") >= F.lit("2022-01-01").cast("timestamp")).groupBy("commit_id").agg(F.max_by("digest", F.struct("ingested_at", "raw_id")).alias("digest"))
+    """Commits as first delivered against as last delivered; those of units alone are added, those without units removed."""
+    rows = _content(table(spark, d, "raw_commits")).filter(F.col("commit_id").isNotNull())
+    old = rows.groupBy("commit_id").agg(F.min_by("digest", F.struct("ingested_at", "raw_id")).alias("digest"))
+    now = rows.groupBy("commit_id").agg(F.max_by("digest", F.struct("ingested_at", "raw_id")).alias("digest"))
+    units = table(spark, d, "change_units").filter(F.col("commit_id").isNotNull()).select("commit_id").distinct()
+    new = units.join(now, "commit_id", "left")
     return joins.snapshot_diff(old, new, "commit_id", "digest")
 
 
@@ -165,7 +167,7 @@ def aliases_ci(spark: SparkSession, d: str) -> DataFrame:
 
 def canonical_cases(spark: SparkSession, d: str) -> DataFrame:
     u = table(spark, d, "change_units").filter(F.col("summary").isNotNull()).select(
-        "unit_id", F.coalesce(scoring.module_of(F.get("file_paths", F.lit(0))), F.lit("root")).alias("module"), F.lower(F.trim("op")).alias("op"),
+        "unit_id", F.explode(F.array_distinct(F.transform(dedup.filled_or(F.col("file_paths"), ""), scoring.module_of))).alias("module"), F.lower(F.trim("op")).alias("op"),
         T.phrase(F.regexp_replace("summary", r"\d+", "0")).alias("issue"), F.when(F.lower(F.trim("importance")) == "primary", "high").otherwise("low").alias("value"), "summary",
     )
     return dedup.canonical_case(u.filter("op is not null"), ["module", "op", "issue"], "value", "summary", "unit_id").select("module", "op", "issue", "unit_id", "cases")
@@ -239,7 +241,9 @@ def demand_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unit_summary(spark: SparkSession, d: str) -> DataFrame:
-    return aggregates.unit_summary(_units(spark, d), F.col("theme"), F.col("op"))
+    at = table(spark, d, "raw_commits").filter(F.col("commit_id").isNotNull()).groupBy("commit_id").agg(F.min("ingested_at").alias("at"))
+    s = aggregates.unit_summary(_units(spark, d).join(at, "commit_id", "left"), F.col("theme"), F.col("op"), F.col("at"), validate.OPS)
+    return s.select("total_units", "total_patterns", "bugfix_ratio", F.transform("ops", lambda o: F.format_string("%s=%d", o["op"], o["n"])).alias("ops"), F.unix_micros("first_at").alias("first_us"), F.unix_micros("last_at").alias("last_us"))
 
 
 def repo_bands(spark: SparkSession, d: str) -> DataFrame:
@@ -294,7 +298,7 @@ def lru_evict(spark: SparkSession, d: str) -> DataFrame:
 
 def arbitrate(spark: SparkSession, d: str) -> DataFrame:
     """Domain descriptions claimed by several sources: one wins per repository and beginning."""
-    rows = table(spark, d, "domains").filter(T.nonblank(F.col("description")) & F.col("repo_id").isNotNull()).withColumn("head", F.substring("description", 1, 12))
+    rows = table(spark, d, "domains").filter(T.nonblank(F.col("description")) & F.col("repo_id").isNotNull()).withColumn("head", F.substring("description", 1, 80))
     rank = F.when(F.col("source") == "architect", 0).when(F.col("source") == "hotspot", 1).when(F.col("source") == "codebase", 2).otherwise(99)
     return windows.arbitrated(rows, ["repo_id", "head"], "domain_id", "description", [rank, F.col("seen_at").isNull().cast("int")])
 
@@ -341,13 +345,14 @@ def fact_errors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def card_errors(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "documents").filter("doc_kind = 'demand_card'")
-    lists = {c: F.filter(extract.labelled(F.coalesce("text", F.lit("")), c), lambda x: x != "") for c in ("domains", "concepts", "rules", "invariants")}
-    card = t.select(
-        F.col("doc_id"), F.col("source").alias("issue_id"), F.col("text").alias("issue_text"), F.get(extract.labelled(F.coalesce("text", F.lit("")), "development_type"), F.lit(0)).alias("development_type"),
-        *(F.when(F.contains("text", F.lit(c)), v).alias(c) for c, v in lists.items()),
+    """Domains written as demand cards: the source is the development type, a missing text or list stays out of the card."""
+    m = table(spark, d, "domains")
+    card = F.struct(
+        F.struct(F.col("domain_name").alias("issue_id"), F.col("description").alias("issue_text")).alias("request_source"),
+        F.struct(F.col("keywords").alias("domains"), F.col("paths").alias("concepts"), F.array().cast("array<string>").alias("rules"), F.when(F.col("repo_id") > 20, F.array().cast("array<string>")).alias("invariants"), F.when(F.col("repo_id") < 5, F.lit(1)).alias("owner")).alias("mapping"),
+        F.when(F.col("source") == "hotspot", "bugfix").otherwise(F.col("source")).alias("development_type"), F.when(F.col("repo_id") != 7, F.struct(F.array(F.lit("why")).alias("open_questions"))).alias("uncertainties"),
     )
-    return card.select("doc_id", validate.card_errors().alias("errors"))
+    return m.select("domain_id", validate.card_errors(F.to_json(F.struct(card.alias("demand_card")))).alias("errors"))
 
 
 def missing_headings(spark: SparkSession, d: str) -> DataFrame:
@@ -361,7 +366,7 @@ def stable_rule(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").join(lines, "o_orderkey", "left")
     conf = F.when(F.startswith("o_orderpriority", F.lit("1")), "high").when(F.startswith("o_orderpriority", F.lit("3")), "medium").otherwise("low")
     n = F.coalesce("n", F.lit(0))
-    keep = n >= F.when(conf.isin("high", "medium"), 2).otherwise(1)
+    keep = validate.stable(F.col("o_orderkey").cast("string"), F.array_repeat(F.lit("line"), n.cast("int")), conf)
     return o.filter(keep).groupBy(conf.alias("confidence")).agg(F.count("*").alias("n"), F.sum(n).alias("evidence"))
 
 
@@ -383,7 +388,8 @@ def stable_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def development_types(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "documents").filter(F.col("text").isNotNull())
-    return t.select("doc_id", scoring.development_type(F.col("text")).alias("development_type"), F.array_sort(scoring.kinds_of(F.col("text"))).alias("kinds"), scoring.open_question(F.col("text")).alias("question"))
+    k = t.select("doc_id", F.inline(F.array(F.struct(scoring.kinds_of(F.col("text")).alias("k")))))  # the words are looked for once
+    return k.select("doc_id", F.coalesce(F.get("k", F.lit(0)), F.lit("feature")).alias("development_type"), F.array_sort("k").alias("kinds"), scoring.open_question(F.lit(""), F.col("k")).alias("question"))
 
 
 def intents(spark: SparkSession, d: str) -> DataFrame:
@@ -450,4 +456,5 @@ _ALL = (
     repeated_sections, card_concepts, low_confidence, errors_array, fact_errors, card_errors, missing_headings, stable_rule, recommend, stable_ids, development_types,
     intents, normalised_texts, token_counts, diff_stats, file_filters, doc_facts, context_aliases, context_modes, month_partition, code_symbols,
 )
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL} | records.QUERIES
+SQL: dict[str, str] = _SQL | records.SQL

@@ -3,6 +3,7 @@ fold over merged records or the parsing rules of timestamps have none; tests hol
 
 from __future__ import annotations
 
+_OPS = "['feat','bugfix','refactor','optimize','cleanup','config','docs','test','compat','safety','other']"
 _NOISE = "'misc','other','others','general','generic','unknown','uncategorized'"
 _TOK = "list_distinct(regexp_extract_all(translate(lower(coalesce({c}, '')), '-_/', '   '), '[a-z0-9_]+'))"
 
@@ -84,9 +85,10 @@ SQL: dict[str, str] = {
  SELECT id AS domain_id, CASE WHEN repo_id IS NULL THEN id ELSE min(id) OVER (PARTITION BY repo_id, name, kw, pa) END AS class_id, coalesce(links.n, 0) AS n_links FROM named LEFT JOIN links USING (id)""",
     "phrase_rank": f"WITH {_phrase_rank()} SELECT doc_id, name AS candidate, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) AS rank FROM s WHERE score > 0",
     "resume_anti": "SELECT raw_id, commit_id FROM raw_commits r WHERE NOT EXISTS (SELECT 1 FROM change_units u WHERE u.commit_id = r.commit_id)",
-    "snapshot_diff": """WITH c AS (SELECT commit_id, raw_id, ingested_at, sha256(concat_ws(chr(10), array_to_string(files, chr(10)), array_to_string(diff_chunks, chr(10)), coalesce(author, ''))) AS digest FROM raw_commits),
- o AS (SELECT commit_id, digest FROM c WHERE ingested_at < TIMESTAMP '2023-01-01' QUALIFY row_number() OVER (PARTITION BY commit_id ORDER BY ingested_at, raw_id) = 1),
- n AS (SELECT commit_id, digest FROM c WHERE ingested_at >= TIMESTAMP '2022-01-01' QUALIFY row_number() OVER (PARTITION BY commit_id ORDER BY ingested_at DESC, raw_id DESC) = 1)
+    "snapshot_diff": """WITH c AS (SELECT commit_id, raw_id, ingested_at, sha256(concat_ws(chr(10), array_to_string(files, chr(10)), array_to_string(diff_chunks, chr(10)), coalesce(author, ''))) AS digest FROM raw_commits WHERE commit_id IS NOT NULL),
+ o AS (SELECT commit_id, digest FROM c QUALIFY row_number() OVER (PARTITION BY commit_id ORDER BY ingested_at, raw_id) = 1),
+ l AS (SELECT commit_id, digest FROM c QUALIFY row_number() OVER (PARTITION BY commit_id ORDER BY ingested_at DESC, raw_id DESC) = 1),
+ n AS (SELECT DISTINCT u.commit_id, l.digest FROM change_units u LEFT JOIN l USING (commit_id) WHERE u.commit_id IS NOT NULL)
  SELECT coalesce(o.commit_id, n.commit_id) AS commit_id, CASE WHEN o.commit_id IS NULL THEN 'added' WHEN n.commit_id IS NULL THEN 'removed' WHEN o.digest = n.digest THEN 'unchanged' ELSE 'changed' END AS status
  FROM o FULL JOIN n ON o.commit_id = n.commit_id""",
     "cache_hits": """WITH t AS (SELECT doc_id, substr(sha256(coalesce(text, '')), 1, 16) AS digest, written_at FROM documents)
@@ -105,7 +107,8 @@ SQL: dict[str, str] = {
  SELECT symbol, doc_id, line_no FROM w JOIN s USING (symbol) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY doc_id, line_no) <= 3""",
     "dedup_first": f"WITH {_PHRASED} SELECT doc_id, row_number() OVER (PARTITION BY key ORDER BY doc_id) = 1 AS kept FROM q",
     "dedup_last": "SELECT commit_id, raw_id, author FROM raw_commits WHERE commit_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY commit_id ORDER BY ingested_at DESC NULLS LAST, raw_id DESC) = 1",
-    "canonical_cases": f"""WITH c AS (SELECT unit_id, CASE WHEN contains(file_paths[1], '/') THEN split_part(file_paths[1], '/', 1) ELSE 'root' END AS module, lower(trim(op)) AS op,
+    "canonical_cases": f"""WITH c AS (SELECT unit_id, unnest(list_distinct(list_transform(CASE WHEN len(list_filter(coalesce(file_paths, []), lambda p: p IS NOT NULL)) > 0 THEN list_filter(file_paths, lambda p: p IS NOT NULL) ELSE [''] END,
+   lambda p: CASE WHEN contains(p, '/') THEN split_part(p, '/', 1) ELSE 'root' END))) AS module, lower(trim(op)) AS op,
    trim(regexp_replace(lower(regexp_replace(summary, '[0-9]+', '0', 'g')), '[^a-z0-9]+', ' ', 'g')) AS issue, CASE WHEN lower(trim(importance)) = 'primary' THEN 0 ELSE 2 END AS r, abs(length(summary) - 18) AS dist
    FROM change_units WHERE summary IS NOT NULL AND op IS NOT NULL)
  SELECT module, op, issue, unit_id, cases FROM (SELECT *, count(*) OVER (PARTITION BY module, op, issue) AS cases, row_number() OVER (PARTITION BY module, op, issue ORDER BY r, dist, unit_id) AS rn FROM c) WHERE rn = 1""",
@@ -133,7 +136,10 @@ SQL: dict[str, str] = {
     "op_distribution": f"WITH {_UNITS} SELECT theme, op, count(*) AS n FROM u GROUP BY theme, op",
     "demand_score": f"""WITH {_UNITS} SELECT theme, count(DISTINCT commit_id) AS distinct_commits, round(count(DISTINCT commit_id) * avg(CASE WHEN importance = 'primary' THEN 2.0 ELSE 1.0 END), 4) AS score
  FROM u GROUP BY theme ORDER BY score DESC, distinct_commits DESC, theme LIMIT 50""",
-    "unit_summary": f"WITH {_UNITS} SELECT count(*) AS total_units, count(DISTINCT theme) AS total_patterns, round(count_if(op = 'bugfix') / count(*), 4) AS bugfix_ratio FROM u",
+    "unit_summary": f"""WITH {_UNITS}, a AS (SELECT commit_id, min(ingested_at) AS at0 FROM raw_commits WHERE commit_id IS NOT NULL GROUP BY 1), o(i, op) AS (SELECT i, ({_OPS})[i] FROM range(1, 12) t(i)),
+ n AS (SELECT list(op || '=' || (SELECT count(*) FROM u WHERE u.op = o.op) ORDER BY i) AS ops FROM o)
+ SELECT count(*) AS total_units, count(DISTINCT theme) AS total_patterns, round(count_if(op = 'bugfix') / count(*), 4) AS bugfix_ratio, any_value(ops) AS ops, epoch_us(min(at0)) AS first_us, epoch_us(max(at0)) AS last_us
+ FROM u LEFT JOIN a USING (commit_id) CROSS JOIN n""",
     "repo_bands": f"WITH {_UNITS} SELECT repo_id, count(DISTINCT theme) AS themes, CASE WHEN count(DISTINCT theme) = 0 THEN 'none' WHEN count(DISTINCT theme) < 3 THEN 'sparse' WHEN count(DISTINCT theme) < 10 THEN 'usual' ELSE 'dense' END AS band FROM u GROUP BY repo_id",
     "change_buckets": """SELECT CASE o_orderstatus WHEN 'F' THEN 'accepted' WHEN 'O' THEN 'deferred' WHEN 'P' THEN 'needs_evidence' ELSE 'rejected' END AS outcome, count(*) AS n, round(max(o_totalprice), 2) AS largest FROM orders GROUP BY 1""",
     "batches": """WITH RECURSIVE w AS (SELECT repo_id, CAST(ingested_at AS DATE) AS day, raw_id, coalesce(list_sum(list_transform(diff_chunks, lambda x: coalesce(length(x), 0))), 0)::BIGINT AS w FROM raw_commits),
@@ -154,7 +160,7 @@ SQL: dict[str, str] = {
  SELECT stream_id, file_seq, row_number() OVER (PARTITION BY stream_id ORDER BY file_seq DESC) <= 3 OR n >= 12 AS keep FROM f""",
     "ttl_live": "SELECT event_id FROM events WHERE ts IS NULL OR ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 72 HOUR - INTERVAL 1800 SECOND",
     "lru_evict": "SELECT domain_id FROM domains QUALIFY row_number() OVER (ORDER BY seen_at DESC NULLS LAST, domain_id DESC) > 500",
-    "arbitrate": r"""WITH r AS (SELECT domain_id, repo_id, substr(description, 1, 12) AS head, CASE source WHEN 'architect' THEN 0 WHEN 'hotspot' THEN 1 WHEN 'codebase' THEN 2 ELSE 99 END AS r0, (seen_at IS NULL)::INT AS r1,
+    "arbitrate": r"""WITH r AS (SELECT domain_id, repo_id, substr(description, 1, 80) AS head, CASE source WHEN 'architect' THEN 0 WHEN 'hotspot' THEN 1 WHEN 'codebase' THEN 2 ELSE 99 END AS r0, (seen_at IS NULL)::INT AS r1,
    list_distinct(list_filter(regexp_split_to_array(lower(trim(description)), '\s+'), lambda w: w <> '')) AS ws FROM domains WHERE trim(description) <> '' AND repo_id IS NOT NULL),
  b AS (SELECT repo_id, head, domain_id AS winner_id, ws AS bw FROM r QUALIFY row_number() OVER (PARTITION BY repo_id, head ORDER BY r0, r1, domain_id) = 1)
  SELECT domain_id, winner_id, CASE WHEN domain_id = winner_id THEN 'winner' WHEN coalesce(len(list_intersect(ws, bw)) / nullif(greatest(len(ws), len(bw)), 0), 0) < 0.3 THEN 'kept' ELSE 'dropped' END AS outcome

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +18,7 @@ def local_session(app: str = "strataforge", cores: int | str = 8, memory: str =
         .config("spark.sql.shuffle.partitions", str(cores if isinstance(cores, int) else 8))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
@@ -29,10 +33,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def shared_dir(spark: SparkSession, default: str = "/tmp/strataforge-shared") -> str:
-    """The folder all executors share: spark.checkpoint.dir, or ``default`` where it is unset (tests)."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
+
+    Where it is unset, a local session (one machine, as in tests) gets a folder of its own; on a cluster that is an error.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
-        at = default
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        at = os.path.join(tempfile.gettempdir(), f"strataforge-{os.getpid()}")
         spark.sparkContext.setCheckpointDir(at)
+        spark.conf.set("spark.checkpoint.dir", at)
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
     return at

@@ -1,20 +1,22 @@
 """A repository's history as a DataFrame: ``spark.read.format("gitlog").option("repo", path)``.
 
 The driver lists the commits once; each partition reads the details of a slice of them with one git process. Options:
-repo, range, since, until, author, no_merges, per_partition. A failing git ends the job with its message.
+repo, range, since, until, author, no_merges, per_partition, exclude (path prefixes, separated by commas), diff (true: with
+the text of the changes, cut at each file). A failing git ends the job with its message.
 """
 
 from __future__ import annotations
 
+import re
 import subprocess
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SCHEMA = "sha string, author string, date string, message string, files array<string>, insertions bigint, deletions bigint, binaries bigint"
-_MARK = "\x1e"
+SCHEMA = "sha string, author string, date string, message string, files array<string>, insertions bigint, deletions bigint, binaries bigint, diff_chunks array<string>, related_tests array<string>"
 
 
 def _git(repo: str, *args: str, stdin: str | None = None) -> str:
@@ -52,18 +54,39 @@ class _Reader(DataSourceReader):
     def read(self, partition: _Slice) -> Iterator[tuple]:
         if not partition.shas:
             return
-        out = _git(self.o["repo"], "log", "--no-walk=unsorted", "--stdin", "--numstat", f"--format={_MARK}%H%x1f%an%x1f%aI%x1f%B%x1f", stdin="\n".join(partition.shas) + "\n")
-        for block in out.split(_MARK)[1:]:
-            sha, author, date, message, stat = block.split("\x1f", 4)
+        mark = uuid.uuid4().hex  # changes may hold any text
+        excluded = tuple(p for p in self.o.get("exclude", "").split(",") if p)
+        patch = ["-p", "--no-color", "--no-ext-diff"] if self.o.get("diff", "").lower() == "true" else []
+        form = "%x1f".join([f"{mark}%H", "%an", "%aI", f"%B{mark}:"])
+        out = _git(self.o["repo"], "log", "--no-walk=unsorted", "--stdin", "--numstat", *patch, f"--format={form}", stdin="\n".join(partition.shas) + "\n")
+        for sha, author, date, message, stat, chunks in _commits(out, mark):
             files, ins, dele, binaries = [], 0, 0, 0
-            for line in stat.strip().splitlines():
+            for line in stat:
                 a, b, path = line.split("\t", 2)
+                if path.startswith(excluded):
+                    continue
                 files.append(path)
                 if a == "-":
                     binaries += 1
                 else:
                     ins, dele = ins + int(a), dele + int(b)
-            yield sha, author, date, message.strip(), files, ins, dele, binaries
+            kept = [c for c in chunks if not _path_of(c).startswith(excluded)] if excluded else chunks
+            yield sha, author, date, message, files, ins, dele, binaries, kept if patch else None, [f for f in files if "test" in f.lower()]
+
+
+def _commits(out: str, mark: str) -> Iterator[tuple]:
+    """(sha, author, date, message, lines of the statistics, changes by file) of the log's output."""
+    parts = out.split(mark)[1:]  # what stands before and behind the second mark of each commit
+    for head, tail in zip(parts[::2], parts[1::2]):
+        sha, author, date, message = head.split("\x1f", 3)
+        stat, *chunks = re.split(r"(?m)^(?=diff --git )", tail[1:])
+        yield sha, author, date, message.strip(), stat.strip().splitlines(), chunks
+
+
+def _path_of(chunk: str) -> str:
+    """The path that a change begins with."""
+    m = re.match(r"diff --git a/(\S+)", chunk)
+    return m[1] if m else ""
 
 
 class GitLog(DataSource):
@@ -88,14 +111,16 @@ def weight() -> Column:
     return F.col("binaries") * 500 + F.col("insertions") + F.col("deletions")
 
 
-def files_by_commit(log: DataFrame, line: str, order: str, marker: str) -> DataFrame:
-    """(sha, files) of the lines of a listing in which marker lines name the commit of those below them.
+def files_by_commit(log: DataFrame, listing: str, line: str, order: str, marker: str) -> DataFrame:
+    """(sha, files) of the lines of listings in which marker lines name the commit of those below them.
 
-    The listing is the output of one command; the running marker needs its order, so it is one group.
+    A listing is the output of one command and is read in its order; different listings are read apart. Lines before the
+    first marker and blank ones are left out.
     """
     from pyspark.sql import Window as W
 
-    sha = F.when(F.startswith(line, F.lit(marker)), F.trim(F.substring(F.col(line), F.lit(len(marker) + 1), F.length(line))))
-    rows = log.select(order, line, sha.alias("_m")).withColumn("sha", F.last("_m", ignorenulls=True).over(W.orderBy(order)))
-    g = rows.filter(F.col("sha").isNotNull()).groupBy("sha").agg(F.array_sort(F.collect_list(F.when(F.col("_m").isNull() & (F.trim(line) != ""), F.struct(order, line)))).alias("f"))
+    sha = F.when(F.startswith(line, F.lit(marker)), F.trim(F.substr(line, F.lit(len(marker) + 1))))
+    rows = log.select(listing, order, line, sha.alias("_m")).withColumn("sha", F.last("_m", ignorenulls=True).over(W.partitionBy(listing).orderBy(order)))
+    at = F.struct(listing, order, line)
+    g = rows.filter(F.col("sha").isNotNull()).groupBy("sha").agg(F.array_sort(F.collect_list(F.when(F.col("_m").isNull() & (F.trim(line) != ""), at))).alias("f"))  # the files of one commit
     return g.select("sha", F.transform("f", lambda x: x[line]).alias("files"))

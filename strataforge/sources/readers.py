@@ -28,7 +28,7 @@ def jsonl(spark: SparkSession, path: str, schema: StructType, skip_errors: bool
     if ordinals:
         df = df.withColumn("_file", F.col("_metadata.file_path")).withColumn("_line", F.monotonically_increasing_id())
     extra = ["_file", "_line"] if ordinals else []
-    return df.filter(F.col(_CORRUPT).isNull() & F.coalesce(*(F.col(c).isNotNull() for c in [f.name for f in schema.fields]), F.lit(True)).isNotNull()).select(*[f.name for f in schema.fields], *extra)
+    return df.filter(F.col(_CORRUPT).isNull()).select(*[f.name for f in schema.fields], *extra)
 
 
 def json_object(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -74,12 +74,48 @@ def yaml_objects(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return texts(spark, path).select("path", F.from_json(as_json("text"), schema).alias("data"))
 
 
-def tree(spark: SparkSession, root: str, most: int = 200, excluded: tuple[str, ...] = (".git/", "node_modules/", "__pycache__/")) -> DataFrame:
-    """(path, bytes) of the first ``most`` files by path, without excluded folders and empty files; the cap is the feature of a summary."""
+def front_matter(spark: SparkSession, path: str) -> DataFrame:
+    """(path, meta, body) of texts that begin with a YAML block between lines of three hyphens; meta is JSON, null where
+    there is no block or it is no mapping. Needs PyYAML on the executors."""
+
+    @F.pandas_udf("string")
+    def as_json(s: pd.Series) -> pd.Series:
+        import yaml
+
+        def one(t):
+            try:
+                v = yaml.safe_load(t) if t else None
+            except yaml.YAMLError:
+                return None
+            return json.dumps(v, default=str, ensure_ascii=False) if isinstance(v, dict) else None
+
+        return s.map(one)
+
+    block = r"(?s)^---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|$)"
+    t = texts(spark, path)
+    return t.select("path", as_json(F.regexp_extract("text", block, 1)).alias("meta"), F.regexp_replace("text", block, "").alias("body"))
+
+
+def folder_texts(spark: SparkSession, folder: str, most: int = 3000) -> DataFrame:
+    """(path, text) of all files of a folder in the order of their paths, the first ``most`` characters of each."""
+    return texts(spark, folder, most).orderBy("path")
+
+
+def tree_total(spark: SparkSession, root: str, excluded: tuple[str, ...] = (".git/", "node_modules/", "__pycache__/")) -> DataFrame:
+    """One row (files, bytes): what ``tree`` lists a part of."""
+    return _files(spark, root, excluded).agg(F.count("*").alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+
+
+def _files(spark: SparkSession, root: str, excluded: tuple[str, ...]) -> DataFrame:
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.col("length").alias("bytes"))
     for e in excluded:
         df = df.filter(~F.contains("path", F.lit("/" + e)))
-    return df.orderBy("path").limit(most)
+    return df
+
+
+def tree(spark: SparkSession, root: str, most: int = 200, excluded: tuple[str, ...] = (".git/", "node_modules/", "__pycache__/")) -> DataFrame:
+    """(path, bytes) of the first ``most`` files by path, without excluded folders and empty files; the cap is the feature of a summary."""
+    return _files(spark, root, excluded).orderBy("path").limit(most)
 
 
 def selected_texts(files: DataFrame, listing: DataFrame, text: str, label: str, most: int = 10_000) -> DataFrame:

@@ -27,6 +27,18 @@ def small_json(df: DataFrame, path: str) -> None:
     os.replace(path + ".tmp", path)
 
 
+def small_yaml(df: DataFrame, path: str) -> None:
+    """A one-row result as a YAML file, replaced atomically. Needs PyYAML on the driver."""
+    import yaml
+
+    rows = df.limit(2).toJSON().collect()
+    if len(rows) != 1:
+        raise ValueError("one row is expected")
+    with open(path + ".tmp", "w", encoding="utf-8") as f:
+        yaml.safe_dump(json.loads(rows[0]), f, allow_unicode=True, sort_keys=False)
+    os.replace(path + ".tmp", path)
+
+
 def append_months(df: DataFrame, path: str, key: str, date: str, order: list[str]) -> int:
     """Append the rows whose key isn't yet in their month, the last of each key; rows without a key are left out.
 
@@ -91,12 +103,12 @@ def work_list(batches: DataFrame, batch: list[str], item: str, prompt: str) -> D
 
 def pascal(name: Column) -> Column:
     """some-name_here as SomeNameHere."""
-    return F.array_join(F.transform(F.filter(F.split(name, r"[^A-Za-z0-9]+"), lambda w: w != ""), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 10_000))), "")
+    return F.array_join(F.transform(F.filter(F.split(name, r"[^A-Za-z0-9]+"), lambda w: w != ""), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))), "")
 
 
 def camel(name: Column) -> Column:
     p = pascal(name)
-    return F.concat(F.lower(F.substring(p, 1, 1)), F.substring(p, 2, 10_000))
+    return F.concat(F.lower(F.substring(p, 1, 1)), F.substr(p, F.lit(2)))
 
 
 def graphql_types(concepts: DataFrame, name: str, summary: str) -> DataFrame:

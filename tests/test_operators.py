@@ -55,9 +55,9 @@ def test_scored_winner(spark):
 
 
 def test_prefix_winner(spark):
-    dims = [(1, "general", 1, ["src/"], None), (1, "specific", 2, ["src/semantic/"], None), (1, "late", 3, ["src/"], None), (1, "none", 4, ["", None], None)]
+    dims = [(1, "general", 1, ["src/"], None), (1, "specific", 2, ["src/deep/"], None), (1, "late", 3, ["src/"], None), (1, "none", 4, ["", None], None)]
     units = [
-        (1, 1, "", "", "", ["src/semantic/x.py"]), (2, 1, "", "", "", ["src/semantic/x.py", "src/y.py"]), (3, 1, "", "", "", ["src/semantic/x.py", "docs/a"]),
+        (1, 1, "", "", "", ["src/deep/x.py"]), (2, 1, "", "", "", ["src/deep/x.py", "src/y.py"]), (3, 1, "", "", "", ["src/deep/x.py", "docs/a"]),
         (4, 1, "", "", "", ["src/a", "src/a", None, ""]), (5, 1, "", "", "", None), (6, 2, "", "", "", ["src/a"]),
     ]
     f = joins.prefix_winner(spark.createDataFrame(units, UNIT), spark.createDataFrame(dims, DIM), ["repo"], "unit_id", "file_paths", "name", "paths", "domain_id")
@@ -292,7 +292,7 @@ def test_extraction(spark):
     assert val(spark, extract.added_lines(diff)) == 1 and val(spark, extract.removed_lines(diff)) == 2
     assert val(spark, extract.labelled(F.lit("- Kind: a \nkind : A\nKIND: b"), "kind")) == ["a", "b"]
     t = F.lit("`Foo` and class Bar: def baz(): see `src/a_b.py` or tests/x.py, key `max_size`, `Foo`")
-    assert val(spark, extract.symbols(t)) == ["Foo", "Bar", "baz"] and val(spark, extract.config_keys(t)) == ["max_size"] and val(spark, extract.paths(t)) == ["src/a_b.py", "tests/x.py"]
+    assert val(spark, extract.named(t, "symbol")) == ["Foo", "Bar", "baz"] and val(spark, extract.named(t, "config_key")) == ["max_size"] and val(spark, extract.named(t, "file_path")) == ["src/a_b.py", "tests/x.py"]
     code = "class A:\n  def m(self): pass\n  def _p(self): pass\nasync def f(): pass\ndef _g(): pass\n"
     src = spark.createDataFrame([("a.py", code), ("b.py", "def ("), ("c.py", None)], "p string, s string")
     tab = extract.symbol_table(src, "p", "s")

@@ -77,8 +77,16 @@ def test_git(spark, tmp_path):
     assert rows == {f"change {i}": ([f"f{i}.txt"], i + 1) for i in range(5)}
     with pytest.raises(Exception, match="git rev-list failed"):
         git.history(spark, f"{tmp_path}/none").collect()
-    log = spark.createDataFrame([(0, "noise"), (1, "@@a"), (2, "x"), (3, ""), (4, "y"), (5, "@@b")], "o long, l string")
-    assert {r.sha: r.files for r in git.files_by_commit(log, "l", "o", "@@").collect()} == {"a": ["x", "y"], "b": []}
+    os.makedirs(f"{repo}/docs")
+    write(f"{repo}/docs/test_a.md", "x\x1e diff --git a/no b/no\n")
+    write(f"{repo}/test_b.txt", "diff\n")
+    run("add", ".")
+    run("commit", "-q", "-m", "last\n\nwith a body")
+    last = git.history(spark, repo, diff="true", exclude="docs/,f0", per_partition="3").filter("message like 'last%'").first()
+    assert last.message == "last\n\nwith a body" and last.files == ["test_b.txt"] == last.related_tests and last.insertions == 1
+    assert len(last.diff_chunks) == 1 and last.diff_chunks[0].startswith("diff --git a/test_b.txt b/test_b.txt\n") and last.diff_chunks[0].endswith("+diff\n")
+    log = spark.createDataFrame([("p", 0, "noise"), ("p", 1, "@@a"), ("p", 2, "x"), ("p", 3, ""), ("p", 4, "y"), ("p", 5, "@@b"), ("q", 0, "z"), ("q", 1, "@@c"), ("q", 2, "w")], "f string, o long, l string")
+    assert {r.sha: r.files for r in git.files_by_commit(log, "f", "l", "o", "@@").collect()} == {"a": ["x", "y"], "b": [], "c": ["w"]}
 
 
 def test_versions_and_reports(spark, tmp_path):

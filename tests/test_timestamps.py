@@ -101,6 +101,12 @@ def test_against_datetime(spark, sf):
     assert not differ, (len(differ), differ[:5])
 
 
+def brute_instants(con):
+    """p2_found of a connection's tables; every repository of them states its date order."""
+    rows = con.execute("select raw_id, commit_timestamp, tz_name, date_order from raw_commits left join repos using (repo_id)").fetchall()
+    return [{"raw_id": i, "utc_us": x} for i, t, tz, o in rows if (x := expected(t, tz, o)) is not None]
+
+
 CASES = [
     ("2021-03-28 02:30:00", "Europe/Berlin", "dmy", "2021-03-28 01:30:00"),  # skipped: the offset before the change
     ("2021-10-31 02:30:00", "Europe/Berlin", "dmy", "2021-10-31 00:30:00"),  # twice: the first
@@ -157,3 +163,32 @@ def test_viterbi_is_the_cheapest_path(spark, size):
     path = [next(o for o in options[i] if o[1] == got[i]) for i in range(len(texts))]
     assert cost(path) == best
     assert got[0] == us(datetime(2021, 2, 3, 10)) and got[7] == us(datetime(2021, 7, 1, 10))
+
+
+def test_neighbours_decide_what_no_row_can(spark):
+    """Equal texts mean different days: once by what stands beside them, once by the source's habit; neither is in the row."""
+    def source(n, *texts):
+        return [(100 * n + i, n, t, "UTC", None, datetime(2021, 2, 1) + timedelta(days=i)) for i, t in enumerate(texts)]
+
+    same = "03/04/2021 10:00"
+    rows = source(1, "28/03/2021 10:00", same, "05/04/2021 10:00") + source(2, "2021-03-03 10:00", same, "2021-03-05 10:00") + source(3, "02/28/2021 10:00", "2021-02-28 11:00", same, "2021-04-03 10:00")
+    rows += source(4, *["13/05/2021 10:00"] * 3, "2021-05-14 10:00", same, "2021-05-14 11:00")  # the habit says 3 April, which is a step back; so is 4 March
+    df = spark.createDataFrame(rows, "rid long, src long, t string, tz string, o string, at timestamp")
+    read = T.with_habits(T.interpretations(df, "t", "tz", "o"), "src")
+    got = {r.rid: r.us for r in T.resolve(read, "rid", "src", "at").collect()}
+    april, march = us(datetime(2021, 4, 3, 10)), us(datetime(2021, 3, 4, 10))
+    assert got[101] == april and got[201] == march and got[302] == march and got[404] == april
+    path = T.resolve(T.interpretations(df, "t", "tz", "o"), "rid", "src", "at").filter("rid = 201").first().us
+    assert path == march  # without a habit too: the first reading listed is 3 April
+
+
+def test_chunks_of_one_instant(spark):
+    """Records of one hour, of one instant and without a time are cut too; order and result stay."""
+    rows = [(i, i % 2, "0%d/05/2021 10:00" % (1 + i % 9), "UTC", None, None if i < 60 else datetime(2021, 5, 1, 10, 0, i % 3)) for i in range(150)]
+    df = spark.createDataFrame(rows, "rid long, src long, t string, tz string, o string, at timestamp")
+    read = T.interpretations(df, "t", "tz", "o")
+    whole = {r.rid: r.us for r in T.resolve(read, "rid", "src", "at", 10_000).collect()}
+    assert whole == {r.rid: r.us for r in T.resolve(read, "rid", "src", "at", 7).collect()} and len(whole) == 150
+    flat = df.select("rid", F.col("src").alias("source"), F.coalesce(F.unix_micros("at"), F.lit(0)).alias("at"))
+    sizes = T.chunked(flat, 7).groupBy("source", "chunk").count().collect()
+    assert max(r["count"] for r in sizes) <= 14 and len(sizes) >= 20

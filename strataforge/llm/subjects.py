@@ -2,36 +2,47 @@
 
 A text is cut into remarks (lines and sentences); of each remark the n-grams of 1 to 4 words, hashed, are its features.
 Labels are few, noisy and by document, so weak labels by remark are made first: a remark bears an area of its document
-if one of its n-grams leans to that area. The leaning is counted from the labelled documents, then again from the
-remarks it marks, and documents without a label join with the areas that their surest remarks bear (an n-gram beside
-a known one is learned that way). One logistic classifier per area is then fitted to the marked remarks.
+if one of its n-grams leans to that area. The leaning is counted from the labelled documents, then again over *all*
+documents in ROUNDS passes: from the remarks that the leanings so far mark, where documents without a label join with the
+areas that their surest remarks bear (an n-gram beside a known one is learned that way). A remark in several copies counts
+once altogether, and never for itself. One logistic classifier per area is then fitted to the marked remarks of a sample.
 
 What only passes an area by is learned without labels too: the wording of remarks whose area no other remark of the
 document supports. A document is about the areas that some remark bears above the calibrated threshold, passing ones
-not counted.
+not counted. Thresholds come from a cross-validation over the labelled sample, the same at any number of labels.
 
-Fitting takes a bounded, deterministic sample (LABELLED, UNLABELLED documents of at most SAMPLE_CHARS characters) to the
-driver; every document is classified.
+The counts are arrays of fixed size (BITS, COPY_BITS) that tasks sum up; the sample (LABELLED, WEAK, SAMPLE_CHARS) is what
+the fits, one task each, are given; every document is classified.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-LABELLED, UNLABELLED, SAMPLE_CHARS = 6_000, 6_000, 20_000
+#: Bounds of the sample that the classifiers are fitted to: documents with a label, documents with weak labels, characters of
+#: each of the two parts. They bound nothing else: counts are of all documents, and all are classified.
+LABELLED, WEAK, SAMPLE_CHARS = 6_000, 6_000, 20_000_000
 BITS, NGRAM = 19, 4
+#: Buckets in which the copies of a remark are counted, rounds of leanings, parts of the cross-validation, and labelled documents
+#: of an area whose own threshold weighs as much as the shared one.
+COPY_BITS, ROUNDS, FOLDS, PULL = 22, 3, 5, 40.0
+_SLICES = 64
 #: Strength of the prior of an n-gram's leaning, share of right labels (some are wrong) at which a leaning is sure, and
 #: bounds of such leanings: LEAST always, MOST once the counts rest on marked remarks.
 PRIOR, PRECISE, LEAST, MOST = 3.0, 0.85, 1.2, 5.0
-#: Times the classifiers are fitted anew to what they found.
-REFITS = 1
+#: Times the classifiers are fitted anew to what they found, and rounds of each fit.
+REFITS, FIT_ROUNDS = 1, 30
 _U = np.uint64
 _REMARK = re.compile(r"[\r\n]+|(?<=[.!?])\s+|(?<=[。！？])")
 _TOKEN = re.compile(r"[぀-ヿ㐀-鿿가-힣]|[^\W\d_぀-ヿ㐀-鿿가-힣]+|\d+")
@@ -86,6 +97,15 @@ class Grams:
         return np.array(doc), r[order], f[order]
 
 
+def _signs(n: int, rem: np.ndarray, feat: np.ndarray) -> np.ndarray:
+    """A hash of each remark's wording."""
+    sign = np.zeros(n, np.uint64)
+    if len(rem):
+        head = np.flatnonzero(np.r_[True, rem[1:] != rem[:-1]])
+        sign[rem[head]] = np.add.reduceat((feat.astype(np.uint64) + _U(1)) * _U(0x9E3779B97F4A7C15) ^ (feat.astype(np.uint64) << _U(40)), head)
+    return sign * _U(0xBF58476D1CE4E5B9)
+
+
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -101,7 +121,8 @@ class Model:
     report: dict = field(default_factory=dict)
 
     def remarks(self, n: int, rem: np.ndarray, feat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        p = np.stack([_sigmoid(np.bincount(rem, self.weights[feat, a], n) + self.bias[a]) for a in range(len(self.areas))], 1)
+        z = np.stack([np.bincount(rem, self.weights[feat, a], n) + self.bias[a] for a in range(len(self.areas))], 1)
+        p = np.where(z >= z.max(axis=1, keepdims=True, initial=-30.0), _sigmoid(z), 0.0)  # a remark bears one area
         return p, np.bincount(rem, self.passing[feat], n) + self.passing_bias > 0
 
     def documents(self, texts: list[str | None], grams: Grams) -> np.ndarray:
@@ -114,23 +135,94 @@ class Model:
         return out
 
 
-def _lean(n: int, rem, feat, bears: np.ndarray, counts: np.ndarray, width: int) -> np.ndarray:
-    """Leaning of each remark to each area: that of the n-gram that leans most.
+@dataclass
+class Step:
+    """Leanings as counted in one round: how often each n-gram stands in examples of an area, and in remarks judged not to be.
 
-    bears, counts: remarks x areas, whether a remark is an example of the area and whether it is one at all. The leaning of
-    an n-gram is its log odds over the usual ones, with PRIOR examples at the usual rate added so that a rare one leans
-    little; a remark that is an example itself is left out of the counts that it is judged by.
+    Only n-grams that stand in an example of some area have a row (``row``: feature -> row, 0 for all others).
     """
-    head = np.flatnonzero(np.r_[True, rem[1:] != rem[:-1]])
-    best = np.full(bears.shape, -9.0)
-    for a in range(bears.shape[1]):
-        yes, no = bears[:, a] & counts[:, a], ~bears[:, a] & counts[:, a]
-        pos, neg = np.bincount(feat, yes[rem], width), np.bincount(feat, no[rem], width)
-        rate = (yes.sum() + 1.0) / (yes.sum() + no.sum() + 2.0)
-        p, q = pos[feat] - yes[rem], neg[feat] - no[rem]
-        w = np.log(np.maximum(p, 0) + PRIOR * rate) - np.log(np.maximum(q, 0) + PRIOR * (1 - rate)) - np.log(rate / (1 - rate))
-        best[rem[head], a] = np.maximum.reduceat(w, head)
-    return best
+
+    row: np.ndarray
+    yes: np.ndarray
+    no: np.ndarray
+    rate: np.ndarray
+    sure: float = 9.0
+
+    @classmethod
+    def of(cls, sums: np.ndarray, k: int) -> Step:
+        """From sums of (judged, examples by area, in documents of the area) per feature; the last row is of the remarks themselves."""
+        judged, yes, held = sums[:, 0], sums[:, 1 : k + 1], sums[:, k + 1 :]
+        used = np.flatnonzero((yes[:-1] > 0).any(axis=1))
+        row = np.zeros(len(sums) - 1, np.int32)
+        row[used] = np.arange(1, len(used) + 1)
+        no = judged[:, None] - held
+        pad = np.zeros((1, k), np.float32)
+        rate = (yes[-1] + 1.0) / (yes[-1] + no[-1] + 2.0)
+        return cls(row, np.vstack([pad, yes[used]]).astype(np.float32), np.vstack([pad, no[used]]).astype(np.float32), rate.astype(np.float32))
+
+    def lean(self, rem, feat, own_yes: np.ndarray, own_no: np.ndarray) -> np.ndarray:
+        """Leaning of each remark to each area: that of the n-gram that leans most, in log odds over the usual ones.
+
+        PRIOR examples at the usual rate are added, so that a rare n-gram leans little; what the remark was counted as itself
+        (own_yes, own_no: remarks x areas) is left out.
+        """
+        best = np.full(own_yes.shape, -9.0, np.float32)
+        if not len(rem):
+            return best
+        keep = self.row[feat] > 0
+        r, at = rem[keep], self.row[feat[keep]]
+        rest = np.setdiff1d(rem, r)
+        best[rest] = 0.0  # n-grams that nothing is known of lean nowhere
+        if len(r):
+            p, q = np.maximum(self.yes[at] - own_yes[r], 0), np.maximum(self.no[at] - own_no[r], 0)
+            w = np.log(p + PRIOR * self.rate) - np.log(q + PRIOR * (1 - self.rate)) - np.log(self.rate / (1 - self.rate))
+            head = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+            best[r[head]] = np.maximum.reduceat(w, head)
+        return best
+
+
+class Judged:
+    """What the steps so far make of documents: which areas each holds, which remarks bear them, and whether it is judged."""
+
+    def __init__(self, n_docs: int, doc, rem, feat, gold: np.ndarray, known: np.ndarray):
+        self.n, self.doc, self.rem, self.feat, self.gold, self.known = n_docs, doc, rem, feat, gold, known
+        self.holds, self.judged, self.bears = gold & known[:, None], known, gold[doc] & known[doc][:, None]
+        self.top = np.full(gold.shape, -9.0, np.float32)
+
+    def look(self, step: Step) -> None:
+        """The best leanings, without what the remark itself was counted as."""
+        own_no = self.judged[self.doc][:, None] & ~self.holds[self.doc]
+        best = step.lean(self.rem, self.feat, self.bears.astype(np.float32), own_no.astype(np.float32))
+        self.best = np.where(best >= best.max(axis=1, keepdims=True, initial=-9.0), best, -9.0)  # a remark leans to one area
+        self.top = np.full(self.gold.shape, -9.0, np.float32)
+        np.maximum.at(self.top, self.doc, self.best)
+
+    def decide(self, sure: float) -> None:
+        """A labelled area that no remark shows is left out, one that is clear without a label comes in."""
+        top, known = self.top, self.known[:, None]
+        self.holds = np.where(known, (self.gold & (top > LEAST)) | (top > sure + 1.0), top > sure)
+        self.bears = (self.best >= np.minimum(np.maximum(sure, 0.5 * top), top)[self.doc]) & (self.best > LEAST) & self.holds[self.doc]
+        self.judged = self.known | self.holds.any(axis=1) | (top.max(axis=1, initial=-9.0) < LEAST)
+
+    def follow(self, steps: list[Step]) -> Judged:
+        for s in steps:
+            self.look(s)
+            self.decide(s.sure)
+        return self
+
+    def add(self, sums: np.ndarray, weight: np.ndarray) -> None:
+        """Add this to the sums of ``Step.of``; weight is per remark."""
+        k, width = self.gold.shape[1], len(sums) - 1
+        c = np.where(self.judged[self.doc], weight, 0.0)
+        each = c[self.rem]
+        sums[:width, 0] += np.bincount(self.feat, each, width)
+        sums[width, 0] += c.sum()
+        for a in range(k):
+            for col, mask in ((1 + a, self.bears[:, a]), (1 + k + a, self.holds[self.doc, a])):
+                if mask.any():
+                    m = mask[self.rem]
+                    np.add.at(sums[:, col], self.feat[m], each[m])
+                    sums[width, col] += c[mask].sum()
 
 
 def _sure(top: np.ndarray, gold: np.ndarray) -> float:
@@ -138,6 +230,8 @@ def _sure(top: np.ndarray, gold: np.ndarray) -> float:
 
     Only the first area counts: what a document mentions in passing leans as clearly and has no label.
     """
+    if not len(top):
+        return 9.0
     first = top.argmax(axis=1)
     rows = np.arange(len(top))
     order = np.argsort(-top[rows, first])
@@ -146,68 +240,51 @@ def _sure(top: np.ndarray, gold: np.ndarray) -> float:
     return float(max(LEAST, x[ok[-1]])) if len(ok) else 9.0
 
 
-def _logistic(n: int, rem, feat, y: np.ndarray, use: np.ndarray, width: int, rounds: int = 30, l2: float = 2e-6, rate: float = 0.7) -> tuple[np.ndarray, float]:
-    """One classifier by full-batch Adagrad; y and use are per remark."""
-    keep = use[rem]
+def _logistic(rem, feat, y: np.ndarray, use: np.ndarray, width: int, l2: float = 2e-6, rate: float = 0.7) -> tuple[np.ndarray, np.ndarray]:
+    """One classifier per column of y, all at once, by full-batch Adagrad; y and use are remarks x classes."""
+    k = y.shape[1]
+    out, b = np.zeros((width, k), np.float32), np.full(k, -2.0, np.float32)
+    keep = use.any(axis=1)[rem]
+    if not keep.any():
+        return out, b
     ids, r = np.unique(rem[keep], return_inverse=True)
-    f, yy = feat[keep], y[ids].astype(float)
-    fs, f = np.unique(f, return_inverse=True)
-    w, b = np.zeros(len(fs)), -2.0
-    gw, gb = np.full(len(fs), 1e-12), 1e-12
-    m = len(ids)
-    weight = np.where(yy > 0, min(4.0, (m - yy.sum()) / max(1.0, yy.sum()) / 4 + 1), 1.0) if m else yy
-    for _ in range(rounds):
-        err = (_sigmoid(np.bincount(r, w[f], m) + b) - yy) * weight / max(1, m)
-        g = np.bincount(f, err[r], len(fs)) + l2 * w
+    fs, f = np.unique(feat[keep], return_inverse=True)
+    yy, on = y[ids].astype(np.float32), use[ids].astype(np.float32)
+    m = np.maximum(1.0, on.sum(axis=0))
+    pos = (yy * on).sum(axis=0)
+    weight = np.where(yy > 0, np.minimum(4.0, (m - pos) / np.maximum(1.0, pos) / 4 + 1), 1.0).astype(np.float32) * on / m.astype(np.float32)
+    by_remark = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+    order = np.argsort(f, kind="stable")
+    r_of_f, by_feature = r[order], np.flatnonzero(np.r_[True, f[order][1:] != f[order][:-1]])
+    w, gw, gb = np.zeros((len(fs), k), np.float32), np.full((len(fs), k), 1e-12, np.float32), np.full(k, 1e-12, np.float32)
+    for _ in range(FIT_ROUNDS):
+        err = (_sigmoid(np.add.reduceat(w[f], by_remark) + b) - yy) * weight
+        g = np.add.reduceat(err[r_of_f], by_feature) + np.float32(l2) * w
         gw += g * g
-        w -= rate * g / np.sqrt(gw)
-        gb += err.sum() ** 2
-        b -= rate * err.sum() / np.sqrt(gb)
-    out = np.zeros(width, np.float32)
+        w -= np.float32(rate) * g / np.sqrt(gw)
+        e = err.sum(axis=0)
+        gb += e * e
+        b -= np.float32(rate) * e / np.sqrt(gb)
     out[fs] = w
     return out, b
 
 
-def fit(labelled: list[tuple[str, set[str]]], unlabelled: list[str], areas: list[str], rounds: int = 4) -> Model:
-    """labelled: (text, areas; none is the empty set). Without labels every threshold is out of reach."""
+def fit(texts: list[str], gold: np.ndarray, known: np.ndarray, areas: list[str], steps: list[Step]) -> Model:
+    """Classifiers of the sampled documents; gold: documents x areas, known: which have a label. Thresholds are out of reach yet."""
     k, width, grams = len(areas), 1 << BITS, Grams()
-    held = [i for i in range(len(labelled)) if i % 5 == 4] if len(labelled) >= 200 else []
-    train = [x for i, x in enumerate(labelled) if i % 5 != 4 or not held]
-    texts = [t for t, _ in train] + list(unlabelled)
-    doc, rem, feat = grams.read(texts)
     zero = Model(areas, np.zeros((width, k), np.float32), np.full(k, -9.0), np.zeros(width, np.float32), -9.0, np.full(k, 2.0))
-    if not train or not len(doc):
+    doc, rem, feat = grams.read(texts)
+    if not known.any() or not len(doc) or not k:
         return zero
     n = len(doc)
-    often = np.bincount(feat, minlength=width)[feat] >= 2  # what occurs once says nothing about other remarks
-    rem, feat = rem[often], feat[often]
-    if not len(feat):
-        return zero
-    gold = np.zeros((len(texts), k), bool)
-    for i, (_, s) in enumerate(train):
-        gold[i] = [a in s for a in areas]
-    known = np.arange(len(texts)) < len(train)
-    # copies of a text repeat their remarks: each wording counts once, labelled ones first
-    sign = np.zeros(n, np.uint64)
-    np.add.at(sign, rem, (feat.astype(np.uint64) + _U(1)) * _U(0x9E3779B97F4A7C15) ^ (feat.astype(np.uint64) << _U(40)))
+    j = Judged(len(texts), doc, rem, feat, gold, known).follow(steps)
+    # copies of a text repeat their remarks: each wording is one example, of a labelled document first
     once = np.zeros((n, 1), bool)
-    once[np.unique(sign, return_index=True)[1]] = True
-    bears, counts = gold[doc], np.broadcast_to(known[doc][:, None], (n, k)) & once
-    for step in range(rounds):
-        best = _lean(n, rem, feat, bears, counts, width)
-        top = np.full((len(texts), k), -9.0)
-        np.maximum.at(top, doc, best)
-        sure = min(MOST, _sure(top[known], gold[known])) if step else _sure(top[known], gold[known])
-        # a labelled area that no remark shows is left out, one that is clear without a label comes in
-        holds = np.where(known[:, None], (gold & (top > LEAST)) | (top > sure + 1.0), top > sure)
-        bears = (best >= np.minimum(np.maximum(sure, 0.5 * top), top)[doc]) & (best > LEAST) & holds[doc]
-        judged = known | holds.any(axis=1) | (top.max(axis=1) < LEAST)
-        counts = once & np.where(holds[doc], bears, judged[doc][:, None])
-    weights, bias = np.zeros((width, k), np.float32), np.zeros(k)
-    model = Model(areas, weights, bias, zero.passing, -9.0, np.full(k, 0.7))
+    once[np.unique(_signs(n, rem, feat), return_index=True)[1]] = True
+    bears, counts = j.bears, once & np.where(j.holds[doc], j.bears, j.judged[doc][:, None])
+    model = zero
     for fits in range(REFITS + 1):
-        for a in range(k):
-            weights[:, a], bias[a] = _logistic(n, rem, feat, bears[:, a], counts[:, a], width, 30 if fits == REFITS else 15)
+        model.weights, model.bias = _logistic(rem, feat, bears, counts, width)
         if fits < REFITS:
             # an area is borne out by a second remark or by a label; a remark that stands alone is no example, for or against
             p, _ = model.remarks(n, rem, feat)
@@ -227,34 +304,199 @@ def fit(labelled: list[tuple[str, set[str]]], unlabelled: list[str], areas: list
     rest = per_doc.sum(axis=1)[doc] - per_doc[doc, area]
     alone = one & (per_doc[doc, area] == 1) & (rest >= 2)
     backed = one & (per_doc[doc, area] >= 2)
-    if alone.sum() >= 5:
-        model.passing, model.passing_bias = _logistic(n, rem, feat, alone, alone | backed, width)
-    if held:
-        scores = model.documents([labelled[i][0] for i in held], grams)
-        truth = np.array([[a in labelled[i][1] for a in areas] for i in held])
-        grid = np.linspace(0.2, 0.98, 40)
-        # few held-out documents can't tell a threshold per area: then there is one for all
-        for part in [[a] for a in range(k)] if len(held) >= 40 * k else [list(range(k))]:
-            x, y = scores[:, part], truth[:, part]
-            f1 = np.array([2 * ((x >= g) & y).sum() / max(1, (x >= g).sum() + y.sum()) for g in grid])
-            model.threshold[part] = np.median(grid[f1 >= f1.max() - 1e-9])  # of equally good ones the middle
-        hit = scores >= model.threshold
-        model.report = {"held_out": len(held), "f1": float(2 * (hit & truth).sum() / max(1, hit.sum() + truth.sum()))}
+    if alone.any():
+        passing, bias = _logistic(rem, feat, alone[:, None], (alone | backed)[:, None], width)
+        model.passing, model.passing_bias = passing[:, 0], float(bias[0]) - float(np.log1p(5.0 / alone.sum()))  # few examples, much doubt
     return model
 
 
+def thresholds(scores: np.ndarray, truth: np.ndarray) -> tuple[np.ndarray, float]:
+    """Per area the threshold of the best F1 of scores that the classifiers gave to documents they weren't fitted to, and the
+    overall F1. Each is drawn towards the one for all areas together, the more the fewer documents of the area there are."""
+    grid = _sigmoid(np.linspace(-1.5, 8.0, 39))
+
+    def best(x, y):
+        f1 = np.array([2 * ((x >= g) & y).sum() / max(1, (x >= g).sum() + y.sum()) for g in grid])
+        return float(np.median(grid[f1 >= f1.max() - 1e-9]))  # of equally good ones the middle
+
+    shared = best(scores, truth)
+    n = truth.sum(axis=0)
+    own = np.array([best(scores[:, [a]], truth[:, [a]]) if n[a] else shared for a in range(scores.shape[1])])
+    at = (n * own + PULL * shared) / (n + PULL)
+    hit = scores >= at
+    return at, float(2 * (hit & truth).sum() / max(1, hit.sum() + truth.sum()))
+
+
+# ---- over all documents
+
+
+def _packed(x: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x, np.float32).tobytes())
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.float32)
+
+
+def _summed(docs: DataFrame, columns: list[str], rows: int, cols: int, add) -> np.ndarray:
+    """The sum of what ``add(sums, batch)`` makes of all batches of documents, rows x cols.
+
+    Each task has one array and hands it on in slices, compressed; slices are summed where they meet, and the driver
+    gets one array of fixed size.
+    """
+    size = -(-rows // _SLICES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((rows, cols), np.float32)
+        for b in batches:
+            add(sums, b)
+        for i in range(_SLICES):
+            part = sums[i * size : (i + 1) * size]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([_packed(part)], pa.binary())], ["slice", "part"])
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = _unpacked(pdf["part"].iloc[0]).astype(np.float64)
+        for p in pdf["part"].iloc[1:]:
+            out += _unpacked(p)
+        return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "part": [_packed(out)]})
+
+    made = docs.select(*columns).mapInArrow(run, "slice int, part binary").groupBy("slice").applyInPandas(total, "slice int, part binary").collect()
+    out = np.zeros((rows, cols), np.float32)
+    for r in made:
+        part = _unpacked(r["part"]).reshape(-1, cols)
+        out[r["slice"] * size : r["slice"] * size + len(part)] = part
+    return out
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+    """(first, count) of rows of about a million characters together; the text is the last column."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False) + 64
+    at = 0
+    while at < len(sizes):
+        n = max(1, int(np.searchsorted(np.cumsum(sizes[at : at + 20_000]), 1 << 20, "right")))
+        yield at, n
+        at += n
+
+
+def _sampled(df: DataFrame, most: int) -> DataFrame:
+    """Up to ``most`` documents in the order of their hash, as long as they have SAMPLE_CHARS characters together; whole texts."""
+    sizes = df.select("doc_id", F.length("text").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    total = F.sum("n").over(W.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, -1))  # over at most ``most`` rows
+    return df.join(F.broadcast(sizes.withColumn("before", total).filter(F.coalesce("before", F.lit(0)) < SAMPLE_CHARS).select("doc_id")), "doc_id", "left_semi")
+
+
 def train(docs: DataFrame, labels: DataFrame, subjects: DataFrame, none: str = "none") -> Model:
-    """Fit on the bounded sample. Labels of unknown subjects are ignored; a document labelled none and an area counts as
-    the area; null texts aren't sampled."""
-    areas = sorted(r.subject for r in subjects.select("subject").distinct().limit(1_000).collect() if r.subject and r.subject != none)
-    order = F.xxhash64("doc_id")
-    short = docs.filter((F.length("text") > 0) & (F.length("text") <= SAMPLE_CHARS)).select("doc_id", "text")
-    tags = labels.filter(F.col("doc_id").isNotNull() & F.col("subject").isNotNull()).groupBy("doc_id").agg(F.collect_set("subject").alias("tags"))
-    picked = short.join(tags, "doc_id").orderBy(order, "doc_id").limit(LABELLED).collect()
-    # the shares of the hash range hold about as many as are wanted; the limit is the bound
-    rest = short.join(tags.select("doc_id"), "doc_id", "left_anti").orderBy(order, "doc_id").limit(UNLABELLED).select("text").collect()
-    labelled = [(r.text, {t for t in r.tags if t in areas}) for r in picked if any(t in areas or t == none for t in r.tags)]
-    return fit(labelled, [r.text for r in rest], areas)
+    """Leanings counted over all documents, classifiers fitted to the bounded sample, thresholds by cross-validation.
+
+    Labels of unknown subjects are ignored; a document labelled none and an area counts as the area; null and empty texts
+    aren't used. Without labels every threshold is out of reach. The subjects are a dimension: weights are BITS bits wide times their number.
+    """
+    spark = docs.sparkSession
+    areas = sorted(r.subject for r in subjects.select("subject").distinct().collect() if r.subject and r.subject != none)
+    k, width = len(areas), 1 << BITS
+    full = docs.filter(F.length("text") > 0).select("doc_id", F.col("text").cast("string").alias("text"))
+    tags = labels.filter(F.col("doc_id").isNotNull() & F.col("subject").isin(none, *areas)).groupBy("doc_id").agg(F.collect_set("subject").alias("tags"))
+    labelled = sorted(_sampled(full.join(tags, "doc_id"), LABELLED).collect(), key=lambda r: r.doc_id)
+    gold_of = {r.doc_id: [a in r.tags for a in areas] for r in labelled}
+    gold = np.array(list(gold_of.values()), bool).reshape(-1, k)
+    if not len(labelled) or not k:
+        return fit([], gold, np.zeros(0, bool), areas, [])
+
+    def place(sign: np.ndarray) -> np.ndarray:
+        return (sign >> _U(64 - COPY_BITS)).astype(np.int64)
+
+    def count_copies(sums: np.ndarray, batch: pa.RecordBatch) -> None:
+        grams = Grams()
+        for at, n in _pieces(batch):
+            doc, rem, feat = grams.read(batch.column(0).slice(at, n).to_pylist())
+            sums[:, 0] += np.bincount(place(_signs(len(doc), rem, feat)), minlength=len(sums)).astype(np.float32)
+
+    copies = spark.sparkContext.broadcast(_packed(_summed(full, ["text"], 1 << COPY_BITS, 1, count_copies)))
+    # the labelled documents again, on the driver: the first leanings, and how sure a leaning must be
+    grams = Grams()
+    doc, rem, feat = grams.read([r.text for r in labelled])
+    known = np.ones(len(labelled), bool)
+    _, wording, times = np.unique(_signs(len(doc), rem, feat), return_inverse=True, return_counts=True)
+    weight = (1 / times[wording]).astype(np.float32)  # copies among the labelled ones: no others are counted yet
+    mine = Judged(len(labelled), doc, rem, feat, gold, known)
+    sums = np.zeros((width + 1, 1 + 2 * k), np.float32)
+    mine.add(sums, weight)
+    steps: list[Step] = []
+    for number in range(ROUNDS):
+        if number:
+            sums = _summed(full, ["doc_id", "text"], width + 1, 1 + 2 * k, _counting(spark.sparkContext.broadcast((steps, gold_of, k)), copies, place))
+        step = Step.of(sums, k)
+        mine.look(step)
+        sure = _sure(mine.top, gold)
+        step.sure = min(MOST, sure) if number else sure
+        mine.decide(step.sure)
+        steps.append(step)
+    weak = [r.text for r in _sampled(full.join(tags.select("doc_id"), "doc_id", "left_anti"), WEAK).select("text").collect()]
+    return _fitted(spark, [r.text for r in labelled], gold, weak, areas, steps)
+
+
+def _counting(share, copies, place):
+    """For ``_summed``: what documents are judged as by the steps so far."""
+
+    def add(sums: np.ndarray, batch: pa.RecordBatch) -> None:
+        (steps, gold_of, k), grams = share.value, Grams()
+        of = _copies(copies)
+        for at, n in _pieces(batch):
+            ids = batch.column(0).slice(at, n).to_pylist()
+            doc, rem, feat = grams.read(batch.column(1).slice(at, n).to_pylist())
+            known = np.array([i in gold_of for i in ids])
+            gold = np.array([gold_of.get(i, [False] * k) for i in ids], bool).reshape(-1, k)
+            weight = (1 / np.maximum(1.0, of[place(_signs(len(doc), rem, feat))])).astype(np.float32)
+            Judged(n, doc, rem, feat, gold, known).follow(steps).add(sums, weight)
+
+    return add
+
+
+_COPIES: dict[int, np.ndarray] = {}
+
+
+def _copies(share) -> np.ndarray:
+    """The unpacked array of a broadcast, once per worker."""
+    if id(share.value) not in _COPIES:
+        _COPIES.clear()
+        _COPIES[id(share.value)] = _unpacked(share.value)
+    return _COPIES[id(share.value)]
+
+
+def _fitted(spark, texts: list[str], gold: np.ndarray, weak: list[str], areas: list[str], steps: list[Step]) -> Model:
+    """The classifiers of the whole sample, and of the sample without each part of the labelled ones, fitted in as many tasks."""
+    folds = min(FOLDS, len(texts))
+    share = spark.sparkContext.broadcast((texts, gold, weak, areas, steps))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        texts, gold, weak, areas, steps = share.value
+        fold = int(pdf["fold"].iloc[0])
+        part = np.arange(len(texts)) % folds
+        rest, held = np.flatnonzero(part != fold), np.flatnonzero(part == fold)
+        m = fit([texts[i] for i in rest] + weak, np.vstack([gold[rest], np.zeros((len(weak), len(areas)), bool)]), np.arange(len(rest) + len(weak)) < len(rest), areas, steps)
+        if fold >= 0:
+            body = (held, m.documents([texts[i] for i in held], Grams()))
+        else:
+            used = np.flatnonzero(np.abs(m.weights).max(axis=1, initial=0) + np.abs(m.passing) > 0)
+            body = (used, m.weights[used], m.bias, m.passing[used], m.passing_bias)
+        return pd.DataFrame({"fold": [fold], "body": [pickle.dumps(body)]})
+
+    parts = spark.createDataFrame([(f,) for f in range(-1, folds)], "fold int").repartition(folds + 1, "fold")
+    got = {r["fold"]: pickle.loads(r["body"]) for r in parts.groupBy("fold").applyInPandas(run, "fold int, body binary").collect()}
+    used, weights, bias, passing, passing_bias = got.pop(-1)
+    model = Model(areas, np.zeros((1 << BITS, len(areas)), np.float32), bias, np.zeros(1 << BITS, np.float32), passing_bias, np.full(len(areas), 2.0))
+    model.weights[used], model.passing[used] = weights, passing
+    scores = np.zeros(gold.shape)
+    for held, x in got.values():
+        scores[held] = x
+    model.threshold, f1 = thresholds(scores, gold)
+    model.report = {"labelled": len(texts), "f1": f1}
+    return model
 
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:
@@ -269,16 +511,10 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
         m, grams, names = Model(areas, weights, bias, passing, pb, threshold), Grams(), pa.array(areas, pa.string())
         for b in batches:
             ids, texts = b.column(0), b.column(1)
-            at = 0
-            while at < len(texts):
-                n, size = 0, 0
-                while at + n < len(texts) and size < 1 << 20:
-                    size += len(texts[at + n].as_py() or "") + 64
-                    n += 1
+            for at, n in _pieces(b):
                 d, a = np.nonzero(m.documents(texts.slice(at, n).to_pylist(), grams) >= threshold)
                 if len(d):
                     yield pa.RecordBatch.from_arrays([ids.slice(at, n).take(pa.array(d)), names.take(pa.array(a))], ["doc_id", "subject"])
-                at += n
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", F.col("text").cast("string").alias("_text")).mapInArrow(run, f"doc_id {kind}, subject string")

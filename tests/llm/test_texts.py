@@ -280,11 +280,16 @@ def sample_docs(n, rng):
     return out
 
 
-def test_subjects_from_few_noisy_labels():
+@pytest.mark.parametrize("n", [60, 250])
+def test_subjects_from_few_noisy_labels(spark, n):
+    """Held-out accuracy; calibrated the same way with few labels and with more."""
     rng = random.Random(4)
     train, test = sample_docs(500, rng), sample_docs(300, rng)
-    labelled = [(t, s if rng.random() > 0.05 else {rng.choice(["law", "sport"])}) for t, s in train[:250]]
-    model = subjects.fit(labelled, [t for t, _ in train[250:]], ["law", "sport"])
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(train + test)], "doc_id long, text string")
+    noisy = [(i, s if rng.random() > 0.05 else {rng.choice(["law", "sport"])}) for i, (_, s) in enumerate(train[:n])]
+    labels = spark.createDataFrame([(i, a) for i, s in noisy for a in s or {"none"}], "doc_id long, subject string")
+    model = subjects.train(docs, labels, spark.createDataFrame([("law",), ("sport",)], "subject string"))
+    assert model.report["labelled"] == n and (model.threshold < 1).all()
     hit = model.documents([t for t, _ in test], subjects.Grams()) >= model.threshold
     got = [{a for a, h in zip(model.areas, row) if h} for row in hit]
     right = sum(len(g & s) for g, (_, s) in zip(got, test))
@@ -292,6 +297,22 @@ def test_subjects_from_few_noisy_labels():
     assert precision > 0.85 and recall > 0.9, (precision, recall)
 
 
+def test_summed_counts_are_those_of_one_pass(spark):
+    """Counts over all documents don't depend on how these are cut up; long texts count as a whole."""
+    rng = random.Random(5)
+    texts = [t for t, _ in sample_docs(80, rng)] + ["\n".join(t for t, _ in sample_docs(300, rng)), None, ""]
+    grams = subjects.Grams()
+
+    def add(sums, batch):
+        for at, n in subjects._pieces(batch):
+            sums[:, 0] += np.bincount(subjects.Grams().read(batch.column(0).slice(at, n).to_pylist())[2], minlength=len(sums)).astype(np.float32)
+
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    want = np.bincount(grams.read(texts)[2], minlength=1 << subjects.BITS)
+    for parts in (1, 5):
+        assert (subjects._summed(df.repartition(parts), ["text"], 1 << subjects.BITS, 1, add)[:, 0] == want).all()
+
+
 def test_subjects_of_a_table(spark):
     rng = random.Random(4)
     docs = [(i, t) for i, (t, _) in enumerate(sample_docs(60, rng))] + [(100, None), (101, ""), (102, "word " * 60_000), (103, " ")]

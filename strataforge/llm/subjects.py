@@ -184,15 +184,22 @@ class Step:
 class Judged:
     """What the steps so far make of documents: which areas each holds, which remarks bear them, and whether it is judged."""
 
-    def __init__(self, n_docs: int, doc, rem, feat, gold: np.ndarray, known: np.ndarray):
+    def __init__(self, n_docs: int, doc, rem, feat, gold: np.ndarray, known: np.ndarray, weights: tuple[np.ndarray, np.ndarray]):
         self.n, self.doc, self.rem, self.feat, self.gold, self.known = n_docs, doc, rem, feat, gold, known
+        self.weights, self.steps = weights, 0  # of each remark: among the labelled documents, which the first step counts, and among all
         self.holds, self.judged, self.bears = gold & known[:, None], known, gold[doc] & known[doc][:, None]
         self.top = np.full(gold.shape, -9.0, np.float32)
 
+    @property
+    def weight(self) -> np.ndarray:
+        """Of each remark in the next counts: its copies count once altogether."""
+        return self.weights[self.steps > 0]
+
     def look(self, step: Step) -> None:
         """The best leanings, without what the remark itself was counted as."""
         own_no = self.judged[self.doc][:, None] & ~self.holds[self.doc]
-        best = step.lean(self.rem, self.feat, self.bears.astype(np.float32), own_no.astype(np.float32))
+        w = self.weight[:, None]
+        best = step.lean(self.rem, self.feat, self.bears * w, own_no * w)
         self.best = np.where(best >= best.max(axis=1, keepdims=True, initial=-9.0), best, -9.0)  # a remark leans to one area
         self.top = np.full(self.gold.shape, -9.0, np.float32)
         np.maximum.at(self.top, self.doc, self.best)
@@ -203,6 +210,7 @@ class Judged:
         self.holds = np.where(known, (self.gold & (top > LEAST)) | (top > sure + 1.0), top > sure)
         self.bears = (self.best >= np.minimum(np.maximum(sure, 0.5 * top), top)[self.doc]) & (self.best > LEAST) & self.holds[self.doc]
         self.judged = self.known | self.holds.any(axis=1) | (top.max(axis=1, initial=-9.0) < LEAST)
+        self.steps += 1
 
     def follow(self, steps: list[Step]) -> Judged:
         for s in steps:
@@ -210,10 +218,10 @@ class Judged:
             self.decide(s.sure)
         return self
 
-    def add(self, sums: np.ndarray, weight: np.ndarray) -> None:
-        """Add this to the sums of ``Step.of``; weight is per remark."""
+    def add(self, sums: np.ndarray) -> None:
+        """Add this to the sums of ``Step.of``."""
         k, width = self.gold.shape[1], len(sums) - 1
-        c = np.where(self.judged[self.doc], weight, 0.0)
+        c = np.where(self.judged[self.doc], self.weight, 0.0)
         each = c[self.rem]
         sums[:width, 0] += np.bincount(self.feat, each, width)
         sums[width, 0] += c.sum()
@@ -269,7 +277,28 @@ def _logistic(rem, feat, y: np.ndarray, use: np.ndarray, width: int, l2: float =
     return out, b
 
 
-def fit(texts: list[str], gold: np.ndarray, known: np.ndarray, areas: list[str], steps: list[Step]) -> Model:
+def _places(sign: np.ndarray) -> np.ndarray:
+    return (sign >> _U(64 - COPY_BITS)).astype(np.int64)
+
+
+class Copies:
+    """How often each wording occurs, by bucket, among the labelled documents and among all."""
+
+    def __init__(self, labelled: np.ndarray, every: np.ndarray):
+        self.counts = labelled, every
+
+    def __getstate__(self) -> tuple:
+        return tuple(_packed(x) for x in self.counts)
+
+    def __setstate__(self, state: tuple) -> None:
+        self.counts = tuple(_unpacked(x) for x in state)
+
+    def weights(self, n: int, rem: np.ndarray, feat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = _places(_signs(n, rem, feat))
+        return tuple((1 / np.maximum(1.0, c[at])).astype(np.float32) for c in self.counts)
+
+
+def fit(texts: list[str], gold: np.ndarray, known: np.ndarray, areas: list[str], steps: list[Step], copies: Copies) -> Model:
     """Classifiers of the sampled documents; gold: documents x areas, known: which have a label. Thresholds are out of reach yet."""
     k, width, grams = len(areas), 1 << BITS, Grams()
     zero = Model(areas, np.zeros((width, k), np.float32), np.full(k, -9.0), np.zeros(width, np.float32), -9.0, np.full(k, 2.0))
@@ -277,7 +306,7 @@ def fit(texts: list[str], gold: np.ndarray, known: np.ndarray, areas: list[str],
     if not known.any() or not len(doc) or not k:
         return zero
     n = len(doc)
-    j = Judged(len(texts), doc, rem, feat, gold, known).follow(steps)
+    j = Judged(len(texts), doc, rem, feat, gold, known, copies.weights(n, rem, feat)).follow(steps)
     # copies of a text repeat their remarks: each wording is one example, of a labelled document first
     once = np.zeros((n, 1), bool)
     once[np.unique(_signs(n, rem, feat), return_index=True)[1]] = True
@@ -405,31 +434,26 @@ def train(docs: DataFrame, labels: DataFrame, subjects: DataFrame, none: str = "
     gold_of = {r.doc_id: [a in r.tags for a in areas] for r in labelled}
     gold = np.array(list(gold_of.values()), bool).reshape(-1, k)
     if not len(labelled) or not k:
-        return fit([], gold, np.zeros(0, bool), areas, [])
-
-    def place(sign: np.ndarray) -> np.ndarray:
-        return (sign >> _U(64 - COPY_BITS)).astype(np.int64)
+        return fit([], gold, np.zeros(0, bool), areas, [], None)
 
     def count_copies(sums: np.ndarray, batch: pa.RecordBatch) -> None:
         grams = Grams()
         for at, n in _pieces(batch):
             doc, rem, feat = grams.read(batch.column(0).slice(at, n).to_pylist())
-            sums[:, 0] += np.bincount(place(_signs(len(doc), rem, feat)), minlength=len(sums)).astype(np.float32)
+            sums[:, 0] += np.bincount(_places(_signs(len(doc), rem, feat)), minlength=len(sums)).astype(np.float32)
 
-    copies = spark.sparkContext.broadcast(_packed(_summed(full, ["text"], 1 << COPY_BITS, 1, count_copies)))
+    every = _summed(full, ["text"], 1 << COPY_BITS, 1, count_copies)[:, 0]
     # the labelled documents again, on the driver: the first leanings, and how sure a leaning must be
-    grams = Grams()
-    doc, rem, feat = grams.read([r.text for r in labelled])
-    known = np.ones(len(labelled), bool)
-    _, wording, times = np.unique(_signs(len(doc), rem, feat), return_inverse=True, return_counts=True)
-    weight = (1 / times[wording]).astype(np.float32)  # copies among the labelled ones: no others are counted yet
-    mine = Judged(len(labelled), doc, rem, feat, gold, known)
+    doc, rem, feat = Grams().read([r.text for r in labelled])
+    copies = Copies(np.bincount(_places(_signs(len(doc), rem, feat)), minlength=len(every)).astype(np.float32), every)
+    mine = Judged(len(labelled), doc, rem, feat, gold, np.ones(len(labelled), bool), copies.weights(len(doc), rem, feat))
     sums = np.zeros((width + 1, 1 + 2 * k), np.float32)
-    mine.add(sums, weight)
+    mine.add(sums)
+    shared = spark.sparkContext.broadcast(copies)
     steps: list[Step] = []
     for number in range(ROUNDS):
         if number:
-            sums = _summed(full, ["doc_id", "text"], width + 1, 1 + 2 * k, _counting(spark.sparkContext.broadcast((steps, gold_of, k)), copies, place))
+            sums = _summed(full, ["doc_id", "text"], width + 1, 1 + 2 * k, _counting(spark.sparkContext.broadcast((steps, gold_of, k)), shared))
         step = Step.of(sums, k)
         mine.look(step)
         sure = _sure(mine.top, gold)
@@ -437,38 +461,25 @@ def train(docs: DataFrame, labels: DataFrame, subjects: DataFrame, none: str = "
         mine.decide(step.sure)
         steps.append(step)
     weak = [r.text for r in _sampled(full.join(tags.select("doc_id"), "doc_id", "left_anti"), WEAK).select("text").collect()]
-    return _fitted(spark, [r.text for r in labelled], gold, weak, areas, steps)
+    return _fitted(spark, [r.text for r in labelled], gold, weak, areas, steps, shared)
 
 
-def _counting(share, copies, place):
+def _counting(share, copies):
     """For ``_summed``: what documents are judged as by the steps so far."""
 
     def add(sums: np.ndarray, batch: pa.RecordBatch) -> None:
         (steps, gold_of, k), grams = share.value, Grams()
-        of = _copies(copies)
         for at, n in _pieces(batch):
             ids = batch.column(0).slice(at, n).to_pylist()
             doc, rem, feat = grams.read(batch.column(1).slice(at, n).to_pylist())
             known = np.array([i in gold_of for i in ids])
             gold = np.array([gold_of.get(i, [False] * k) for i in ids], bool).reshape(-1, k)
-            weight = (1 / np.maximum(1.0, of[place(_signs(len(doc), rem, feat))])).astype(np.float32)
-            Judged(n, doc, rem, feat, gold, known).follow(steps).add(sums, weight)
+            Judged(n, doc, rem, feat, gold, known, copies.value.weights(len(doc), rem, feat)).follow(steps).add(sums)
 
     return add
 
 
-_COPIES: dict[int, np.ndarray] = {}
-
-
-def _copies(share) -> np.ndarray:
-    """The unpacked array of a broadcast, once per worker."""
-    if id(share.value) not in _COPIES:
-        _COPIES.clear()
-        _COPIES[id(share.value)] = _unpacked(share.value)
-    return _COPIES[id(share.value)]
-
-
-def _fitted(spark, texts: list[str], gold: np.ndarray, weak: list[str], areas: list[str], steps: list[Step]) -> Model:
+def _fitted(spark, texts: list[str], gold: np.ndarray, weak: list[str], areas: list[str], steps: list[Step], copies) -> Model:
     """The classifiers of the whole sample, and of the sample without each part of the labelled ones, fitted in as many tasks."""
     folds = min(FOLDS, len(texts))
     share = spark.sparkContext.broadcast((texts, gold, weak, areas, steps))
@@ -478,7 +489,7 @@ def _fitted(spark, texts: list[str], gold: np.ndarray, weak: list[str], areas: l
         fold = int(pdf["fold"].iloc[0])
         part = np.arange(len(texts)) % folds
         rest, held = np.flatnonzero(part != fold), np.flatnonzero(part == fold)
-        m = fit([texts[i] for i in rest] + weak, np.vstack([gold[rest], np.zeros((len(weak), len(areas)), bool)]), np.arange(len(rest) + len(weak)) < len(rest), areas, steps)
+        m = fit([texts[i] for i in rest] + weak, np.vstack([gold[rest], np.zeros((len(weak), len(areas)), bool)]), np.arange(len(rest) + len(weak)) < len(rest), areas, steps, copies.value)
         if fold >= 0:
             body = (held, m.documents([texts[i] for i in held], Grams()))
         else:

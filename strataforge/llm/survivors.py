@@ -4,8 +4,9 @@ A survivor is the smallest row under an order of (trust, currency, id) that diff
 costs one partial aggregation whatever its size: nothing of a group is ever collected.
 
 ``survivors`` orders by stated timestamps with missing ones last. ``most_current`` is currency reasoning for rows without
-one, field by field: which value usually follows which is learned from the timestamped rows of all groups, a group's
-values are ordered by reachability in that graph (cycles are no order), and the row of a topologically last one is taken.
+one, field by field: which value usually follows which is learned from the transitions between timestamped rows of all
+groups, a group's values are ordered by reachability in that graph (cycles are no order), and the row of a topologically
+last one is taken.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from strataforge.functions.text import nonblank
 from strataforge.llm.setjoin import keyword_set, path_set
+from strataforge.operators.windows import neighbours
 from strataforge.session import shared_dir
 
 _LAST = 2**62
@@ -82,60 +84,52 @@ def surviving_records(domains: DataFrame, trust: DataFrame) -> DataFrame:
     return heads.join(s.select("group_id").distinct(), "group_id").join(values, "group_id", "left").select("group_id", "repo_id", "domain_name", "description", "keywords", "paths")
 
 
-def _net(rows: DataFrame, group: list[str], value: str, at: str) -> DataFrame:
-    """(x, y, net), x < y: in how many groups more x was over before y began than the reverse.
+#: Time of which the values of a group are put in order in one task.
+_SPAN_US = 30 * 86_400 * 10**6
 
-    Per group each value keeps its first and last time only, so a group contributes pairs of *distinct* values, not of rows.
-    """
-    seen = rows.filter(F.col(value).isNotNull() & F.col(at).isNotNull()).groupBy(*group, value).agg(F.min(at).alias("lo"), F.max(at).alias("hi"))
-    a = seen.select(*group, F.col(value).alias("v"), F.col("hi").alias("v_hi"))
-    b = seen.select(*group, F.col(value).alias("w"), F.col("lo").alias("w_lo"))
-    before = a.join(b, group).filter((F.col("v") != F.col("w")) & (F.col("v_hi") < F.col("w_lo"))).groupBy("v", "w").agg(F.count("*").alias("n"))
-    lo, hi = F.least("v", "w"), F.greatest("v", "w")
-    return before.groupBy(lo.alias("x"), hi.alias("y")).agg(F.sum(F.when(F.col("v") == lo, F.col("n")).otherwise(-F.col("n"))).alias("net"))
 
+def transitions(rows: DataFrame, group: list[str], value: str, at: str) -> DataFrame:
+    """(v, w, n): in how many places of all groups the value v was followed by w, the next one in time.
 
-def currency_ranks(rows: DataFrame, group: list[str], value: str, at: str) -> DataFrame:
-    """(value, rank): the number of values that a value follows by majority less those it precedes.
-
-    A figure about each value, not an order: an earlier value can have the larger rank. ``most_current`` doesn't use it.
+    Only what follows next is counted, so a group gives as many transitions as it has times, not pairs of its values; further
+    ones follow by reachability. A time at which a group has several values names no current one and is passed over.
     """
-    net = _net(rows, group, value, at)
-    each = F.array(F.struct(F.col("x").alias("value"), (-F.signum("net")).alias("d")), F.struct(F.col("y").alias("value"), F.signum("net").alias("d")))
-    return net.select(F.explode(each).alias("e")).groupBy(F.col("e.value").alias("value")).agg(F.sum("e.d").cast("long").alias("rank"))
+    t = F.unix_micros(F.col(at).cast("timestamp"))
+    seen = rows.filter(F.col(value).isNotNull() & F.col(at).isNotNull()).groupBy(*group, t.alias("t")).agg(F.min(value).alias("v"), F.max(value).alias("hi")).filter("v = hi")
+    items = seen.select(*group, F.struct("t", "v").alias("x"))
+    near = neighbours(items, group, "x", F.floor(F.col("x.t") / _SPAN_US))
+    return near.filter(F.col("before.v") != F.col("x.v")).groupBy(F.col("before.v").alias("v"), F.col("x.v").alias("w")).agg(F.count("*").alias("n"))
+
+
+def _net(rows: DataFrame, group: list[str], value: str, at: str) -> DataFrame:
+    """(x, y, net), x < y: how many transitions more lead from x to y than back."""
+    lo, hi = F.least("v", "w"), F.greatest("v", "w")
+    return transitions(rows, group, value, at).groupBy(lo.alias("x"), hi.alias("y")).agg(F.sum(F.when(F.col("v") == lo, F.col("n")).otherwise(-F.col("n"))).alias("net"))
 
 
 class Precedence:
-    """The learned graph: v precedes w where that was seen in more groups than the reverse.
+    """The learned graph: v precedes w where that transition was seen more often than the reverse.
 
-    A value of one group only has all its links there, where times are an order already; so paths between groups lead
-    through values of several groups (``shared``), and only their graph is closed, by doubling.
+    Only values of two or more groups are in it: within one group times are an order already, and a value of its own tells
+    nothing about others, so between two others it is passed over. The graph is closed by doubling: w is later than v if a
+    path of any length leads there and none back (``order``).
     """
 
     def __init__(self, rows: DataFrame, group: list[str], value: str, at: str):
         shared_dir(rows.sparkSession)
-        net = _net(rows, group, value, at).filter("net <> 0")
-        e = net.select(F.when(F.col("net") > 0, F.col("x")).otherwise(F.col("y")).alias("v"), F.when(F.col("net") > 0, F.col("y")).otherwise(F.col("x")).alias("w"))
-        shared = rows.filter(F.col(value).isNotNull() & F.col(at).isNotNull()).select(*group, F.col(value).alias("k")).distinct().groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k", F.lit(True).alias("s"))
-        e = e.join(shared.withColumnsRenamed({"k": "v", "s": "vs"}), "v", "left").join(shared.withColumnsRenamed({"k": "w", "s": "ws"}), "w", "left")
-        e = e.select("v", "w", F.coalesce("vs", F.lit(False)).alias("vs"), F.coalesce("ws", F.lit(False)).alias("ws")).checkpoint()
-        # between two shared values a path may also lead over a value of one group
-        over = e.filter("vs and not ws").select("v", F.col("w").alias("m")).join(e.filter("ws and not vs").select(F.col("v").alias("m"), "w"), "m").filter("v <> w")
-        self.edges = e.unionByName(over.select("v", "w", F.lit(True).alias("vs"), F.lit(True).alias("ws"))).distinct().checkpoint()
-        reach, n = self.edges.filter("vs and ws").select("v", "w").checkpoint(), -1
+        of = rows.filter(F.col(value).isNotNull())
+        for g in group:
+            of = of.filter(F.col(g).isNotNull())
+        key = F.xxhash64(*group)
+        shared = of.groupBy(F.col(value).alias("_v")).agg(F.min(key).alias("lo"), F.max(key).alias("hi")).filter("lo <> hi").select("_v")
+        net = _net(of.join(shared, of[value] == shared["_v"], "left_semi"), group, value, at).filter("net <> 0")
+        x_first = F.col("net") > 0
+        reach, n = net.select(F.when(x_first, F.col("x")).otherwise(F.col("y")).alias("v"), F.when(x_first, F.col("y")).otherwise(F.col("x")).alias("w")).checkpoint(), -1
         while n != (n := reach.count()):
             further = reach.select("v", F.col("w").alias("m")).join(reach.select(F.col("v").alias("m"), "w"), "m").filter("v <> w").select("v", "w")
             reach = reach.unionByName(further).distinct().checkpoint()
-        self.closed = reach
-
-    def later(self, pairs: DataFrame) -> DataFrame:
-        """Of distinct (v, w), with each pair both ways, those where w is reachable from v and v isn't from w."""
-        first = pairs.select("v").distinct().join(self.edges.filter("ws").select("v", F.col("w").alias("k")), "v")
-        far = first.join(self.closed.select(F.col("v").alias("k"), F.col("w").alias("to")), "k").select("v", F.col("to").alias("k"))
-        met = first.unionByName(far).distinct()
-        last = pairs.join(self.edges.filter("vs").select(F.col("v").alias("k"), "w"), "w").join(met, ["v", "k"]).select("v", "w")
-        reached = pairs.join(self.edges.select("v", "w"), ["v", "w"], "left_semi").unionByName(pairs.join(met.withColumnRenamed("k", "w"), ["v", "w"], "left_semi").select("v", "w")).unionByName(last).distinct().checkpoint()
-        return reached.join(reached.select(F.col("v").alias("w"), F.col("w").alias("v")), ["v", "w"], "left_anti")
+        back = reach.select(F.col("v").alias("w"), F.col("w").alias("v"))
+        self.order = reach.join(back, ["v", "w"], "left_anti").checkpoint()  # values on a cycle are in no order
 
 
 def _field_values(domains: DataFrame) -> DataFrame:
@@ -171,8 +165,8 @@ def most_current(domains: DataFrame) -> DataFrame:
     # the candidates of a group: the latest value, and the other ones without a timestamp
     rest = undated.join(timed.select(*g, "v0"), g, "left").filter(F.col("v0").isNull() | (F.col("v0") != F.col("v"))).select(*g, "v", "id", F.lit(False).alias("dated"), F.col("v0").isNotNull().alias("known"))
     c = timed.select(*g, F.col("v0").alias("v"), F.col("id0").alias("id"), F.lit(True).alias("dated"), F.lit(True).alias("known")).unionByName(rest).checkpoint()
-    both = c.select(*g, "v", "dated").join(c.select(*g, F.col("v").alias("w")), g).filter("v <> w").checkpoint()
-    later = both.join(learned.later(both.select("v", "w").distinct()), ["v", "w"])
+    # a candidate meets what follows its value, not every other one of its group
+    later = c.select(*g, "v", "dated").join(learned.order, "v").join(c.select(*g, F.col("v").alias("w")), [*g, "w"], "left_semi")
     followed = later.select(*g, "v").distinct()
     passing = later.filter("dated").select(*g, F.col("w").alias("v"), F.lit(True).alias("passes")).distinct()
     left = c.join(followed, [*g, "v"], "left_anti").join(passing, [*g, "v"], "left").filter(F.col("dated") | ~F.col("known") | F.col("passes"))

@@ -103,8 +103,8 @@ def test_currency(spark):
     rows = [(k, *r[1:]) for k, r in enumerate(rows, 1)]
     rows += [(100, 50, "y", None, None, None, "draft", at(9)), (101, 50, "y", None, None, None, "final", None), (102, 50, "y", None, None, None, "odd", None)]
     df = spark.createDataFrame(rows, DOM)
-    ranks = {r.value: r.rank for r in survivors.currency_ranks(df, ["repo_id"], "source", "seen_at").collect()}
-    assert ranks == {"draft": -1, "final": 1}
+    moves = {(r.v, r.w): r.n for r in survivors.transitions(df, ["repo_id"], "source", "seen_at").collect()}
+    assert moves == {("draft", "final"): 5}
     got = {r.group_id: (r.current_id, r.by) for r in survivors.most_current(df).collect()}
     assert got[100] == (101, "currency") and got[1] == (2, "time")
 
@@ -148,15 +148,16 @@ def test_currency_against_brute_force(spark):
     groups, net = {}, {}
     for r in rows:
         groups.setdefault(r[1], []).append((r[0], r[3], r[7]))
+    shared = {v for v in {r[3] for r in rows} if sum(v in {m[1] for m in ms} for ms in groups.values()) > 1}
     for members in groups.values():
-        span = {}
+        at = {}
         for _, v, t in members:
-            if t:
-                span[v] = (min(t, span.get(v, (t, t))[0]), max(t, span.get(v, (t, t))[1]))
-        for v in span:
-            for w in span:
-                if span[v][1] < span[w][0]:
-                    net[v, w], net[w, v] = net.get((v, w), 0) + 1, net.get((w, v), 0) - 1
+            if t and v in shared:
+                at.setdefault(t, set()).add(v)
+        line = [min(at[t]) for t in sorted(at) if len(at[t]) == 1]  # of several values at a time none is current
+        for v, w in zip(line, line[1:]):
+            if v != w:
+                net[v, w], net[w, v] = net.get((v, w), 0) + 1, net.get((w, v), 0) - 1
     nodes = {v for v, _ in net}
     reach = {k for k, x in net.items() if x > 0}
     for k in nodes:

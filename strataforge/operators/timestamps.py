@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strataforge.session import shared_dir
+
 FIRST_US, END_US = 946_684_800_000_000, 1_893_456_000_000_000  # 2000-01-01, 2030-01-01
 #: Costs: a reading against the stated habit outweighs both changes that it can save on either side.
 AGAINST_HABIT, SWITCH, BACKWARD = 100.0, 1.0, 2.0
@@ -324,7 +326,8 @@ def resolve(df: DataFrame, rid: str, source: str, order: str, size: int = CHUNK_
         F.coalesce(F.unix_micros(F.col(order).cast("timestamp")), F.lit(-(2**62))).alias("at"),
         *(r(i, c).cast("bigint" if c == "us" else "double").alias(f"{c}{i}") for i in (0, 1) for c in ("us", "cost", "fmt")),
     )
-    rows = chunked(rows, size)
+    shared_dir(df.sparkSession)
+    rows = chunked(rows.checkpoint(), size).checkpoint()  # counted, summed up and solved
     ends = rows.groupBy("source", "chunk").applyInPandas(_summary, _SUMMARY).groupBy("source").applyInPandas(_chain, "source bigint, chunk bigint, a int, b int")
     return rows.join(ends, ["source", "chunk"]).groupBy("source", "chunk").applyInPandas(_solve, "rid bigint, us bigint")
 
@@ -334,4 +337,6 @@ def commit_instants(commits: DataFrame, repos: DataFrame, size: int = CHUNK_ROWS
     known = F.when(F.col("tz_name").isin(sorted(available_timezones())), F.col("tz_name"))  # an unknown zone would end the job
     places = repos.filter(F.col("repo_id").isNotNull()).groupBy("repo_id").agg(F.min(known).alias("tz_name"), F.min("date_order").alias("date_order"))
     read = interpretations(commits.select("raw_id", "repo_id", "ingested_at", "commit_timestamp").join(places, "repo_id", "left"), "commit_timestamp", "tz_name", "date_order")
+    shared_dir(commits.sparkSession)
+    read = read.select("raw_id", "repo_id", "ingested_at", "readings").filter(F.size("readings") > 0).checkpoint()  # texts are read once
     return resolve(with_habits(read, "repo_id"), "raw_id", "repo_id", "ingested_at", size).select(F.col("rid").alias("raw_id"), F.col("us").alias("utc_us"))

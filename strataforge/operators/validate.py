@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataforge.functions.text import nonblank
@@ -48,6 +48,11 @@ def fact_error() -> Column:
     )
 
 
+def with_json(rows: DataFrame, payload: Column, name: str = "json") -> DataFrame:
+    """rows with a JSON text as a variant (null where it is none), parsed once however often it is looked into."""
+    return rows.select("*", F.inline(F.array(F.struct(F.try_parse_json(payload).alias(name)))))
+
+
 def kind_at(v: Column, path: str = "$") -> Column:
     """STRING, BIGINT, BOOLEAN, ARRAY, OBJECT, ... of a member of a variant; null if it is absent, VOID for a JSON null."""
     return F.regexp_extract(F.schema_of_variant(F.try_variant_get(v, path, "variant")), r"^(\w+)", 1)
@@ -65,10 +70,9 @@ def _filled(v: Column, path: str) -> Column:
 CARD_TEXTS, CARD_LISTS = {"request_source": ("issue_id", "issue_text")}, {"mapping": ("domains", "concepts", "rules", "invariants"), "uncertainties": ("open_questions",)}
 
 
-def card_errors(payload: Column) -> Column:
-    """Errors of a demand card given as JSON, as an array: unknown fields, objects and texts that are missing, list elements by
-    their index, the development type. A payload that is no object, or has no card, gives that one error."""
-    v = F.try_parse_json(payload)
+def card_errors(v: Column) -> Column:
+    """Errors of a demand card given as a variant, as an array: unknown fields, objects and texts that are missing, list elements by
+    their index, the development type. What is no object, or has no card, gives that one error."""
     root = "$.demand_card"
     prefixed = lambda arr, pre, post: F.transform(arr, lambda x: F.concat(F.lit(pre), x.cast("string"), F.lit(post)))
     none = F.array().cast("array<string>")
@@ -100,10 +104,9 @@ def card_errors(payload: Column) -> Column:
 SIGNAL_CATEGORIES, SIGNAL_KEYS = ("domain_signals", "concept_signals", "rule_signals", "demand_pattern_signals"), ("confidence", "evidence", "signal_type", "source")
 
 
-def signal_errors(payload: Column) -> Column:
-    """Errors of a signal document given as JSON: categories that are no list, entries that are no object or lack keys.
-    Categories may be absent; a null payload and one that is no object give one error."""
-    v = F.try_parse_json(payload)
+def signal_errors(v: Column) -> Column:
+    """Errors of a signal document given as a variant: categories that are no list, entries that are no object or lack keys.
+    Categories may be absent; null and what is no object give one error."""
     none = F.array().cast("array<string>")
     parts = []
     for c in SIGNAL_CATEGORIES:
@@ -116,7 +119,7 @@ def signal_errors(payload: Column) -> Column:
 
         faults = F.filter(_indexed(entries, fault), lambda x: x.isNotNull())
         parts.append(F.when(kind_at(v, f"$.{c}").isNull(), none).when(_is(v, f"$.{c}", "ARRAY"), F.coalesce(faults, none)).otherwise(F.array(F.lit(f"{c}: list expected"))))
-    return F.when(payload.isNull(), F.array(F.lit("no document"))).when(~_is(v, "$", "OBJECT"), F.array(F.lit("object expected"))).otherwise(F.flatten(F.array(*parts)))
+    return F.when(v.isNull(), F.array(F.lit("no document"))).when(~_is(v, "$", "OBJECT"), F.array(F.lit("object expected"))).otherwise(F.flatten(F.array(*parts)))
 
 
 def _indexed(arr: Column, f) -> Column:
@@ -137,9 +140,8 @@ CASE_GENERIC = (
 )
 
 
-def case_failure(payload: Column) -> Column:
-    """The first failure of a case given as JSON, or null: absent fields, then kinds, allowed values, and what must agree."""
-    v = F.try_parse_json(payload)
+def case_failure(v: Column) -> Column:
+    """The first failure of a case given as a variant, or null: absent fields, then kinds, allowed values, and what must agree."""
     text = lambda n: F.try_variant_get(v, f"$.{n}", "string")
     begins = lambda c, ps: F.array_contains(F.transform(F.lit(list(ps)), lambda p: F.startswith(c, p)), True)
     items = F.transform(F.concat(*(F.coalesce(F.try_variant_get(v, f"$.{n}", "array<variant>"), F.array().cast("array<variant>")) for n in ("rules", "invariants"))), lambda e: F.try_variant_get(e, "$", "string"))

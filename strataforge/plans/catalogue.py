@@ -352,7 +352,7 @@ def card_errors(spark: SparkSession, d: str) -> DataFrame:
         F.struct(F.col("keywords").alias("domains"), F.col("paths").alias("concepts"), F.array().cast("array<string>").alias("rules"), F.when(F.col("repo_id") > 20, F.array().cast("array<string>")).alias("invariants"), F.when(F.col("repo_id") < 5, F.lit(1)).alias("owner")).alias("mapping"),
         F.when(F.col("source") == "hotspot", "bugfix").otherwise(F.col("source")).alias("development_type"), F.when(F.col("repo_id") != 7, F.struct(F.array(F.lit("why")).alias("open_questions"))).alias("uncertainties"),
     )
-    return m.select("domain_id", validate.card_errors(F.to_json(F.struct(card.alias("demand_card")))).alias("errors"))
+    return validate.with_json(m, F.to_json(F.struct(card.alias("demand_card")))).select("domain_id", validate.card_errors(F.col("json")).alias("errors"))
 
 
 def missing_headings(spark: SparkSession, d: str) -> DataFrame:

@@ -220,7 +220,7 @@ def analysis_errors(spark: SparkSession, d: str) -> DataFrame:
 def signal_errors(spark: SparkSession, d: str) -> DataFrame:
     """Domains written as signal documents: a signal per keyword, and the description where a list is expected."""
     one = F.transform("keywords", lambda k: F.struct(F.coalesce(k, F.lit("")).alias("signal_type"), F.lit("seen").alias("evidence"), F.lit("low").alias("confidence"), F.col("source")))
-    return table(spark, d, "domains").select("domain_id", validate.signal_errors(F.to_json(F.struct(one.alias("concept_signals"), F.col("description").alias("rule_signals")))).alias("errors"))
+    return validate.with_json(table(spark, d, "domains"), F.to_json(F.struct(one.alias("concept_signals"), F.col("description").alias("rule_signals")))).select("domain_id", validate.signal_errors(F.col("json")).alias("errors"))
 
 
 @_query("""WITH c AS (SELECT unit_id, commit_id, theme, summary, op, importance, file_paths, CASE op WHEN 'feat' THEN 'feature' ELSE op END AS kind FROM change_units)
@@ -237,7 +237,7 @@ def case_failures(spark: SparkSession, d: str) -> DataFrame:
         F.col("unit_id").alias("case_id"), "commit_id", F.col("theme").alias("module"), F.col("summary").alias("commit_log"), F.lit("bugfix：x").alias("issue_text"), kind.alias("development_type"),
         F.col("file_paths").alias("rules"), F.array().cast("array<string>").alias("invariants"), split.alias("split_suggestion"), F.lit("low").alias("value"),
     )
-    return table(spark, d, "change_units").select("unit_id", validate.case_failure(F.to_json(case)).alias("failure"))
+    return validate.with_json(table(spark, d, "change_units"), F.to_json(case)).select("unit_id", validate.case_failure(F.col("json")).alias("failure"))
 
 
 @_query("""WITH r AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'P' THEN 'merge' ELSE 'keep' END AS a, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS t, o_totalprice > 100000 AS c, round(least(o_totalprice / 40000, 12), 1) AS s FROM orders)

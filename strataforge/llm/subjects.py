@@ -257,23 +257,24 @@ def _logistic(rem, feat, y: np.ndarray, use: np.ndarray, width: int, l2: float =
         return out, b
     ids, r = np.unique(rem[keep], return_inverse=True)
     fs, f = np.unique(feat[keep], return_inverse=True)
-    yy, on = y[ids].astype(np.float32), use[ids].astype(np.float32)
-    m = np.maximum(1.0, on.sum(axis=0))
-    pos = (yy * on).sum(axis=0)
+    yy, on = y[ids].T.astype(np.float32), use[ids].T.astype(np.float32)
+    m = np.maximum(1.0, on.sum(axis=1, keepdims=True))
+    pos = (yy * on).sum(axis=1, keepdims=True)
     weight = np.where(yy > 0, np.minimum(4.0, (m - pos) / np.maximum(1.0, pos) / 4 + 1), 1.0).astype(np.float32) * on / m.astype(np.float32)
     by_remark = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
     order = np.argsort(f, kind="stable")
     r_of_f, by_feature = r[order], np.flatnonzero(np.r_[True, f[order][1:] != f[order][:-1]])
-    w, gw, gb = np.zeros((len(fs), k), np.float32), np.full((len(fs), k), 1e-12, np.float32), np.full(k, 1e-12, np.float32)
+    w, gw, gb = np.zeros((k, len(fs)), np.float32), np.full((k, len(fs)), 1e-12, np.float32), np.full(k, 1e-12, np.float32)
     for _ in range(FIT_ROUNDS):
-        err = (_sigmoid(np.add.reduceat(w[f], by_remark) + b) - yy) * weight
-        g = np.add.reduceat(err[r_of_f], by_feature) + np.float32(l2) * w
-        gw += g * g
-        w -= np.float32(rate) * g / np.sqrt(gw)
-        e = err.sum(axis=0)
-        gb += e * e
-        b -= np.float32(rate) * e / np.sqrt(gb)
-    out[fs] = w
+        for c in range(k):  # a class at a time: its weights and errors stay in the cache
+            err = (_sigmoid(np.add.reduceat(w[c].take(f), by_remark) + b[c]) - yy[c]) * weight[c]
+            g = np.add.reduceat(err.take(r_of_f), by_feature) + np.float32(l2) * w[c]
+            gw[c] += g * g
+            w[c] -= np.float32(rate) * g / np.sqrt(gw[c])
+            e = err.sum()
+            gb[c] += e * e
+            b[c] -= np.float32(rate) * e / np.sqrt(gb[c])
+    out[fs] = w.T
     return out, b
 
 

@@ -1,11 +1,12 @@
 """Joins with rules of their own: longest prefix, scored argmax, fuzzy pairs, phrases, snapshots, presence.
 
 All candidate pairs come from equi-joins on something shared (a token, a prefix), never from pairing all rows; small
-literal lists are scored inside a projection instead of being joined.
+literal lists are scored inside a projection instead of being joined. Scored winners are read off bit sets, without pairs.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -48,6 +49,97 @@ def prefix_winner(facts: DataFrame, dims: DataFrame, key: list[str], fact_id: st
 PATH, THEME, SUMMARY, SECTION, KEYWORD, LEAST, LEAD = 5, 3, 2, 2, 1, 4, 2
 
 
+#: Most units and dims of a key that meet in one task (beyond, a key is cut into blocks), and most bit sets a task keeps of each kind.
+UNIT_BLOCK, DIM_BLOCK, SETS = 1 << 16, 1 << 15, 1 << 13
+
+_POINTS = (THEME, SUMMARY, SECTION, KEYWORD, PATH)
+_SCORE = [sum(p for i, p in enumerate(_POINTS) if m >> i & 1) for m in range(32)]
+#: For each set of kinds of evidence: the scores that its subsets have, the highest first, with these subsets.
+_LEVELS = [[(s, [m for m in range(1, 32) if m & have == m and _SCORE[m] == s]) for s in sorted({_SCORE[m] for m in range(1, 32) if m & have == m}, reverse=True)] for have in range(32)]
+
+
+class _Postings:
+    """Which dims of a block hold a token or a prefix, as the bits of an int in the order of the dims' names."""
+
+    def __init__(self, size: int, of: dict[int, set[str]]):
+        self.size, self.ids, self.sets = size, {}, {}
+        for i, items in of.items():
+            for x in items:
+                self.ids.setdefault(x, []).append(i)
+
+    def any_of(self, items) -> int:
+        out = 0
+        for x in items:
+            got = self.sets.get(x)
+            if got is None:
+                ids = self.ids.get(x)
+                if ids is None:
+                    continue
+                flags = bytearray(self.size // 8 + 1)
+                for i in ids:
+                    flags[i >> 3] |= 1 << (i & 7)
+                got = int.from_bytes(flags, "little")
+                if len(ids) > 4 and len(self.sets) < SETS:
+                    self.sets[x] = got
+            out |= got
+        return out
+
+
+def _best_two(units: pa.Table, dims: pa.Table) -> pa.Table:
+    """(_id, _dim, s): the best two dims of each unit that have any evidence; equal scores are ordered by name.
+
+    The dims that a unit has one kind of evidence of are a union of postings; those with a score are what such unions share,
+    taken from the highest score down. No pairs of units and dims are made.
+    """
+    names = sorted(set(dims["_dim"].to_pylist()), key=lambda n: (n is not None, n or ""))
+    at = {n: i for i, n in enumerate(names)}
+    tokens, keywords, prefixes = {}, {}, {}  # a dim may have several rows
+    for n, of_name, of_kw, of_pre in zip(*(dims[c].to_pylist() for c in ("_dim", "_name", "_kw", "_pre"))):
+        kw = of_kw.split()
+        tokens.setdefault(at[n], set()).update(of_name.split(), kw)
+        keywords.setdefault(at[n], set()).update(kw)
+        prefixes.setdefault(at[n], set()).update(of_pre)
+    sig, kws, pre = (_Postings(len(names), of) for of in (tokens, keywords, prefixes))
+    lengths = sorted({len(p) for p in pre.ids})
+    rows, won, scores = [], [], []
+    for row, (theme, summary, section, paths) in enumerate(zip(*(units[c].to_pylist() for c in ("_theme", "_summary", "_section", "_paths")))):
+        fields = theme.split(), summary.split(), section.split()
+        cuts = {f[:n] for f in paths for n in lengths if n <= len(f)}
+        bits = [*map(sig.any_of, fields), kws.any_of({t for f in fields for t in f}), pre.any_of(cuts)]
+        share, taken = {0: -1}, 0  # share: dims with all evidence of a set
+        for m in range(1, 32):
+            rest = m & (m - 1)
+            share[m] = share[rest] and share[rest] & bits[(m ^ rest).bit_length() - 1]
+        left = 2
+        for score, subsets in _LEVELS[sum(1 << i for i, b in enumerate(bits) if b)]:
+            found = 0
+            for m in subsets:
+                found |= share[m]
+            found &= ~taken
+            while found and left:
+                low = found & -found
+                rows.append(row)
+                won.append(names[low.bit_length() - 1])
+                scores.append(score)
+                found ^= low
+                taken |= low
+                left -= 1
+            if not left:
+                break
+    return pa.table({"_id": units["_id"].take(pa.array(rows, pa.int64())), "_dim": pa.array(won, pa.string()), "s": pa.array(scores, pa.int32())})
+
+
+def _blocks(units: DataFrame, dims: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Units and dims with _ub and _db so that each unit meets each dim of its key in one block, and no block is large."""
+    n_units = units.groupBy(*key).agg(F.ceil(F.count("*") / UNIT_BLOCK).cast("int").alias("_nu"))
+    n_dims = dims.groupBy(*key).agg(F.ceil(F.count("*") / DIM_BLOCK).cast("int").alias("_nd"))
+    size = n_units.join(n_dims, key)
+    to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    u = units.join(size, key).select("*", F.pmod(F.xxhash64("_id"), F.col("_nu")).cast("int").alias("_ub"), to("_nd").alias("_db"))
+    d = dims.join(size, key).select("*", F.pmod(F.xxhash64("_dim"), F.col("_nd")).cast("int").alias("_db"), to("_nu").alias("_ub"))
+    return u.drop("_nu", "_nd"), d.drop("_nu", "_nd")
+
+
 def scored_winner(units: DataFrame, dims: DataFrame, key: list[str], unit_id: str, dim: str) -> DataFrame:
     """Best dim per unit with an ambiguity gate: (unit_id, dim, score, second).
 
@@ -55,24 +147,16 @@ def scored_winner(units: DataFrame, dims: DataFrame, key: list[str], unit_id: st
     summary 2, in the section name 2, a keyword token in any of the three 1. The dim is null unless the best score is 4 or
     more and leads by 2 or more; equal scores are ordered by name. Units without any evidence have score 0.
     """
-    tok = lambda c: F.filter(T.signal_tokens(F.coalesce(F.col(c), F.lit(""))), lambda x: x != "")
-    fields = F.array(*(F.struct(F.lit(f).alias("f"), tok(f).alias("t")) for f in ("theme", "summary", "section_name")))
-    u = units.select(*key, F.col(unit_id).alias("_id"), F.explode(fields).alias("x")).select(*key, "_id", "x.f", F.explode("x.t").alias("tok"))
-    words = F.array(F.struct(F.lit(False).alias("kw"), T.signal_tokens(F.col(dim)).alias("t")), F.struct(F.lit(True).alias("kw"), F.flatten(F.transform(_clean("keywords"), T.signal_tokens)).alias("t")))
-    d = dims.select(*key, F.col(dim).alias("_dim"), F.explode(words).alias("x")).select(*key, "_dim", "x.kw", F.explode("x.t").alias("tok"))
-    d = d.groupBy(*key, "_dim", "tok").agg(F.bool_or("kw").alias("kw"))
-    has = lambda f: F.bool_or(F.col("f") == f).cast("int")
-    by_words = u.join(d, [*key, "tok"]).groupBy("_id", "_dim").agg(
-        (has("theme") * THEME + has("summary") * SUMMARY + has("section_name") * SECTION + F.bool_or("kw").cast("int") * KEYWORD).alias("s")
-    )
-    pre = dims.select(*key, F.col(dim).alias("_dim"), F.explode(F.array_distinct(_clean("paths"))).alias("_pre"))
-    p = units.select(*key, F.col(unit_id).alias("_id"), F.explode(F.array_distinct(_clean("file_paths"))).alias("_path"))
-    cuts = _cuts(pre.select(F.length("_pre").alias("n")), F.col("_path"))
-    p = p.select(*key, "_id", F.explode(F.transform(cuts, lambda n: F.substring(F.col("_path"), F.lit(1), n))).alias("_pre"))
-    by_path = p.join(pre, [*key, "_pre"]).select("_id", "_dim").distinct().withColumn("s", F.lit(PATH))
-    scored = by_words.unionByName(by_path).groupBy("_id", "_dim").agg(F.sum("s").cast("int").alias("s"))
+    tok = lambda c: F.array_join(T.signal_tokens(F.coalesce(F.col(c), F.lit(""))), " ")
+    u = units.select(*key, F.col(unit_id).alias("_id"), tok("theme").alias("_theme"), tok("summary").alias("_summary"), tok("section_name").alias("_section"), F.array_distinct(_clean("file_paths")).alias("_paths"))
+    kw = F.array_join(F.array_distinct(F.flatten(F.transform(_clean("keywords"), T.signal_tokens))), " ")
+    d = dims.select(*key, F.col(dim).alias("_dim"), tok(dim).alias("_name"), kw.alias("_kw"), F.array_distinct(_clean("paths")).alias("_pre"))
+    u, d = _blocks(u, d, key)
+    kind = dict(u.dtypes)["_id"]
+    at = [*key, "_ub", "_db"]
+    scored = u.groupBy(*at).cogroup(d.groupBy(*at)).applyInArrow(_best_two, f"_id {kind}, _dim string, s int")
     # the best two per unit by aggregation, without sorting a unit's candidates in a window
-    first = scored.groupBy("_id").agg(F.min(F.struct((-F.col("s")).alias("n"), "_dim")).alias("b"), F.count("*").alias("c"), F.max("s").alias("top"), F.collect_list("s").alias("all"))
+    first = scored.groupBy("_id").agg(F.min(F.struct((-F.col("s")).alias("n"), "_dim")).alias("b"), F.max("s").alias("top"), F.collect_list("s").alias("all"))
     second = F.coalesce(F.get(F.sort_array("all", asc=False), F.lit(1)), F.lit(0))
     best = first.select("_id", F.col("b._dim").alias("_dim"), F.col("top").alias("score"), second.alias("second"))
     out = units.select(F.col(unit_id).alias("_id")).join(best, "_id", "left")

@@ -54,6 +54,57 @@ def test_scored_winner(spark):
     assert scored(spark, [], dims) == {} and scored(spark, units[:1], [])[1] == (None, 0, 0)
 
 
+def rows_out(plan) -> int:
+    """The most rows that an operator of a plan that has run put out."""
+    kind = plan.getClass().getSimpleName()
+    under = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if "QueryStage" in kind else [plan.children().apply(i) for i in range(plan.children().size())]
+    n = plan.metrics().get("numOutputRows")
+    return max([n.get().value() if n.isDefined() else 0, *map(rows_out, under)])
+
+
+def test_scored_winner_makes_no_pairs(spark):
+    """Words and prefixes that all rows share: the work is that of the rows, not of their pairs."""
+    dims = spark.createDataFrame([(1, f"shared word{i}", i, ["src/"], ["common"]) for i in range(400)], DIM)
+    units = spark.createDataFrame([(i, 1, "shared", "common", "shared", ["src/a"]) for i in range(600)], UNIT)
+    out = joins.scored_winner(units, dims, ["repo"], "unit_id", "name")
+    assert {tuple(r)[1:] for r in out.collect()} == {(None, 13, 13)}
+    assert rows_out(out._jdf.queryExecution().executedPlan()) <= 2 * (400 + 600)
+
+
+def test_scored_winner_blocks(spark, monkeypatch):
+    """Against brute force, in one block and in many; a dim in several rows, ties, odd texts and paths."""
+    rng = random.Random(5)
+    words = ["auth", "pay", "log_in", "Über", "a-b", "\u0130x", "cache", "q", "/", ""]
+    some = lambda n: " ".join(rng.choices(words, k=rng.randint(0, n)))
+    paths = ["src/", "src/a", "s", "\U0001f600/x", "\U0001f600", "src/a/b.py", "", None]
+    dims = [(rng.randint(1, 2), some(2) or "n", i, rng.choice([None, rng.choices(paths, k=2)]), rng.choice([None, [some(1), None]])) for i in range(60)]
+    units = [(i, rng.choice([1, 2, 3, None]), rng.choice([None, some(2)]), some(4), some(1), rng.choice([None, rng.choices(paths, k=2)])) for i in range(150)]
+
+    def toks(x):
+        import re
+
+        return set(re.findall("[a-z0-9_]+", (x or "").lower().translate(str.maketrans("-_/", "   "))))
+
+    want = {}
+    for uid, repo, theme, summary, section, files in units:
+        fields = [toks(theme), toks(summary), toks(section)]
+        by = {}
+        for r, name, _, pre, kws in dims:
+            if r == repo:
+                kw = set().union(*map(toks, kws or []))
+                sig = toks(name) | kw
+                has = [bool(sig & f) for f in fields] + [any(kw & f for f in fields), any(f.startswith(p) for f in files or [] if f for p in pre or [] if p)]
+                by[name] = [a or b for a, b in zip(by.get(name, has), has)]
+        top = sorted((-sum(p for p, h in zip((3, 2, 2, 1, 5), has) if h), name) for name, has in by.items()) + [(0, None), (0, None)]
+        score, second = -top[0][0], -top[1][0]
+        want[uid] = (top[0][1] if score >= 4 and score - second >= 2 else None, score, second)
+    assert scored(spark, units, dims) == want and any(w[0] for w in want.values())
+    monkeypatch.setattr(joins, "UNIT_BLOCK", 7)
+    monkeypatch.setattr(joins, "DIM_BLOCK", 5)
+    monkeypatch.setattr(joins, "SETS", 1)
+    assert scored(spark, units, dims) == want
+
+
 def test_prefix_winner(spark):
     dims = [(1, "general", 1, ["src/"], None), (1, "specific", 2, ["src/deep/"], None), (1, "late", 3, ["src/"], None), (1, "none", 4, ["", None], None)]
     units = [

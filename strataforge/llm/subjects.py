@@ -38,6 +38,8 @@ BITS, NGRAM = 19, 4
 #: of an area whose own threshold weighs as much as the shared one.
 COPY_BITS, ROUNDS, FOLDS, PULL = 22, 3, 5, 40.0
 _SLICES = 64
+#: Characters that are read, leanings (n-grams x areas) and n-grams that are counted at a time: they bound memory, not results.
+READ_CHARS, LEAN_CELLS, COUNTED = 1 << 20, 1 << 20, 1 << 22
 #: Strength of the prior of an n-gram's leaning, share of right labels (some are wrong) at which a leaning is sure, and
 #: bounds of such leanings: LEAST always, MOST once the counts rest on marked remarks.
 PRIOR, PRECISE, LEAST, MOST = 3.0, 0.85, 1.2, 5.0
@@ -69,7 +71,21 @@ class Grams:
         return h
 
     def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document of each remark, remark of each feature, feature)."""
+        """(document of each remark, remark of each feature, feature), read READ_CHARS or one text at a time."""
+        docs, rems, feats, n, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], 0, 0
+        while at < len(texts):
+            end, chars = at, 0
+            while end < len(texts) and (end == at or chars + len(texts[end] or "") <= READ_CHARS):
+                chars += len(texts[end] or "")
+                end += 1
+            doc, rem, feat = self._read(texts[at:end])
+            docs.append(doc + at)
+            rems.append(rem + np.int32(n))
+            feats.append(feat)
+            n, at = n + len(doc), end
+        return np.concatenate(docs), np.concatenate(rems), np.concatenate(feats)
+
+    def _read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         memo, make = self.memo, self._hash
         doc, size, words = [], [], []
         for d, t in enumerate(texts):
@@ -80,7 +96,7 @@ class Grams:
                     size.append(len(ws))
                     words += ws
         h = np.fromiter((memo[w] if w in memo else make(w) for w in words), np.uint64, len(words))
-        rem = np.repeat(np.arange(len(size)), size)
+        rem = np.repeat(np.arange(len(size), dtype=np.int32), size)
         rs, gs, g = [], [], np.zeros(len(h), np.uint64)
         for n in range(1, NGRAM + 1):
             if len(h) < n:
@@ -91,7 +107,7 @@ class Grams:
             rs.append(rem[: len(ok)][ok])
             gs.append(((g[ok] * _U(0xBF58476D1CE4E5B9)) >> _U(64 - BITS)).astype(np.int32))
         if not rs:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+            return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         r, f = np.concatenate(rs), np.concatenate(gs)
         order = np.argsort(r, kind="stable")
         return np.array(doc), r[order], f[order]
@@ -166,18 +182,22 @@ class Step:
         PRIOR examples at the usual rate are added, so that a rare n-gram leans little; what the remark was counted as itself
         (own_yes, own_no: remarks x areas) is left out.
         """
-        best = np.full(own_yes.shape, -9.0, np.float32)
-        if not len(rem):
-            return best
-        keep = self.row[feat] > 0
-        r, at = rem[keep], self.row[feat[keep]]
-        rest = np.setdiff1d(rem, r)
-        best[rest] = 0.0  # n-grams that nothing is known of lean nowhere
-        if len(r):
-            p, q = np.maximum(self.yes[at] - own_yes[r], 0), np.maximum(self.no[at] - own_no[r], 0)
-            w = np.log(p + PRIOR * self.rate) - np.log(q + PRIOR * (1 - self.rate)) - np.log(self.rate / (1 - self.rate))
-            head = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-            best[r[head]] = np.maximum.reduceat(w, head)
+        n, k = own_yes.shape
+        best = np.full((n, k), -np.inf, np.float32)
+        held, known = np.zeros(n, bool), np.zeros(n, bool)
+        some = max(1, LEAN_CELLS // max(1, k))
+        for i in range(0, len(rem), some):
+            r, at = rem[i : i + some], self.row[feat[i : i + some]]
+            held[r] = True
+            r, at = r[at > 0], at[at > 0]
+            if len(r):
+                known[r] = True
+                p, q = np.maximum(self.yes[at] - own_yes[r], 0), np.maximum(self.no[at] - own_no[r], 0)
+                w = np.log(p + PRIOR * self.rate) - np.log(q + PRIOR * (1 - self.rate)) - np.log(self.rate / (1 - self.rate))
+                head = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+                best[r[head]] = np.maximum(best[r[head]], np.maximum.reduceat(w, head))
+        best[~known] = -9.0
+        best[held & ~known] = 0.0  # n-grams that nothing is known of lean nowhere
         return best
 
 
@@ -222,15 +242,18 @@ class Judged:
         """Add this to the sums of ``Step.of``."""
         k, width = self.gold.shape[1], len(sums) - 1
         c = np.where(self.judged[self.doc], self.weight, 0.0)
-        each = c[self.rem]
-        sums[:width, 0] += np.bincount(self.feat, each, width)
+        masks = [(1 + a, self.bears[:, a]) for a in range(k)] + [(1 + k + a, self.holds[self.doc, a]) for a in range(k)]
+        masks = [(col, mask) for col, mask in masks if mask.any()]
+        for i in range(0, len(self.rem), COUNTED):
+            rem, feat = self.rem[i : i + COUNTED], self.feat[i : i + COUNTED]
+            each = c[rem]
+            sums[:width, 0] += np.bincount(feat, each, width)
+            for col, mask in masks:
+                m = mask[rem]
+                np.add.at(sums[:, col], feat[m], each[m])
         sums[width, 0] += c.sum()
-        for a in range(k):
-            for col, mask in ((1 + a, self.bears[:, a]), (1 + k + a, self.holds[self.doc, a])):
-                if mask.any():
-                    m = mask[self.rem]
-                    np.add.at(sums[:, col], self.feat[m], each[m])
-                    sums[width, col] += c[mask].sum()
+        for col, mask in masks:
+            sums[width, col] += c[mask].sum()
 
 
 def _sure(top: np.ndarray, gold: np.ndarray) -> float:
@@ -261,9 +284,12 @@ def _logistic(rem, feat, y: np.ndarray, use: np.ndarray, width: int, l2: float =
     m = np.maximum(1.0, on.sum(axis=1, keepdims=True))
     pos = (yy * on).sum(axis=1, keepdims=True)
     weight = np.where(yy > 0, np.minimum(4.0, (m - pos) / np.maximum(1.0, pos) / 4 + 1), 1.0).astype(np.float32) * on / m.astype(np.float32)
+    del keep
     by_remark = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
     order = np.argsort(f, kind="stable")
-    r_of_f, by_feature = r[order], np.flatnonzero(np.r_[True, f[order][1:] != f[order][:-1]])
+    r_of_f = r[order]
+    del r, order
+    by_feature = np.r_[0, np.cumsum(np.bincount(f))[:-1]]  # f is 0, 1, ..., each at least once
     w, gw, gb = np.zeros((k, len(fs)), np.float32), np.full((k, len(fs)), 1e-12, np.float32), np.full(k, 1e-12, np.float32)
     for _ in range(FIT_ROUNDS):
         for c in range(k):  # a class at a time: its weights and errors stay in the cache
@@ -304,6 +330,7 @@ def fit(texts: list[str], gold: np.ndarray, known: np.ndarray, areas: list[str],
     k, width, grams = len(areas), 1 << BITS, Grams()
     zero = Model(areas, np.zeros((width, k), np.float32), np.full(k, -9.0), np.zeros(width, np.float32), -9.0, np.full(k, 2.0))
     doc, rem, feat = grams.read(texts)
+    del grams
     if not known.any() or not len(doc) or not k:
         return zero
     n = len(doc)
@@ -448,21 +475,28 @@ def train(docs: DataFrame, labels: DataFrame, subjects: DataFrame, none: str = "
     doc, rem, feat = Grams().read([r.text for r in labelled])
     copies = Copies(np.bincount(_places(_signs(len(doc), rem, feat)), minlength=len(every)).astype(np.float32), every)
     mine = Judged(len(labelled), doc, rem, feat, gold, np.ones(len(labelled), bool), copies.weights(len(doc), rem, feat))
+    del doc, rem, feat, every
     sums = np.zeros((width + 1, 1 + 2 * k), np.float32)
     mine.add(sums)
     shared = spark.sparkContext.broadcast(copies)
     steps: list[Step] = []
     for number in range(ROUNDS):
         if number:
-            sums = _summed(full, ["doc_id", "text"], width + 1, 1 + 2 * k, _counting(spark.sparkContext.broadcast((steps, gold_of, k)), shared))
+            so_far = spark.sparkContext.broadcast((steps, gold_of, k))
+            sums = _summed(full, ["doc_id", "text"], width + 1, 1 + 2 * k, _counting(so_far, shared))
+            so_far.destroy()
         step = Step.of(sums, k)
+        del sums
         mine.look(step)
         sure = _sure(mine.top, gold)
         step.sure = min(MOST, sure) if number else sure
         mine.decide(step.sure)
         steps.append(step)
+    del mine
     weak = [r.text for r in _sampled(full.join(tags.select("doc_id"), "doc_id", "left_anti"), WEAK).select("text").collect()]
-    return _fitted(spark, [r.text for r in labelled], gold, weak, areas, steps, shared)
+    model = _fitted(spark, [r.text for r in labelled], gold, weak, areas, steps, shared)
+    shared.destroy()
+    return model
 
 
 def _counting(share, copies):
@@ -500,6 +534,7 @@ def _fitted(spark, texts: list[str], gold: np.ndarray, weak: list[str], areas: l
 
     parts = spark.createDataFrame([(f,) for f in range(-1, folds)], "fold int").repartition(folds + 1, "fold")
     got = {r["fold"]: pickle.loads(r["body"]) for r in parts.groupBy("fold").applyInPandas(run, "fold int, body binary").collect()}
+    share.destroy()
     used, weights, bias, passing, passing_bias = got.pop(-1)
     model = Model(areas, np.zeros((1 << BITS, len(areas)), np.float32), bias, np.zeros(1 << BITS, np.float32), passing_bias, np.full(len(areas), 2.0))
     model.weights[used], model.passing[used] = weights, passing

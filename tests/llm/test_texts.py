@@ -351,3 +351,28 @@ def test_items_in_blocks(spark, monkeypatch):
     listed = spark.createDataFrame(items + [(None, items[0][1]), (77, None)], "item_id long, text string")
     monkeypatch.setattr(leakage, "ITEM_CHARS", 300)
     assert {tuple(r) for r in leakage.leaks(docs, listed, "doc_id", "item_id").collect()} == {(k, k) for k in range(20)}
+
+
+def test_leanings_in_bounded_memory(monkeypatch):
+    """However many n-grams there are, little memory is taken besides theirs; cut anywhere, the same comes out."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    rem = np.repeat(np.arange(20_000, dtype=np.int32), 60)
+    feat = rng.integers(0, 1 << subjects.BITS, len(rem)).astype(np.int32)
+    sums = np.zeros(((1 << subjects.BITS) + 1, 17), np.float32)
+    sums[:-1, 1:9] = rng.integers(0, 50, (1 << subjects.BITS, 8))
+    sums[:, 0] = sums[:, 1:9].sum(axis=1) + 3
+    sums[-1] = 50_000
+    step, own = subjects.Step.of(sums, 8), np.zeros((20_000, 8), np.float32)
+    tracemalloc.start()
+    want = step.lean(rem, feat, own, own)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6, peak  # the leanings of all n-grams at once are 38 MB, several times over
+    texts = ["One remark. Another one\n三个字。" * 5, None, "", "A long line without an end " * 40, "x. y"]
+    read = subjects.Grams().read(texts)
+    monkeypatch.setattr(subjects, "LEAN_CELLS", 800)
+    monkeypatch.setattr(subjects, "READ_CHARS", 30)
+    assert np.array_equal(step.lean(rem, feat, own, own), want) and len(np.unique(want)) > 100
+    assert all(np.array_equal(a, b) for a, b in zip(subjects.Grams().read(texts), read))
